@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netweave.plans.session import tables
+from netweave.plans.session import scratch_path, tables
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +13,34 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op6_mix_sources": op6_mix_sources}
+def op7_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.warc import plan_records, read_warc, write_warc
+
+    archive = write_warc(plan_records(tables(spark, sf_dir, "pages")), scratch_path(spark, "warc"))
+    head = F.col("headers")
+    revisit = head["warc-type"] == "revisit"
+    return read_warc(spark, archive).select(
+        head["x-page"].cast("long").alias("page_id"),
+        F.when(revisit, head["x-payload-bytes"].cast("long")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.replace(head["warc-payload-digest"], F.lit("sha256:"), F.lit(""))).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        head["warc-type"].alias("record_type"),
+        head["x-refers-to-page"].cast("long").alias("refers_to"),
+    )
+
+
+QUERIES = {"op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 ORACLES = {
+    "op7_warc_roundtrip": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (
+  SELECT *, first_value(page_id) OVER w AS head, row_number() OVER w AS n
+  FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND n > 1 THEN head END AS refers_to
+FROM r""",
     "op6_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 't') AS src,
