@@ -28,7 +28,21 @@ def op7_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.pii import BASE_KINDS, find_pii
+
+    base = F.filter("spans", lambda s: s["base"])
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return find_pii(tables(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
+        F.sha2(shown(base), 256).alias("base_sha256"),
+        shown(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {"op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 ORACLES = {
     "op7_warc_roundtrip": """
