@@ -42,7 +42,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.quality import fit_quality, score_quality
+
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs, tables(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 ORACLES = {
     "op7_warc_roundtrip": """
