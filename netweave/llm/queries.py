@@ -28,6 +28,14 @@ def op7_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.packing import pack_documents
+
+    return pack_documents(tables(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netweave.llm.pii import BASE_KINDS, find_pii
 
@@ -49,7 +57,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, tables(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+QUERIES = {"op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 ORACLES = {
     "op7_warc_roundtrip": """
