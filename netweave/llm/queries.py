@@ -57,7 +57,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, tables(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.line_dedup import dedup_lines
+
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op8_line_dedup": op8_line_dedup, "op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 ORACLES = {
     "op7_warc_roundtrip": """
