@@ -70,9 +70,41 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op8_line_dedup": op8_line_dedup, "op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.ann import nearest_neighbours
+
+    vectors = tables(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op10_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(tables(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op4_nearest": op4_nearest, "op10_near_duplicate_vectors": op10_near_duplicate_vectors, "op1_near_duplicates": op1_near_duplicates, "op8_line_dedup": op8_line_dedup, "op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, CAST(min(embedding) AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+  GROUP BY vec_id)"""
 
 ORACLES = {
+    "op4_nearest": _VECTORS + """,
+s AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op10_near_duplicate_vectors": _VECTORS + """,
+l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+e AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+reach AS (SELECT id, id AS other FROM e UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, coalesce(c.id = c.component_id, true) AS kept
+FROM c LEFT JOIN n ON n.a = c.id""",
     "op7_warc_roundtrip": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
