@@ -58,25 +58,33 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         starts = enc.word_starts()
         partition, made = TaskContext.get().partitionId(), 0
         sequence = (1 << 62) + (partition << 36)
+        kind = np.uint16 if enc.size <= 1 << 16 else np.uint32
+        end = np.array([END_ID], kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows: list[tuple] = []
-                source = []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.append(enc.encode(text or ""), np.array(END_ID)).astype(np.uint16 if enc.size <= 1 << 16 else np.uint32)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows: list[list] = []
+                source, rests = [], []
+                for i, ids in enumerate(enc.encode_texts(part.column("text"))):
+                    ids = np.concatenate([ids, end])
                     whole = len(ids) // window
                     for w in range(0, whole, ROW_WINDOWS):
                         n = min(ROW_WINDOWS, whole - w)
                         source.append(i)
-                        rows.append((len(ids), w * window, sequence, ids[w * window : (w + n) * window].astype(np.uint16 if enc.size <= 1 << 16 else np.uint32).tobytes(), None, None))
+                        rows.append([len(ids), w * window, sequence, ids[w * window : (w + n) * window].tobytes(), None, None])
                         sequence += n
                     rest = ids[whole * window :]
                     if len(rest):
-                        words, _ = words_of(rest, np.array([0, len(rest)]), starts)
                         made += 1
                         source.append(i)
-                        rows.append((len(ids), whole * window, None, rest.tobytes(), int(mix(words.astype(np.uint64)).min() >> np.uint64(1)), (partition << 36) + made))
+                        rows.append([len(ids), whole * window, None, rest.tobytes(), None, (partition << 36) + made])
+                        rests.append((rows[-1], rest))
+                if rests:
+                    bounds = np.concatenate([[0], np.cumsum([len(r) for _, r in rests])])
+                    words, piece = words_of(np.concatenate([r for _, r in rests]), bounds, starts)
+                    keys = np.minimum.reduceat(mix(words.astype(np.uint64)) >> np.uint64(1), np.searchsorted(piece, np.arange(len(rests))))
+                    for (row, _), key in zip(rests, keys.tolist(), strict=True):
+                        row[4] = key
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 columns = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
                 yield pa.record_batch([part.column("doc_id").take(pa.array(source, pa.int64())), *columns], ["doc_id", "doc_tokens", "start", "sequence", "ids", "key", "slot"])

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from netweave.llm.words import mix, power_tables, text_chunks
 
 #: Fixed value: the pattern that splits text before the merges, as published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,6 +38,59 @@ def _byte_of() -> dict[str, int]:
     return out
 
 
+#: Bytes of text whose pieces are looked up together, and pieces that a process remembers.
+_CHUNK, _REMEMBERED = 4 << 20, 600_000
+
+# byte classes of the fast path: letters, digits, blanks, anything else; bytes from 0x80 on are letters there
+_LETTER, _NUMBER, _BLANK, _OTHER_CLASS = 0, 1, 2, 3
+_KIND = np.full(256, _OTHER_CLASS, np.uint8)
+_KIND[128:] = _LETTER
+for _b in range(128):
+    if chr(_b).isalpha():
+        _KIND[_b] = _LETTER
+    elif chr(_b).isdigit():
+        _KIND[_b] = _NUMBER
+    elif _b in (9, 10, 11, 12, 13, 32):
+        _KIND[_b] = _BLANK
+#: Bytes that only the libraries judge: the apostrophe (contractions), "|" (special tokens), and beyond U+00C0..U+023F.
+_ODD = np.zeros(256, bool)
+_ODD[[0x27, 0x7C]] = True
+_ODD[0xC0:0xC3] = _ODD[0xC9:] = True
+
+
+def _odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that the fast path leaves to the libraries."""
+    odd = _ODD[data]
+    if len(data) > 1:  # the two signs among the Latin-1 letters
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    total = np.concatenate([[0], np.cumsum(odd)])
+    return total[offsets[1:]] > total[offsets[:-1]]
+
+
+def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of ``PATTERN`` begin, for texts without contractions.
+
+    Letters, digits and other signs run on, with one space in front; of several blanks before a sign the last stands
+    apart, and joins the sign if it is a space; blanks at the end of a text stay together.
+    """
+    kind = _KIND[data]
+    before, after = np.empty_like(kind), np.empty_like(kind)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[0] = after[-1] = _BLANK
+    space = np.zeros(len(data), bool)
+    space[1:] = data[:-1] == 32
+    blank = kind == _BLANK
+    starts = ~blank & (kind != before) & ~space
+    starts |= blank & ((before != _BLANK) | (after != _BLANK))
+    filled = offsets[:-1][offsets[:-1] < offsets[1:]]
+    ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    # a blank that ends a text has no sign behind it, whatever the next text begins with
+    starts[ends[blank[ends] & (before[ends] == _BLANK)]] = False
+    # what begins a text begins a piece, and what follows it is judged as after a text's own first byte
+    starts[filled] = True
+    return np.flatnonzero(starts)
+
+
 class Encoder:
     """Ids as the library ``tokenizers`` gives them with ``add_special_tokens=False``.
 
@@ -54,22 +111,70 @@ class Encoder:
         self.slow = Tokenizer.from_file(path)
         self.special = special
         self.size = max(spec["model"]["vocab"].values()) + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.known: dict[int, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as ``uint16`` where they fit, else ``uint32``."""
-        kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        kind = self.kind
         if any(s in text for s in self.special) or not text.isascii() and _OTHER.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, kind)
         if len(text) <= _CUT_CHARS:
-            return np.array(self.fast.encode_ordinary(text), kind)
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(kind)
         parts, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + _CUT_CHARS) if at + _CUT_CHARS < len(text) else None
             stop = cut.start() if cut else len(text)
-            parts.append(np.array(self.fast.encode_ordinary(text[at:stop]), kind))
+            parts.append(self.fast.encode_to_numpy(text[at:stop], disallowed_special=()).astype(kind))
             at = stop
         return np.concatenate(parts)
 
+    def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """``encode`` of each text of a column, null as empty.
+
+        Texts of plain Latin letters are cut into pieces all at once, on their bytes; each different piece of a chunk
+        (by a 64-bit hash) is encoded once, and mostly remembered from chunks before.
+        """
+        out: list[np.ndarray] = []
+        for first, data, offsets in text_chunks(texts, _CHUNK):
+            n = len(offsets) - 1
+            odd = _odd_texts(data, offsets) | (np.diff(offsets) > _CHUNK)
+            if odd.any():
+                column = texts.slice(first, n)
+                slow = {i: self.encode(column[i].as_py() or "") for i in np.flatnonzero(odd).tolist()}
+                keep = np.repeat(~odd, np.diff(offsets))
+                data, offsets = data[keep], np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(offsets)))])
+            else:
+                slow = {}
+            ids, bounds = self._fast(data, offsets)
+            out += [slow[i] if i in slow else ids[bounds[i] : bounds[i + 1]] for i in range(n)]
+        return out
+
+    def _fast(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        begin = _piece_starts(data, offsets)
+        end = np.append(begin[1:], len(data))
+        power, inverse = power_tables(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+        pieces = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        names, at, which = np.unique(pieces, return_index=True, return_inverse=True)
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        known, raw, names = self.known, data.tobytes(), names.tolist()
+        found, code = list(map(known.get, names)), np.dtype(self.kind).char
+        for i in [i for i, x in enumerate(found) if x is None]:
+            k = at[i]
+            found[i] = known[names[i]] = array(code, self.fast._core_bpe.encode_single_piece(raw[begin[k] : end[k]])).tobytes()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind().itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        where = (np.cumsum(size) - size)[which]
+        count = size[which]
+        stop = np.cumsum(count)
+        ids = flat[np.arange(stop[-1]) + np.repeat(where - (stop - count), count)]
+        return ids, np.concatenate([[0], stop])[np.searchsorted(begin, offsets)]
+
     def word_starts(self) -> np.ndarray:
         """For each id whether a word begins with it: a leading blank, or no letter in front."""
         out = np.ones(self.size, bool)

@@ -24,7 +24,7 @@ for _c in range(128):
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES)
         _powers[:] = []
@@ -89,7 +89,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last = first[1:] - 1
     ends[last] = is_word[last]
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends)
-    power, inverse = _power_tables(n + 1)
+    power, inverse = power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(cls.astype(np.uint64) * power[:n], out=total[1:])
     hashes = mix((total[end + 1] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
