@@ -35,7 +35,8 @@ BANDS, ROWS = 28, 5
 #: A pair of similarity 0.8 falls below this share of equal coordinates with probability 1e-8 (140 coordinates).
 LIKELY = 0.6
 #: Members of one bucket that a task compares with each other, and members of one centre that a task verifies.
-BLOCK = 1024
+BLOCK = 2048
+BLOCK_CHARS = 32 << 20
 GROUP = 256
 
 _U = np.uint64
@@ -178,41 +179,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.select("__node", "b", "g", "role", "__text").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """Likely pairs between different components of one bucket (``key, node, comp, n``), compared in blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "node", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = dealt.join(sigs.select(F.col("__node").alias("node"), F.col("__sig").alias("sig")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def pairs(group: list) -> Iterator[pa.RecordBatch]:
-        node, comp, mine, i, j = (np.array(x) for x in list(zip(*group, strict=True))[:5])
-        sig = np.frombuffer(b"".join(x[5] for x in group), np.uint8).reshape(-1, k)
-        left = np.flatnonzero(mine == i)
-        right = np.flatnonzero(mine == j)
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            same = (sig[x][:, None, :] == sig[right][None, :, :]).sum(2) >= LIKELY * k
-            same &= comp[x][:, None] != comp[right][None, :]
-            a, b = np.nonzero(same)
-            p, q = node[x][a], node[right][b]
-            keep = p != q
-            yield pa.record_batch([pa.array(np.maximum(p, q)[keep]), pa.array(np.minimum(p, q)[keep])], ["a", "b"])
+def _paired(members: DataFrame, blocks) -> DataFrame:
+    """``members`` of each ``key`` dealt into ``blocks`` (a column), a row for each pair ``i <= j`` of blocks it is in."""
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[list[tuple]]:
+    """Rows of batches sorted by ``keys``, group by group, as tuples of ``names``."""
+    group, last = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *names)), strict=True):
+            if row[: len(keys)] != last:
+                if len(group) > 1:
+                    yield group
+                group, last = [], row[: len(keys)]
+            group.append(row[len(keys) :])
+    if len(group) > 1:
+        yield group
+
+
+def _open_members(members: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
+    """The members of buckets (``key, node, comp, n``) that may be linked with a member of another component.
+
+    A row a member, ``key, node, comp``, however many partners it may have.
+    """
+    rows = _paired(members, F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    rows = rows.join(sigs.select(F.col("__node").alias("node"), F.col("__sig").alias("sig")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = [], None
-        for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "comp", "mine", "i", "j", "sig")), strict=True):
-                if (key, i, j) != last:
-                    if len(group) > 1:
-                        yield from pairs(group)
-                    group, last = [], (key, i, j)
-                group.append(row)
-        if len(group) > 1:
-            yield from pairs(group)
+        for group in _groups(batches, ["key", "i", "j"], ["key", "node", "comp", "mine", "i", "j", "sig"]):
+            key, node, comp, mine, i, j = (np.array(x) for x in list(zip(*group, strict=True))[:6])
+            sig = np.frombuffer(b"".join(x[6] for x in group), np.uint8).reshape(-1, k)
+            left, right, found = np.flatnonzero(mine == i), np.flatnonzero(mine == j), np.zeros(len(node), bool)
+            for at in range(0, len(left), 64):
+                x = left[at : at + 64]
+                same = (sig[x][:, None, :] == sig[right][None, :, :]).sum(2) >= LIKELY * k
+                same &= comp[x][:, None] != comp[right][None, :]
+                found[x] |= same.any(1)
+                found[right] |= same.any(0)
+            yield pa.record_batch([pa.array(c[found]) for c in (key, node, comp)], ["key", "node", "comp"])
+
+    return rows.select("key", "i", "j", "node", "comp", "mine", "sig").mapInArrow(run, "key long, node long, comp long").distinct()
+
+
+def linked_forest(columns: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between members ``left`` and ``right`` of different components, only as many as connect what they connect.
+
+    ``columns`` are the unit columns of all members, so the overlap of two is the number of columns they share: the
+    product of their 0/1 rows, which is taken over the columns that more than one has.
+    """
+    n = len(comp)
+    size = np.bincount(owner, minlength=n)
+    _, which, count = np.unique(columns, return_inverse=True, return_counts=True)
+    several = count > 1
+    number = np.cumsum(several) - 1
+    take = several[which]
+    column, member = number[which[take]], owner[take]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    shared = np.zeros((len(left), len(right)))
+    width = 4096
+    for at in range(0, int(several.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        rows = np.zeros((n, width), np.float32)
+        rows[member[lo:hi], column[lo:hi] - at] = 1
+        shared += rows[left] @ rows[right].T
+    union = size[left][:, None] + size[right][None, :] - shared
+    linked = (shared / np.maximum(union, 1) >= threshold) & (comp[left][:, None] != comp[right][None, :])
+    root, out = np.unique(comp, return_inverse=True)[1], []
+    for i in np.flatnonzero(linked.any(1)):
+        with_it = right[linked[i]]
+        roots, first = np.unique(root[with_it], return_index=True)
+        for r, f in zip(roots, first, strict=True):
+            if r != root[left[i]]:
+                out.append((int(left[i]), int(with_it[f])))
+                root[root == r] = root[left[i]]
+    return out
+
+
+def _linked_members(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b``, exact, that connect the components (``key, node, comp``) of each bucket as all its links do."""
+    held = members.join(texts.withColumnRenamed("__node", "node"), "node")
+    weight = members.join(texts.select(F.col("__node").alias("node"), F.length("__text").alias("chars")), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    rows = _paired(held.join(weight, "key"), F.col("blocks")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["key", "i", "j"], ["node", "comp", "mine", "i", "j", "__text"]):
+            node, comp, mine, i, j = (np.array(x) for x in list(zip(*group, strict=True))[:5])
+            columns, owners = [], []
+            for first, data, offsets in text_chunks(pa.array([x[5] for x in group], pa.large_string())):
+                found, owner = shingles(*word_hashes(data, offsets), WIDTH)
+                columns.append(columns_of(found, owner))
+                owners.append(owner + first)
+            links = linked_forest(np.concatenate(columns), np.concatenate(owners), np.flatnonzero(mine == i), np.flatnonzero(mine == j), comp, threshold)
+            yield pa.record_batch([pa.array([int(node[x[y]]) for x in links], pa.int64()) for y in (0, 1)], ["a", "b"])
 
-    return rows.select("key", "i", "j", "node", "comp", "mine", "sig").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "node", "comp", "mine", "__text").mapInArrow(run, "a long, b long")
 
 
 def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> dict:
@@ -235,14 +298,16 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, id_col: s
     stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     likely = materialise(_likely(stars, sigs, k), "likely")
     # the text of one document for each node that shares a bucket
-    texts = materialise(plain.drop("__id").join(sigs.select("__node", "__h1", "__h2"), ["__h1", "__h2"]).dropDuplicates(["__node"]).select("__node", "__text"), "texts")
+    texts = materialise(plain.drop("__id").join(sigs.select("__node", "__h1", "__h2").hint("merge"), ["__h1", "__h2"]).dropDuplicates(["__node"]).select("__node", "__text"), "texts")
     links = materialise(_verified(likely, texts, threshold), "links")
     parts = connected_components(links, "a", "b")
-    placed = members.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    across = materialise(_across(placed.join(mixed, "key"), sigs, k).join(likely, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        links = links.unionByName(materialise(_verified(across, texts, threshold), "links"))
+    # buckets of more than a centre and one other that are still in several components; of those with the same members, one
+    placed = members.where("n > 2").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor("node").alias("t")).where("x <> y")
+    mixed = mixed.groupBy("s", "t").agg(F.min("key").alias("key")).select("key")
+    unsure = materialise(_open_members(placed.join(mixed, "key"), sigs, k), "open")
+    if not unsure.isEmpty():
+        links = links.unionByName(materialise(_linked_members(unsure, texts, threshold), "links"))
         parts = connected_components(links, "a", "b")
     first = F.min(F.struct(F.col("__id").isNull().alias("a"), "__id", "__row")).alias("first")
     by_node = worded.groupBy("__node").agg(first, F.count("*").alias("n")).join(parts.withColumnRenamed("node", "__node"), "__node", "left")
