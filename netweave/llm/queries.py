@@ -83,7 +83,16 @@ def op10_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(tables(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_nearest": op4_nearest, "op10_near_duplicate_vectors": op10_near_duplicate_vectors, "op1_near_duplicates": op1_near_duplicates, "op8_line_dedup": op8_line_dedup, "op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netweave.llm.repeats import remove_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(tables(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {"op9_repeats": op9_repeats, "op4_nearest": op4_nearest, "op10_near_duplicate_vectors": op10_near_duplicate_vectors, "op1_near_duplicates": op1_near_duplicates, "op8_line_dedup": op8_line_dedup, "op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 _VECTORS = """
 WITH RECURSIVE v AS (
