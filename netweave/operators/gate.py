@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netweave.functions import geometry as G
 from netweave.operators.spatial import BOX, box_pairs, touching
-from netweave.plans.session import materialise
+from netweave.plans.session import Growing, materialise
 from netweave.sources.layout_text import gid_pid
 
 SLICE_BASE = 1 << 62
@@ -256,10 +256,10 @@ def search_in_order(edges: DataFrame, start: int, flood: str, high_of, polys: Da
     that first touched them).
     """
     spark = edges.sparkSession
-    visited = spark.createDataFrame([(start, 0)], "node bigint, ord bigint")
-    frontier, count = visited, 1
-    touched = spark.createDataFrame([], "aa bigint, ord bigint")
-    conducting = spark.createDataFrame([], "aa bigint, a int, b int")
+    frontier, count = spark.createDataFrame([(start, 0)], "node bigint, ord bigint"), 1
+    visited = Growing(frontier)
+    touched = Growing(spark.createDataFrame([], "aa bigint, ord bigint"))
+    conducting = Growing(spark.createDataFrame([], "aa bigint, a int, b int"))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -272,15 +272,16 @@ def search_in_order(edges: DataFrame, start: int, flood: str, high_of, polys: Da
 
     while True:
         events = materialise(frontier.join(edges, F.col("node") == F.col("src")).select("ord", "branch", "kind", "dst", "aa", "idx"), "events")
-        plain = events.where("kind = 0").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "branch")).alias("k")).join(visited, "node", "left_anti")
+        plain = events.where("kind = 0").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "branch")).alias("k")).join(visited.df, "node", "left_anti")
         plain = plain.select("node", "k.ord", "k.branch", gid_pid(F.col("node")).alias("target"), F.lit(0).alias("place"))
-        fresh = materialise(events.where("kind > 0").groupBy("aa").agg(F.min("ord").alias("ord")).join(touched, "aa", "left_anti"), "fresh")
-        touched = materialise(touched.unionByName(fresh), "touched")
-        conducting = materialise(conducting.unionByName(high_of(fresh, visited)), "conducting")
+        fresh = materialise(events.where("kind > 0").groupBy("aa").agg(F.min("ord").alias("ord")).join(touched.df, "aa", "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            touched.add(fresh)
+            conducting.add(materialise(high_of(fresh, visited.df), "conducting"))
         per_area = events.where("kind = 1").groupBy("aa").agg(F.collect_set(F.struct("ord", "branch", "idx")).alias("events"))
-        pairs = conducting.groupBy("aa").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+        pairs = conducting.df.groupBy("aa").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
         of_node = F.shiftright(F.col("node") - SLICE_BASE, _PIECE_BITS)
-        seen = visited.where(F.col("node") >= SLICE_BASE).groupBy(of_node.alias("pid")).agg(F.collect_set((F.col("node") % (1 << _PIECE_BITS)).cast("int")).alias("seen"))
+        seen = visited.df.where(F.col("node") >= SLICE_BASE).groupBy(of_node.alias("pid")).agg(F.collect_set((F.col("node") % (1 << _PIECE_BITS)).cast("int")).alias("seen"))
         areas = per_area.join(pairs, "aa", "left").withColumn("pid", gid_pid(F.col("aa")).cast("bigint")).join(seen, "pid", "left").select("aa", "events", "pairs", "seen")
         pieces = areas.mapInPandas(fold, "aa bigint, ord bigint, branch int, place int, idx int").select(piece_node(F.col("aa"), F.col("idx")).alias("node"), "ord", "branch", gid_pid(F.col("aa")).alias("target"), "place")
         # a level's nodes are numbered in one task; polygons at large never are
@@ -288,6 +289,6 @@ def search_in_order(edges: DataFrame, start: int, flood: str, high_of, polys: Da
         frontier = materialise(plain.unionByName(pieces).select("node", number.cast("bigint").alias("ord")), "frontier")
         found = frontier.count()
         if not found:
-            return visited, touched.select("aa")
+            return visited.df, touched.df.select("aa")
         count += found
-        visited = materialise(visited.unionByName(frontier), "visited")
+        visited.add(frontier)

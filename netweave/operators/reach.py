@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from netweave.operators.components import connected_components
-from netweave.plans.session import materialise
+from netweave.plans.session import Growing, materialise
 
 
 def reach_components(contacts: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -24,12 +24,12 @@ def reach_frontier(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Costs what is reached, a job a level: for shallow searches, and for edges that lead one way.
     """
-    visited = materialise(seeds.select("node", F.lit(0).alias("level")).distinct(), "visited")
-    frontier, level = visited, 0
+    frontier, level = materialise(seeds.select("node", F.lit(0).alias("level")).distinct(), "frontier"), 0
+    visited = Growing(frontier)
     while True:
         level += 1
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = materialise(found.join(visited, "node", "left_anti").withColumn("level", F.lit(level)), "frontier")
+        frontier = materialise(found.join(visited.df, "node", "left_anti").withColumn("level", F.lit(level)), "frontier")
         if frontier.isEmpty():
-            return visited
-        visited = materialise(visited.unionByName(frontier), "visited")
+            return visited.df
+        visited.add(frontier)

@@ -77,7 +77,7 @@ def box_pairs(left: DataFrame, right: DataFrame, layer_pairs: DataFrame, once: b
 
     ``left``, ``right``: ``gid, lid``, a box, ``is_rect``; ``layer_pairs``: ``lid, nlid``. Returns ``a, b`` (gids of
     left and right) and ``sure`` (both are rectangles, so the boxes are all there is to compare). With ``once``,
-    for one set on both sides, each unordered pair comes once.
+    for one set on both sides, each unordered pair comes once, the smaller gid as ``a``.
     """
     columns = ["gid", "lid", *BOX, "is_rect"]
     lhs = left.select(*columns).withColumn("own", _own_size(base))
@@ -97,7 +97,8 @@ def box_pairs(left: DataFrame, right: DataFrame, layer_pairs: DataFrame, once: b
         return near.select("a", "b", (F.col("a_rect") & F.col("b_rect")).alias("sure"))
 
     if once:
-        return search(lhs, rhs, layer_pairs, F.col("a") < F.col("b"))
+        found = search(lhs, rhs, layer_pairs, F.col("a") < F.col("b"))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
     back = layer_pairs.select(F.col("nlid").alias("lid"), F.col("lid").alias("nlid"))
     forth = search(lhs, rhs, layer_pairs, F.lit(True))
     return forth.unionByName(search(rhs, lhs, back, F.lit(False)).select(F.col("b").alias("a"), F.col("a").alias("b"), "sure"))

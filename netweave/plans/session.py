@@ -43,6 +43,18 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table that a loop appends small written tables to: their union, written together every ``every`` appends."""
+
+    def __init__(self, df: DataFrame, every: int = 12):
+        self.df, self.every, self.parts = df, every, 0
+
+    def add(self, part: DataFrame) -> None:
+        self.df, self.parts = self.df.unionByName(part), self.parts + 1
+        if self.parts % self.every == 0:
+            self.df = materialise(self.df, "growing")
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch path of this session; results that still read them must be consumed before."""
     root = f"{scratch_root(spark)}/netweave-{spark.sparkContext.applicationId}"
