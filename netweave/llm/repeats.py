@@ -84,10 +84,10 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
             yield row, int(at - a), piece, np.array([0, len(piece)], np.int64)
 
 
-def all_stretches(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+def all_stretches(texts: pa.Array, chunk_bytes: int = _CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
     """Per chunk of a column: first row, and owner, start, end, minimizer of its stretches, starts within the text, and
     the bytes of each stretch on demand as ``(data, begin)``."""
-    for first, data, offsets in text_chunks(texts, _CHUNK):
+    for first, data, offsets in text_chunks(texts, chunk_bytes):
         for row, shift, piece, bounds in _parts(data, offsets):
             owner, start, end, name = stretches(piece, bounds)
             base = bounds[:-1][owner] if len(owner) else owner
@@ -97,20 +97,23 @@ def all_stretches(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 class RunLengthIndex:
     """Run-length compressed BWT of stretches, each followed by a separator of its own; sampled at the ends of runs."""
 
-    PER_KEY, BITS = 7, 9
-
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         """``data``: all stretches; ``bounds``: where each begins, and the end."""
         count = len(bounds) - 1
         lengths = np.diff(bounds)
-        # letters are 1..256, 0 the separator; separators differ by place, which the order of ties stands for
+        # letters are numbered as they occur, 0 is the separator; separators differ by place, as ties are ordered
         n = len(data) + count
         text = np.zeros(n, np.uint16)
+        used = np.flatnonzero(np.bincount(data, minlength=256))
+        letter = np.zeros(256, np.uint16)
+        letter[used] = np.arange(1, len(used) + 1)
+        self.bits = int(len(used)).bit_length()
+        self.per_key = 63 // max(1, self.bits)
         keep = np.ones(n, bool)
         self.begin = bounds[:-1] + np.arange(count)
         ends = self.begin + lengths
         keep[ends] = False
-        text[keep] = data.astype(np.uint16) + 1
+        text[keep] = letter[data]
         self.text = text
         self.rest = np.repeat(ends, lengths + 1) - np.arange(n)  # letters up to the separator
         self.suffixes = self._sorted()
@@ -126,18 +129,18 @@ class RunLengthIndex:
     def _keys(self) -> np.ndarray:
         """The first letters of each suffix as one number, nothing from beyond its separator."""
         n, out = len(self.text), np.zeros(len(self.text), np.uint64)
-        for j in range(self.PER_KEY):
+        for j in range(self.per_key):
             letter = np.zeros(n, np.uint64)
             letter[: max(0, n - j)] = self.text[j:]
             letter[self.rest < j] = 0
-            out = (out << np.uint64(self.BITS)) | letter
+            out = (out << np.uint64(self.bits)) | letter
         return out
 
     def _sorted(self) -> np.ndarray:
         n = len(self.text)
         key = self.key = self._keys()
-        order = np.argsort(key, kind="stable")
-        depth = self.PER_KEY
+        order = np.argsort(key)  # ties are seen to below
+        depth = self.per_key
         longest = int(self.rest.max()) + 1
         ranked = key[order]
         new = np.append(True, ranked[1:] != ranked[:-1])
@@ -151,7 +154,7 @@ class RunLengthIndex:
                 break
             at = order[tied]
             follow = np.where(self.rest[at] >= depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-            both = np.lexsort((at, follow, rank[at])) if n >= 1 << 31 else np.argsort((rank[at] << 32) | follow, kind="stable")
+            both = np.lexsort((at, follow, rank[at])) if n >= 1 << 31 else np.argsort((rank[at] << 32) | follow)
             at, follow = at[both], follow[both]
             order[tied] = at
             group = rank[at]
@@ -180,11 +183,11 @@ class RunLengthIndex:
             same = differ == 0
             # letters before the first that differs
             lead = np.zeros(len(live), np.int64)
-            for j in range(self.PER_KEY):
-                lead += (differ >> np.uint64(self.BITS * (self.PER_KEY - 1 - j))) == 0
+            for j in range(self.per_key):
+                lead += (differ >> np.uint64(self.bits * (self.per_key - 1 - j))) == 0
             out[live] = at + lead
             live = live[same]
-            at += self.PER_KEY
+            at += self.per_key
         return np.minimum(out, np.minimum(self.rest[a], self.rest[b]))
 
     def matching_statistics(self) -> np.ndarray:
@@ -257,36 +260,69 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """The minimizers of a task that two different texts have: ``t, id, part, p, bits``, a bit for each of an entry's."""
-    t, ident, part, count = (_joined(group.column(c), k) for c, k in (("ts", "<i8"), ("ids", "<i8"), ("parts", "<i4"), ("counts", "<i4")))
-    name = _joined(group.column("names"), "<u4")
-    entry = np.repeat(np.arange(len(t)), count)
-    which = np.unique(t, return_inverse=True)[1]
-    # of equal texts the one with the smallest id stands for all
-    least = np.full(which.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, which, ident)
-    take = (ident == least[which])[entry]
-    pairs = np.sort((name[take].astype(np.uint64) << np.uint64(32)) | which[entry[take]].astype(np.uint64))
-    heads = np.flatnonzero(np.append(True, pairs[1:] >> np.uint64(32) != pairs[:-1] >> np.uint64(32)))
-    several = pairs[heads] != pairs[np.append(heads[1:], len(pairs)) - 1]
-    shared = (pairs[heads[several]] >> np.uint64(32)).astype(np.uint32)
-    flag = take.copy()
-    flag[take] = np.isin(name[take], shared, assume_unique=False)
-    hit = np.flatnonzero(np.bincount(entry, flag, minlength=len(t)) > 0)
-    begin = np.cumsum(count) - count
-    bits = [np.packbits(flag[begin[e] : begin[e] + count[e]]).tobytes() for e in hit]
-    p = np.full(len(hit), group.column("p")[0].as_py())
-    return pa.table({"t": pa.array(t[hit]), "id": pa.array(ident[hit]), "part": pa.array(part[hit], pa.int32()), "p": pa.array(p, pa.int32()), "bits": pa.array(bits, pa.binary())})
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+
+
+def _shared(n_d: int):
+    """The minimizers of a task that two different texts have, a bit for each of an entry's, in few packed rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        t, ident, part, count = (_joined(group.column(c), k) for c, k in (("ts", "<i8"), ("ids", "<i8"), ("parts", "<i4"), ("counts", "<i4")))
+        name = _joined(group.column("names"), "<u4")
+        entry = np.repeat(np.arange(len(t)), count)
+        which = np.unique(t, return_inverse=True)[1]
+        # of equal texts the one with the smallest id stands for all
+        least = np.full(which.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ident)
+        take = (ident == least[which])[entry]
+        pairs = np.sort((name[take].astype(np.uint64) << np.uint64(32)) | which[entry[take]].astype(np.uint64))
+        heads = np.flatnonzero(np.append(True, pairs[1:] >> np.uint64(32) != pairs[:-1] >> np.uint64(32)))
+        several = pairs[heads] != pairs[np.append(heads[1:], len(pairs)) - 1]
+        shared = (pairs[heads[several]] >> np.uint64(32)).astype(np.uint32)
+        flag = take.copy()
+        flag[take] = np.isin(name[take], shared, assume_unique=False)
+        hit = np.flatnonzero(np.bincount(entry, flag, minlength=len(t)) > 0)
+        begin = np.cumsum(count) - count
+        p, out = group.column("p")[0].as_py(), []
+        for d, at in _rows_by((mix(t[hit].view(np.uint64) ^ ident[hit].view(np.uint64)) % np.uint64(n_d)).astype(np.int64)):
+            e = hit[at]
+            bits = [np.packbits(flag[x : x + n]).tobytes() for x, n in zip(begin[e].tolist(), count[e].tolist(), strict=True)]
+            out.append((d, p, _pack(t[e], "<i8"), _pack(ident[e], "<i8"), _pack(part[e], "<i4"), _pack([len(x) for x in bits], "<i4"), _squeeze(b"".join(bits))))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["d", "p", "ts", "ids", "parts", "sizes", "bits"])
+
+    return run
+
+
+def _flags(group: pa.Table) -> pa.Table:
+    """Packed rows to a row for each text: ``s, id, flags``."""
+    t, ident, part, size = (_joined(group.column(c), k) for c, k in (("ts", "<i8"), ("ids", "<i8"), ("parts", "<i4"), ("sizes", "<i4")))
+    held = [len(x) // 8 for x in group.column("ts").to_pylist()]
+    p = np.repeat(group.column("p").to_numpy(), held)
+    raw = b"".join(_unsqueeze(x) for x in group.column("bits").to_pylist())
+    begin = np.cumsum(size) - size
+    order = np.lexsort((p, part, t, ident))
+    new = np.append(True, (t[order][1:] != t[order][:-1]) | (ident[order][1:] != ident[order][:-1]))
+    edge = np.flatnonzero(new)
+    bits = [raw[b : b + n] for b, n in zip(begin[order].tolist(), size[order].tolist(), strict=True)]
+    entries = pa.StructArray.from_arrays([pa.array(part[order], pa.int32()), pa.array(p[order], pa.int32()), pa.array(bits, pa.binary())], ["part", "p", "bits"])
+    flags = pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)), pa.int32()), entries)
+    head = order[edge]
+    return pa.table({"s": pa.array(t[head] & 0xFFFFFFFF, pa.int64()), "id": pa.array(ident[head], pa.int64()), "flags": flags})
 
 
 def _emit(n_p: int, n_q: int):
-    """Texts with their flags to rows ``q, ts, ids, starts, lengths, data``: the stretches of shared minimizers."""
+    """Texts with their flags to rows ``q, ss, ids, starts, lengths, data``: the stretches of shared minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, ident, flags = batch.column("t").to_numpy(), batch.column("id").to_numpy(), batch.column("flags")
-            for first, owner, start, end, name, (data, begin, _) in all_stretches(batch.column("b")):
+            t, ident, flags = batch.column("s").to_numpy(), batch.column("id").to_numpy(), batch.column("flags")
+            for first, owner, start, end, name, (data, begin, _) in all_stretches(batch.column("b"), 4 * _CHUNK):
                 row, part = owner + first, start // _PART
                 p = ((name >> np.uint64(40)) % np.uint64(n_p)).astype(np.int64)
                 keep = np.zeros(len(row), bool)
@@ -305,17 +341,16 @@ def _emit(n_p: int, n_q: int):
                     x = kept[at]
                     size = end[x] - start[x]
                     held = b"".join(raw[s : s + n] for s, n in zip(begin[x].tolist(), size.tolist(), strict=True))
-                    out.append((q, _pack(t[row[x]], "<i8"), _pack(ident[row[x]], "<i8"), _pack(start[x], "<i8"), _pack(size, "<i4"), held))
-                yield pa.record_batch([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(6)], ["q", "ts", "ids", "starts", "lengths", "data"])
+                    out.append((q, _pack(t[row[x]], "<u4"), _pack(ident[row[x]], "<i8"), _pack(start[x], "<u4"), _pack(size, "<u1"), _squeeze(held)))
+                yield pa.record_batch([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(6)], ["q", "ss", "ids", "starts", "lengths", "data"])
 
     return run
 
 
 def _mark(group: pa.Table) -> pa.Table:
-    """``t, id, starts, ends``: the bytes of each text that its stretches here show to be repeats."""
-    t, ident, start, size = (_joined(group.column(c), k) for c, k in (("ts", "<i8"), ("ids", "<i8"), ("starts", "<i8"), ("lengths", "<i4")))
-    size = size.astype(np.int64)
-    data = _joined(group.column("data"), np.uint8)
+    """``s, id, starts, ends``: the bytes of each text that its stretches here show to be repeats."""
+    t, ident, start, size = (_joined(group.column(c), k).astype(np.int64) for c, k in (("ss", "<u4"), ("ids", "<i8"), ("starts", "<u4"), ("lengths", "<u1")))
+    data = np.frombuffer(b"".join(_unsqueeze(x) for x in group.column("data").to_pylist()), np.uint8)
     begin = np.cumsum(size) - size
     power, inverse = power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
@@ -355,7 +390,7 @@ def _mark(group: pa.Table) -> pa.Table:
     edge = np.flatnonzero(np.append(True, (t[row][1:] != t[row][:-1]) | (ident[row][1:] != ident[row][:-1]))) if len(row) else np.zeros(0, np.int64)
     lists = np.append(edge, len(row)).astype(np.int32)
     as_list = lambda x: pa.ListArray.from_arrays(pa.array(lists), pa.array(x, pa.int64()))
-    return pa.table({"t": pa.array(t[row[edge]], pa.int64()), "id": pa.array(ident[row[edge]], pa.int64()), "starts": as_list(a), "ends": as_list(b)})
+    return pa.table({"s": pa.array(t[row[edge]], pa.int64()), "id": pa.array(ident[row[edge]], pa.int64()), "starts": as_list(a), "ends": as_list(b)})
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,17 +434,19 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     total = rows.agg(F.sum("n")).first()[0] or 0
     n_p, n_q = -(-total // share_bytes) + 1, -(-total // index_bytes) + 1
     minimizers = base.select("t", "id", "b").mapInArrow(_share(n_p), "p int, ts binary, ids binary, parts binary, counts binary, names binary")
-    shared = materialise(minimizers.groupBy("p").applyInArrow(_shared, "t long, id long, part int, p int, bits binary"), "shared")
-    flags = shared.groupBy("t", "id").agg(F.collect_list(F.struct("part", "p", "bits")).alias("flags"))
-    # both joins deal the texts out alike, so that they are shuffled once and read twice
-    held = base.join(flags.hint("merge"), ["t", "id"], "left")
-    sent = held.where("flags is not null").select("t", "id", "b", "flags").mapInArrow(_emit(n_p, n_q), "q int, ts binary, ids binary, starts binary, lengths binary, data binary")
-    marks = sent.groupBy("q").applyInArrow(_mark, "t long, id long, starts array<long>, ends array<long>")
-    marks = marks.groupBy("t", "id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    shared = minimizers.groupBy("p").applyInArrow(_shared(n_p), "d int, p int, ts binary, ids binary, parts binary, sizes binary, bits binary")
+    flags = materialise(shared.groupBy("d").applyInArrow(_flags, "s long, id long, flags array<struct<part:int,p:int,bits:binary>>"), "flags")
+    # both joins deal the texts out alike, so that they are shuffled once and read twice; beside the id, 32 bits of the
+    # text's hash tell apart the few texts that share an id
+    keyed = base.select("doc_id", F.col("t").bitwiseAND(0xFFFFFFFF).alias("s"), "id", "b")
+    held = keyed.join(flags.hint("merge"), ["s", "id"], "left")
+    sent = held.where("flags is not null").select("s", "id", "b", "flags").mapInArrow(_emit(n_p, n_q), "q int, ss binary, ids binary, starts binary, lengths binary, data binary")
+    marks = sent.groupBy("q").applyInArrow(_mark, "s long, id long, starts array<long>, ends array<long>")
+    marks = marks.groupBy("s", "id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     # a text that a smaller id has as well goes whole
     classes = rows.where(F.col("n") >= LENGTH).groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    copies = rows.where(F.col("n") >= LENGTH).join(classes, "t").where("id > first").select("t", "id", F.lit(True).alias("copy")).distinct()
-    known = marks.join(copies, ["t", "id"], "full_outer")
-    cut = base.join(known.hint("merge"), ["t", "id"], "left").select("doc_id", "b", "copy", "starts", "ends")
+    copies = rows.where(F.col("n") >= LENGTH).join(classes, "t").where("id > first").select(F.col("t").bitwiseAND(0xFFFFFFFF).alias("s"), "id", F.lit(True).alias("copy")).distinct()
+    known = marks.join(copies, ["s", "id"], "full_outer")
+    cut = keyed.join(known.hint("merge"), ["s", "id"], "left").select("doc_id", "b", "copy", "starts", "ends")
     kind_of = docs.schema["doc_id"].dataType.simpleString()
     return cut.mapInArrow(_cut, f"doc_id {kind_of}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
