@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from netweave.llm.words import tidied
 from netweave.plans.session import materialise
 
 #: A line that at most so many different texts hold is rare and pairs its holders, however short it is.
@@ -138,7 +139,7 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, long_words: int = LONG_
                 gone = [removed_lines(a, b, w, block_words) for a, w, b in zip(*(part.column(c).to_pylist() for c in ("lh", "lw", "fh")), strict=True)]
                 yield pa.record_batch([part.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
 
-    cut = aligned.select("k", "lh", "lw", "fh").mapInArrow(align, "k string, gone array<int>").where(F.size("gone") > 0)
+    cut = aligned.select("k", "lh", "lw", "fh").mapInArrow(tidied(align), "k string, gone array<int>").where(F.size("gone") > 0)
     cut = cut.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     # copies lose all lines if the text is as long as a block; of rows that are one and the same, the first doesn't
     total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
@@ -148,12 +149,13 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, long_words: int = LONG_
         .where("not is_first or n > 1")
     )
     decided = cut.join(copies, "k", "full_outer")
-    marked = docs.select(*kept, key.alias("__k")).join(decided.withColumnRenamed("k", "__k"), "__k", "left")
-    # rows of one key: the first of them is what `gone` speaks of, the others are copies of it; the join has
+    decided = decided.select(F.col("k").alias("__k"), F.col("gone").alias("__aligned"), F.col("is_first").alias("__first"), F.col("n").alias("__n"))
+    marked = docs.select(*kept, key.alias("__k")).join(decided, "__k", "left")
+    # rows of one key: the first of them is what the alignment speaks of, the others are copies of it; the join has
     # brought them together already, so counting them costs no further exchange
     again = F.row_number().over(W.partitionBy("__k").orderBy("__k")) > 1
-    both = marked.withColumn("__copy", F.coalesce(~F.col("is_first") | ((F.col("n") > 1) & again), F.lit(False)))
-    mask = F.when(F.col("__copy"), F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.coalesce("gone", F.array().cast("array<int>")))
+    both = marked.withColumn("__copy", F.coalesce(~F.col("__first") | ((F.col("__n") > 1) & again), F.lit(False)))
+    mask = F.when(F.col("__copy"), F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.coalesce("__aligned", F.array().cast("array<int>")))
     gone_map = F.map_from_entries(F.transform(F.col("__gone"), lambda i: F.struct(i, F.lit(True))))
     left = F.filter(lines, lambda s, i: ~F.map_contains_key(F.col("__map"), i))
     both = both.withColumn("__gone", mask).withColumn("__map", F.when(F.size("__gone") > 0, gone_map))

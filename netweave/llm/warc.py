@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from netweave.llm.words import tidied
 from netweave.plans.session import materialise
 
 MAGIC = b"\x1f\x8b\x08"
@@ -118,7 +119,7 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
                 members = [encode_record(row, date)[:-1] for row in batch.slice(at, 256).to_pylist()]
                 yield pa.record_batch([pa.array(members, pa.binary())], ["member"])
 
-    members = records.mapInArrow(encode, "member binary").select(F.col("member").cast("string").alias("member"))
+    members = records.mapInArrow(tidied(encode), "member binary").select(F.col("member").cast("string").alias("member"))
     members.write.option("lineSep", "\0").option("compression", "none").text(path)
     return path
 
@@ -180,6 +181,21 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     return b"".join(out), pos - len(decoder.unused_data)
 
 
+def _begins(window: _Window, at: int) -> bool:
+    """Whether a record's member, or an empty one, begins at ``at``, or the file ends there."""
+    chunk = window.read(at, 1 << 16)
+    if not chunk:
+        return True
+    if chunk[:3] != MAGIC:
+        return False
+    decoder = zlib.decompressobj(31)
+    try:
+        out = decoder.decompress(chunk, 16)
+    except zlib.error:
+        return False
+    return out.startswith(b"WARC/") or decoder.eof and not out
+
+
 def read_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """Offset, length, header and block of the records that start in ``[start, end)``."""
     window, pos, chained = _Window(file, size), start, start == 0
@@ -200,8 +216,8 @@ def read_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, int
             raw, stop = got
             fields, body = head
             length = int(fields["content-length"])
-            follows = window.read(stop, 2)
-            if len(raw) == body + length + 4 and (chained or not follows or follows == MAGIC[:2]):
+            # what scanning came upon may be part of a payload; then no member follows it
+            if len(raw) == body + length + 4 and (chained or _begins(window, stop)):
                 yield pos, stop - pos, fields, raw[body : body + length]
                 pos, chained = stop, True
                 continue
@@ -247,7 +263,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> Da
                     yield _batch(rows)
 
     splits = spark.createDataFrame(ranges, "path string, size long, start long, end long")
-    return splits.repartition(max(1, min(len(ranges), 100_000))).mapInArrow(read, RECORD_SCHEMA)
+    return splits.repartition(max(1, min(len(ranges), 100_000))).mapInArrow(tidied(read), RECORD_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
