@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netweave.llm.vectors import block_rows, dot_rows, matrix, usable
+from netweave.llm.words import tidied
 from netweave.plans.session import materialise
 
 #: Queries of one int8 tile, and components that are summed in one float32 product.
@@ -110,4 +111,4 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, k: int = 20, id_col
         for at in range(0, max(1, len(out)), 10_000):
             yield pa.record_batch([pa.array([x[n] for x in out[at : at + 10_000]], kind) for n, kind in enumerate(kinds)], ["query_id", "rank", id_col, "score"])
 
-    return lists.repartition("query_id").mapInArrow(merge, f"query_id long, rank int, `{id_col}` long, score double")
+    return lists.repartition("query_id").mapInArrow(tidied(merge), f"query_id long, rank int, `{id_col}` long, score double")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from netweave.llm.vectors import block_rows, dot_rows, matrix, usable
 from netweave.operators.components import connected_components
+from netweave.llm.words import tidied
 from netweave.plans.session import materialise
 
 THRESHOLD = 0.9
@@ -137,7 +138,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_co
                 yield pa.record_batch([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "angle"])
 
     element = copies.schema["v"].dataType.simpleString()
-    placed = materialise(copies.mapInArrow(assign, f"v {element}, rep long, times long, cell int, angle double"), "cells")
+    placed = materialise(copies.mapInArrow(tidied(assign), f"v {element}, rep long, times long, cell int, angle double"), "cells")
     radius, size = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():
         radius[r["cell"]], size[r["cell"]] = r["r"], r["n"]
@@ -164,7 +165,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_co
                         [pa.array(np.concatenate([cell, where])[s], pa.int32()), pa.array(np.concatenate([mine, block])[s], pa.int32()), pa.array(role[s], pa.int32()), rows.column("rep"), rows.column("times"), rows.column("v")],
                         ["cell", "block", "role", "rep", "times", "v"])
 
-    dealt = placed.mapInArrow(visit, f"cell int, block int, role int, rep long, times long, v {element}")
+    dealt = placed.mapInArrow(tidied(visit), f"cell int, block int, role int, rep long, times long, v {element}")
     n_blocks = int(blocks.sum())
     dealt = dealt.repartition(max(1, min(n_blocks * 4, 20_000)), "cell", "block").sortWithinPartitions("cell", "block", "role")
 
@@ -197,7 +198,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_co
         if block:
             yield rows(block.close())
 
-    found = materialise(dealt.mapInArrow(compare, "id long, other long, links long"), "links")
+    found = materialise(dealt.mapInArrow(tidied(compare), "id long, other long, links long"), "links")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("u"), F.col("other").alias("v")))
     # copies: each is linked with its fellows, and with all that the one that stands for them is linked with

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netweave.llm.words import mix, shingles, text_chunks, word_hashes
+from netweave.llm.words import mix, shingles, text_chunks, tidied, word_hashes
 from netweave.operators.components import connected_components
 from netweave.plans.session import materialise
 
@@ -135,7 +135,7 @@ def sketch(docs: DataFrame, text_col: str = "text", bands: int = BANDS, rows: in
     from pyspark.sql import types as T
 
     made = [T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__sig", T.BinaryType())]
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *made]))
+    return docs.mapInArrow(tidied(run), T.StructType([*(docs.schema[c] for c in kept), *made]))
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LIKELY * k))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -176,7 +176,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                         out.append((node, b))
                 yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.select("__node", "b", "g", "role", "__text").mapInArrow(run, "a long, b long")
+    return rows.select("__node", "b", "g", "role", "__text").mapInArrow(tidied(run), "a long, b long")
 
 
 def _paired(members: DataFrame, blocks) -> DataFrame:
@@ -220,7 +220,7 @@ def _open_members(members: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
                 found[right] |= same.any(0)
             yield pa.record_batch([pa.array(c[found]) for c in (key, node, comp)], ["key", "node", "comp"])
 
-    return rows.select("key", "i", "j", "node", "comp", "mine", "sig").mapInArrow(run, "key long, node long, comp long").distinct()
+    return rows.select("key", "i", "j", "node", "comp", "mine", "sig").mapInArrow(tidied(run), "key long, node long, comp long").distinct()
 
 
 def linked_forest(columns: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -275,7 +275,7 @@ def _linked_members(members: DataFrame, texts: DataFrame, threshold: float) -> D
             links = linked_forest(np.concatenate(columns), np.concatenate(owners), np.flatnonzero(mine == i), np.flatnonzero(mine == j), comp, threshold)
             yield pa.record_batch([pa.array([int(node[x[y]]) for x in links], pa.int64()) for y in (0, 1)], ["a", "b"])
 
-    return rows.select("key", "i", "j", "node", "comp", "mine", "__text").mapInArrow(run, "a long, b long")
+    return rows.select("key", "i", "j", "node", "comp", "mine", "__text").mapInArrow(tidied(run), "a long, b long")
 
 
 def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> dict:

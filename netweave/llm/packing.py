@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from netweave.llm.tokens import default_path, encoder
-from netweave.llm.words import mix
+from netweave.llm.words import mix, tidied
 from netweave.plans.session import materialise
 
 WINDOW = 2048
@@ -90,7 +90,7 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id").take(pa.array(source, pa.int64())), *columns], ["doc_id", "doc_tokens", "start", "sequence", "ids", "key", "slot"])
 
     schema = f"doc_id {kind_of}, doc_tokens long, start long, sequence long, ids binary, key long, slot long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def _unpack(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def document_frequencies(pieces: DataFrame, path: str) -> tuple[int, float, np.n
         held = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(df[held], n)), pa.array(np.append(np.zeros(len(held), np.int64), total))], ["word", "n", "total"])
 
-    rows = pieces.select("ids").mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.sum("n"), F.sum("total")).collect()
+    rows = pieces.select("ids").mapInArrow(tidied(run), "word long, n long, total long").groupBy("word").agg(F.sum("n"), F.sum("total")).collect()
     df, n, total = np.zeros(DF_CLASSES), 0, 0
     for word, count, words in rows:
         if word < 0:
@@ -237,5 +237,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
                 [table.column("doc_id").combine_chunks().take(pa.array(p)), pa.array(base[p] + start), pa.array(length), pa.array(tokens[p]), pa.array(number + sequence), pa.array(offset), pa.array(content, pa.binary())], names)
 
     shards = max(1, -(-n // shard_pieces))
-    packed = pieces.select("doc_id", "doc_tokens", "start", "ids", "key", "slot").repartitionByRange(shards, "key", "slot").mapInArrow(shard, schema)
-    return rows.where(F.col("sequence").isNotNull()).mapInArrow(whole, schema).unionByName(packed)
+    packed = pieces.select("doc_id", "doc_tokens", "start", "ids", "key", "slot").repartitionByRange(shards, "key", "slot").mapInArrow(tidied(shard), schema)
+    return rows.where(F.col("sequence").isNotNull()).mapInArrow(tidied(whole), schema).unionByName(packed)

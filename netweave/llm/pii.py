@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netweave.llm.words import tidied
 from netweave.plans.session import materialise
 
 # fixed values: base kinds in their order, then kinds that only the method adds
@@ -235,7 +236,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     kind_of = docs.schema["doc_id"].dataType.simpleString()
     found = materialise(
-        docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind_of}, found array<struct<kind:int,start:int,end:int,base:boolean,votes:int,shape:int>>"),
+        docs.select("doc_id", "text").mapInArrow(tidied(_scan), f"doc_id {kind_of}, found array<struct<kind:int,start:int,end:int,base:boolean,votes:int,shape:int>>"),
         "pii",
     )
     counts = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes", "f.shape", "f.base").count()
@@ -259,4 +260,4 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 out.append([{"kind": KINDS[s["kind"]], "start": s["start"], "end": s["end"], "base": s["base"], "score": score} for s, score in kept])
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, made)], ["doc_id", "spans"])
 
-    return found.mapInArrow(decide, f"doc_id {kind_of}, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
+    return found.mapInArrow(tidied(decide), f"doc_id {kind_of}, spans array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")

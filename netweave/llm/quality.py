@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from netweave.llm.words import CHUNK_BYTES, mix, text_chunks, word_hashes
+from netweave.llm.words import CHUNK_BYTES, mix, text_chunks, tidied, tidy, word_hashes
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -106,7 +106,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
     bags = []
     for _, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
         for f in features(data, offsets, buckets):
-            bags.append(np.unique(f, return_counts=True) + (len(f) + PADDING,))
+            idx, n = np.unique(f, return_counts=True)
+            bags.append((idx, (n / (len(f) + PADDING)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (buckets, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
@@ -116,8 +117,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            idx, n, size = bags[i]
-            share_of = (n / size).astype(np.float32)[:, None]
+            idx, share = bags[i]
+            share_of = share[:, None]
             hidden = (emb[idx] * share_of).sum(0)
             logits = out @ hidden + off
             p = np.exp(logits - logits.max())
@@ -130,7 +131,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
             # features of one text share its gradient in proportion to how often they occur
             emb[idx] -= share_of * back * np.float32(len(idx) ** 0.5)
             done += 1
-    return QualityModel((emb @ (out[1] - out[0])).astype(np.float32), float(off[1] - off[0]))
+    model = QualityModel((emb @ (out[1] - out[0])).astype(np.float32), float(off[1] - off[0]))
+    del bags, emb
+    tidy()
+    return model
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id") -> QualityModel:
@@ -171,4 +175,4 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id")
             made = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.record_batch([*batch.columns, *made], [*batch.schema.names, "score", "predicted"])
 
-    return plain.mapInArrow(score, schema)
+    return plain.mapInArrow(tidied(score), schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netweave.llm.words import mix, power_tables, text_chunks
+from netweave.llm.words import mix, power_tables, text_chunks, tidied
 from netweave.plans.session import materialise
 
 LENGTH = 50
@@ -433,14 +433,14 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     rows = materialise(base.select("t", "id", F.octet_length("b").alias("n")), "rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
     n_p, n_q = -(-total // share_bytes) + 1, -(-total // index_bytes) + 1
-    minimizers = base.select("t", "id", "b").mapInArrow(_share(n_p), "p int, ts binary, ids binary, parts binary, counts binary, names binary")
+    minimizers = base.select("t", "id", "b").mapInArrow(tidied(_share(n_p)), "p int, ts binary, ids binary, parts binary, counts binary, names binary")
     shared = minimizers.groupBy("p").applyInArrow(_shared(n_p), "d int, p int, ts binary, ids binary, parts binary, sizes binary, bits binary")
     flags = materialise(shared.groupBy("d").applyInArrow(_flags, "s long, id long, flags array<struct<part:int,p:int,bits:binary>>"), "flags")
     # both joins deal the texts out alike, so that they are shuffled once and read twice; beside the id, 32 bits of the
     # text's hash tell apart the few texts that share an id
     keyed = base.select("doc_id", F.col("t").bitwiseAND(0xFFFFFFFF).alias("s"), "id", "b")
     held = keyed.join(flags.hint("merge"), ["s", "id"], "left")
-    sent = held.where("flags is not null").select("s", "id", "b", "flags").mapInArrow(_emit(n_p, n_q), "q int, ss binary, ids binary, starts binary, lengths binary, data binary")
+    sent = held.where("flags is not null").select("s", "id", "b", "flags").mapInArrow(tidied(_emit(n_p, n_q)), "q int, ss binary, ids binary, starts binary, lengths binary, data binary")
     marks = sent.groupBy("q").applyInArrow(_mark, "s long, id long, starts array<long>, ends array<long>")
     marks = marks.groupBy("s", "id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     # a text that a smaller id has as well goes whole
@@ -449,4 +449,4 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     known = marks.join(copies, ["s", "id"], "full_outer")
     cut = keyed.join(known.hint("merge"), ["s", "id"], "left").select("doc_id", "b", "copy", "starts", "ends")
     kind_of = docs.schema["doc_id"].dataType.simpleString()
-    return cut.mapInArrow(_cut, f"doc_id {kind_of}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return cut.mapInArrow(tidied(_cut), f"doc_id {kind_of}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

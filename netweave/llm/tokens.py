@@ -39,7 +39,7 @@ def _byte_of() -> dict[str, int]:
 
 
 #: Bytes of text whose pieces are looked up together, and pieces that a process remembers.
-_CHUNK, _REMEMBERED = 4 << 20, 600_000
+_CHUNK, _REMEMBERED = 2 << 20, 400_000
 
 # byte classes of the fast path: letters, digits, blanks, anything else; bytes from 0x80 on are letters there
 _LETTER, _NUMBER, _BLANK, _OTHER_CLASS = 0, 1, 2, 3
