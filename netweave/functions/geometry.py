@@ -106,6 +106,18 @@ def boxes_overlap(a: str = "a_", b: str = "b_") -> Column:
     return overlap_closed(c(f"{a}minx"), c(f"{a}maxx"), c(f"{b}minx"), c(f"{b}maxx")) & overlap_closed(c(f"{a}miny"), c(f"{a}maxy"), c(f"{b}miny"), c(f"{b}maxy"))
 
 
+def box_intersection(a: str = "a_", b: str = "b_") -> dict[str, Column]:
+    """The common box of two column prefixes, zeros if there is none."""
+    both = {c: f(f"{a}{c}", f"{b}{c}") for c, f in (("minx", F.greatest), ("miny", F.greatest), ("maxx", F.least), ("maxy", F.least))}
+    return {c: F.when(boxes_overlap(a, b), x).otherwise(F.lit(0).cast("bigint")) for c, x in both.items()}
+
+
+def canonical_ring(v: Column) -> Column:
+    """The ring, counter-clockwise, from its smallest vertex on, so that equal rings are equal however they begin."""
+    begun = lambda v: let(F.array_position(v, F.array_min(v)).cast("int"), lambda k: F.concat(F.slice(v, k, F.size(v) - k + 1), F.slice(v, F.lit(1), k - 1)))
+    return let(counter_clockwise(v), begun)
+
+
 def segments_touch(e: Column, f: Column) -> Column:
     """Whether two axis-parallel segments (structs ``ax, ay, bx, by``) share a point; collinear ones may overlap."""
     e_level, f_level = e["ay"] == e["by"], f["ay"] == f["by"]
