@@ -198,32 +198,25 @@ def static_edges(polygons: DataFrame, pieces: DataFrame, adjacency: DataFrame, a
     thereby cut. ``branch``: -1 within a layer, else the place of the neighbour layer. Whole areas are reached only
     within their layer, from a whole area; pieces don't lead on within their layer.
     """
-    spark = polygons.sparkSession
-    none = F.lit(None).cast("bigint")
+    none, no_idx = F.lit(None).cast("bigint"), F.lit(None).cast("int")
     aa = polygons.where(F.col("lid") == aa_lid)
-    other = polygons.where(F.col("lid") != aa_lid)
-    to_aa, to_other = adjacency.where(F.col("nlid") == aa_lid).select("lid", "nlid"), adjacency.where(F.col("nlid") != aa_lid).select("lid", "nlid")
     shape = lambda df: df.select("gid", "lid", *BOX, "v", "is_rect")
-    sources = shape(polygons).unionByName(shape(pieces))
+    all_shapes = materialise(shape(polygons).unionByName(shape(pieces)), "shapes")
     same = polygons.select("lid", F.col("lid").alias("nlid")).distinct()
     within = touching(shape(polygons), shape(polygons), same, once=True)
     within = within.unionByName(within.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    within = within.select(F.col("a").alias("src"), F.lit(-1).alias("branch"), F.lit(0).alias("kind"), F.col("b").alias("dst"), none.alias("aa"), F.lit(None).cast("int").alias("idx"))
-    lid = F.when(F.col("a") >= SLICE_BASE, F.lit(aa_lid)).otherwise(F.shiftright("a", 32).cast("int"))
-
-    def branched(pairs: DataFrame, target: Column) -> DataFrame:
-        order = adjacency.select("lid", "nlid", F.col("ord").alias("branch"))
-        return pairs.withColumn("lid", lid).withColumn("nlid", target).join(order, ["lid", "nlid"])
-
-    across = branched(touching(sources, shape(other), to_other), F.shiftright("b", 32).cast("int")).select(
-        F.col("a").alias("src"), "branch", F.lit(0).alias("kind"), F.col("b").alias("dst"), none.alias("aa"), F.lit(None).cast("int").alias("idx")
-    )
-    touched = touching(sources, shape(aa), to_aa)
-    own = aa.join(to_aa.where(F.col("lid") == aa_lid), "lid", "left_semi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    touched = materialise(branched(touched.unionByName(own), F.lit(aa_lid)).select(F.col("a").alias("src"), "branch", F.col("b").alias("aa")), "touched")
-    entered = touching(sources, shape(pieces), to_aa).select(F.col("a").alias("src"), F.col("b").alias("gid")).join(pieces.select("gid", "aa", "idx"), "gid")
-    entered = entered.join(touched, ["src", "aa"]).select("src", "branch", F.lit(1).alias("kind"), F.col("gid").alias("dst"), "aa", "idx")
-    touched = touched.select("src", "branch", F.lit(2).alias("kind"), none.alias("dst"), "aa", F.lit(None).cast("int").alias("idx"))
+    within = within.select(F.col("a").alias("src"), F.lit(-1).alias("branch"), F.lit(0).alias("kind"), F.col("b").alias("dst"), none.alias("aa"), no_idx.alias("idx"))
+    layer = lambda c: F.when(F.col(c) >= SLICE_BASE, F.lit(aa_lid)).otherwise(F.shiftright(c, 32).cast("int"))
+    # one join for all that neighbour layers connect; an area that is its own neighbour touches itself
+    met = touching(all_shapes, all_shapes, adjacency.select("lid", "nlid"))
+    own = aa.select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    met = met.unionByName(own).withColumn("lid", layer("a")).withColumn("nlid", layer("b"))
+    met = materialise(met.join(adjacency.select("lid", "nlid", F.col("ord").alias("branch")), ["lid", "nlid"]).select(F.col("a").alias("src"), "branch", F.col("b").alias("dst"), "nlid"), "met")
+    across = met.where(F.col("nlid") != aa_lid).select("src", "branch", F.lit(0).alias("kind"), "dst", none.alias("aa"), no_idx.alias("idx"))
+    touched = met.where((F.col("nlid") == aa_lid) & (F.col("dst") < SLICE_BASE)).select("src", "branch", F.col("dst").alias("aa"))
+    entered = met.where((F.col("nlid") == aa_lid) & (F.col("dst") >= SLICE_BASE)).select("src", "branch", "dst").join(pieces.select(F.col("gid").alias("dst"), "aa", "idx"), "dst")
+    entered = entered.join(touched.select("src", "aa"), ["src", "aa"], "left_semi").select("src", "branch", F.lit(1).alias("kind"), "dst", "aa", "idx")
+    touched = touched.select("src", "branch", F.lit(2).alias("kind"), none.alias("dst"), "aa", no_idx.alias("idx"))
     return within.unionByName(across).unionByName(entered).unionByName(touched)
 
 
