@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def _byte_of() -> dict[str, int]:
 
 
 #: Bytes of text whose pieces are looked up together, and pieces that a process remembers.
-_CHUNK, _REMEMBERED = 2 << 20, 400_000
+_CHUNK, _REMEMBERED = 3 << 20, 200_000
 
 # byte classes of the fast path: letters, digits, blanks, anything else; bytes from 0x80 on are letters there
 _LETTER, _NUMBER, _BLANK, _OTHER_CLASS = 0, 1, 2, 3
@@ -100,19 +101,30 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         special = {t["content"] for t in spec.get("added_tokens", [])}
         byte = _byte_of()
-        self.vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.vocab.items()}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
-        self.special = special
+        self.path, self.special = path, special
         self.size = max(spec["model"]["vocab"].values()) + 1
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        # pieces in two generations: what isn't asked for while one fills up is forgotten
         self.known: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
+        # where a word begins: at a leading blank, or where no letter stands in front
+        self.starts = np.ones(self.size, bool)
+        for token, i in vocab.items():
+            self.starts[i] = not token[0].isalpha() or token[0] in "ĠĊ"
+
+    @cached_property
+    def slow(self):
+        """The library itself, loaded only where a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as ``uint16`` where they fit, else ``uint32``."""
@@ -161,12 +173,12 @@ class Encoder:
         pieces = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
         names, at, which = np.unique(pieces, return_index=True, return_inverse=True)
         if len(self.known) > _REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         known, raw, names = self.known, data.tobytes(), names.tolist()
         found, code = list(map(known.get, names)), np.dtype(self.kind).char
         for i in [i for i, x in enumerate(found) if x is None]:
-            k = at[i]
-            found[i] = known[names[i]] = array(code, self.fast._core_bpe.encode_single_piece(raw[begin[k] : end[k]])).tobytes()
+            k, name = at[i], names[i]
+            found[i] = known[name] = self.before.get(name) or array(code, self.fast._core_bpe.encode_single_piece(raw[begin[k] : end[k]])).tobytes()
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind().itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
         where = (np.cumsum(size) - size)[which]
@@ -176,11 +188,8 @@ class Encoder:
         return ids, np.concatenate([[0], stop])[np.searchsorted(begin, offsets)]
 
     def word_starts(self) -> np.ndarray:
-        """For each id whether a word begins with it: a leading blank, or no letter in front."""
-        out = np.ones(self.size, bool)
-        for token, i in self.vocab.items():
-            out[i] = not token[0].isalpha() or token[0] in "ĠĊ"
-        return out
+        """For each id whether a word begins with it."""
+        return self.starts
 
 
 _encoders: dict[str, Encoder] = {}
