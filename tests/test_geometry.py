@@ -115,3 +115,19 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_slice_edges_leave_slants_out_and_box_intersection(spark):
+    df = spark.range(1).select(F.expr("array(named_struct('x', 0L, 'y', 0L), named_struct('x', 4L, 'y', 0L), named_struct('x', 4L, 'y', 0L), named_struct('x', 6L, 'y', 3L), named_struct('x', 0L, 'y', 3L))").alias("v"))
+    edges = df.select(F.explode(G.slice_edges(F.col("v"))).alias("e")).select("e.*").collect()
+    assert [tuple(e) for e in edges] == [(0, 0, 4, 0, True), (4, 0, 4, 0, False), (6, 3, 0, 3, True), (0, 3, 0, 0, False)]
+    boxes = spark.createDataFrame([(0, 0, 4, 4, 2, 3, 9, 9), (0, 0, 1, 1, 2, 2, 3, 3)], ", ".join(f"{p}_{c} bigint" for p in "ab" for c in ("minx", "miny", "maxx", "maxy")))
+    assert [tuple(r) for r in boxes.select(*[c.alias(n) for n, c in G.box_intersection().items()]).collect()] == [(2, 3, 4, 4), (0, 0, 0, 0)]
+
+
+def test_points_of_words(spark):
+    from netweave.sources.layout_text import parse_points
+
+    lines = spark.createDataFrame([("(0,1) (2,3) x (4,5)",), ("(0,1),(2,3) (7,8)",), ("(0,1)(2,3) (,)",)], "line string")
+    got = [[tuple(p) for p in r[0]] for r in lines.select(parse_points(F.col("line"), dialect="whitespace")).collect()]
+    assert got == [[(0, 1), (2, 3), (4, 5)], [(0, 1), (7, 8)], [(0, 1)]]
