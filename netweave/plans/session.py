@@ -19,7 +19,8 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"set {_CONF} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="netweave-")
         spark.conf.set(_CONF, root)

@@ -23,6 +23,11 @@ def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rect_layout(spark, sf_dir).polygons
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons as a table, for joins that read them several times."""
+    return materialise(_polygons(spark, sf_dir), "polygons")
+
+
 def _same(spark: SparkSession) -> DataFrame:
     return layers(spark).select("lid", F.col("lid").alias("nlid"))
 
@@ -74,7 +79,7 @@ def edge_split(spark, sf_dir):
 
 def edge_touch(spark, sf_dir):
     """Touching pairs of edges of any two polygons of a layer whose boxes meet."""
-    p = _polygons(spark, sf_dir)
+    p = _stored(spark, sf_dir)
     edges = p.select("gid", F.explode(G.ring_edges(F.col("v"))).alias("e"))
     pairs = S.box_pairs(p, p, _same(spark), once=True).select("a", "b")
     met = pairs.join(edges.select(F.col("gid").alias("a"), F.col("e").alias("ea")), "a").join(edges.select(F.col("gid").alias("b"), F.col("e").alias("eb")), "b")
@@ -100,22 +105,22 @@ def grid_occupancy(spark, sf_dir):
 
 
 def overlap_same_layer(spark, sf_dir):
-    p = _polygons(spark, sf_dir)
+    p = _stored(spark, sf_dir)
     return S.touching(p, p, _same(spark), once=True)
 
 
 def overlap_via(spark, sf_dir):
-    p = _polygons(spark, sf_dir)
+    p = _stored(spark, sf_dir)
     return S.touching(p, p, _adjacency(spark).select("lid", "nlid"))
 
 
 def overlap_l_shapes(spark, sf_dir):
-    p = l_layout(spark, sf_dir).polygons
+    p = materialise(l_layout(spark, sf_dir).polygons, "polygons")
     return S.touching(p, p, _same(spark), once=True)
 
 
 def contact_degree(spark, sf_dir):
-    layout = rect_layout(spark, sf_dir)
+    layout = T.Layout(layers(spark), _stored(spark, sf_dir))
     pairs = contacts(layout, _adjacency(spark))
     ends = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid")))
     return ends.groupBy("gid").agg(F.count("*").alias("degree"))
@@ -162,7 +167,7 @@ def reach_by_layer(spark, sf_dir):
 
 
 def reach_levels(spark, sf_dir):
-    layout = rect_layout(spark, sf_dir)
+    layout = T.Layout(layers(spark), _stored(spark, sf_dir))
     pairs = contacts(layout, _adjacency(spark))
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     seeds = S.locate_seeds(layout.polygons, layout.layers, _seeds(spark, sf_dir, (1,))).select(F.col("gid").alias("node"))
@@ -203,7 +208,7 @@ def gate_candidates(spark, sf_dir):
 
 
 def _crossings(spark, sf_dir):
-    p = _polygons(spark, sf_dir)
+    p = _stored(spark, sf_dir)
     return C.gate_crossings(p, C.gate_candidates(p, POLY, AREA))
 
 
