@@ -17,9 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Splits behind a word, so that the pieces joined again are the text itself.
 _AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 #: Rows that one interval of a source is meant to hold.
-INTERVAL_ROWS = 20_000
-#: Parts that each source is dealt out in when its target is looked up.
-SLOTS = 256
+INTERVAL_ROWS = 2_000
 DEFAULT_WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -89,10 +87,7 @@ def mix_sources(
     plan = source_targets(sizes.select("__src", "__size"), weights, max_epochs)
     plan = plan.withColumnsRenamed({"__size": "source_size", "__target": "target"})
     plan = plan.join(sizes.select("__src", F.ceil(F.col("__rows") / interval_rows).alias("__parts")), "__src")
-    # what belongs to a source is dealt out by the leading bits of the key as well, so that no task gets a whole source
-    slots = plan.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    slotted = keyed.withColumn("__slot", F.floor(place * SLOTS).cast("int"))
-    cut = slotted.join(slots, ["__src", "__slot"]).withColumn(
+    cut = keyed.join(plan, "__src").withColumn(
         "__part", F.floor(place * F.col("__parts")).cast("long")
     )
     totals = cut.groupBy("__src", "__part").agg(F.sum("size").alias("__sum"))
