@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netweave.llm.words import mix, power_tables, text_chunks, tidied
+from netweave.llm.words import mix, running_hash, text_chunks, tidied
 from netweave.plans.session import materialise
 
 LENGTH = 50
@@ -38,10 +38,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, np.zeros(0, np.uint64)
-    power, inverse = power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    grams = mix((total[K:] - total[:-K]) * inverse[: n - K + 1])
+    total, scale = running_hash(data)
+    grams = mix((total[K:] - total[:-K]) * scale[: n - K + 1])
+    del total
     low = np.uint64((1 << _PLACE_BITS) - 1)
     best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # ties go to the place further left
     width = 1
@@ -285,7 +284,12 @@ def _shared(n_d: int):
         several = pairs[heads] != pairs[np.append(heads[1:], len(pairs)) - 1]
         shared = (pairs[heads[several]] >> np.uint64(32)).astype(np.uint32)
         flag = take.copy()
-        flag[take] = np.isin(name[take], shared, assume_unique=False)
+        del pairs
+        if len(shared):  # sorted, as the pairs were
+            mine = name[take]
+            flag[take] = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
+        else:
+            flag[:] = False
         hit = np.flatnonzero(np.bincount(entry, flag, minlength=len(t)) > 0)
         begin = np.cumsum(count) - count
         p, out = group.column("p")[0].as_py(), []
@@ -322,7 +326,7 @@ def _emit(n_p: int, n_q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, ident, flags = batch.column("s").to_numpy(), batch.column("id").to_numpy(), batch.column("flags")
-            for first, owner, start, end, name, (data, begin, _) in all_stretches(batch.column("b"), 4 * _CHUNK):
+            for first, owner, start, end, name, (data, begin, _) in all_stretches(batch.column("b"), 2 * _CHUNK):
                 row, part = owner + first, start // _PART
                 p = ((name >> np.uint64(40)) % np.uint64(n_p)).astype(np.int64)
                 keep = np.zeros(len(row), bool)
@@ -352,10 +356,9 @@ def _mark(group: pa.Table) -> pa.Table:
     t, ident, start, size = (_joined(group.column(c), k).astype(np.int64) for c, k in (("ss", "<u4"), ("ids", "<i8"), ("starts", "<u4"), ("lengths", "<u1")))
     data = np.frombuffer(b"".join(_unsqueeze(x) for x in group.column("data").to_pylist()), np.uint8)
     begin = np.cumsum(size) - size
-    power, inverse = power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    name = mix((total[begin + size] - total[begin]) * inverse[begin] + size.astype(np.uint64))
+    total, scale = running_hash(data)
+    name = mix((total[begin + size] - total[begin]) * scale[begin] + size.astype(np.uint64))
+    del total
     _, one, which = np.unique(name, return_index=True, return_inverse=True)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ident)
