@@ -10,7 +10,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-from netweave.llm.words import mix, power_tables, text_chunks
+from netweave.llm.words import mix, running_hash, text_chunks
 
 #: Fixed value: the pattern that splits text before the merges, as published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +40,7 @@ def _byte_of() -> dict[str, int]:
 
 
 #: Bytes of text whose pieces are looked up together, and pieces that a process remembers.
-_CHUNK, _REMEMBERED = 3 << 20, 200_000
+_CHUNK, _REMEMBERED = 2 << 20, 200_000
 
 # byte classes of the fast path: letters, digits, blanks, anything else; bytes from 0x80 on are letters there
 _LETTER, _NUMBER, _BLANK, _OTHER_CLASS = 0, 1, 2, 3
@@ -167,10 +167,9 @@ class Encoder:
             return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         begin = _piece_starts(data, offsets)
         end = np.append(begin[1:], len(data))
-        power, inverse = power_tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-        pieces = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        total, scale = running_hash(data)
+        pieces = mix((total[end] - total[begin]) * scale[begin] + (end - begin).astype(np.uint64))
+        del total
         names, at, which = np.unique(pieces, return_index=True, return_inverse=True)
         if len(self.known) > _REMEMBERED:
             self.known, self.before = {}, self.known

@@ -57,6 +57,20 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def running_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums to hash any run of ``values`` by: ``(sums[end] - sums[begin]) * scale[begin]`` depends on the run alone.
+
+    One array is all that is made, whatever the steps.
+    """
+    power, scale = power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    part = sums[1:]
+    part[:] = values
+    part *= power[: len(values)]
+    np.cumsum(part, out=part)
+    return sums, scale
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -111,9 +125,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last = first[1:] - 1
     ends[last] = is_word[last]
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends)
-    power, inverse = power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(cls.astype(np.uint64) * power[:n], out=total[1:])
+    total, inverse = running_hash(cls)
     hashes = mix((total[end + 1] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
     return hashes, np.searchsorted(begin, offsets)
 
