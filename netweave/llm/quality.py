@@ -24,9 +24,9 @@ DIM = 8
 #: Character n-grams of these lengths, over the raw bytes, so that case and punctuation count.
 NGRAMS = (2, 3, 4)
 #: Labelled rows that the model is fitted on at most, and bytes of text taken from each to the driver.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: A row longer than this isn't in the sample (it would be a window, not a text).
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 8_000
 
 #: Empty features that every text has besides its own, so that a few words don't decide much.
 PADDING = 16
