@@ -229,12 +229,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
         base, tokens = table.column("start").to_numpy(), table.column("doc_tokens").to_numpy()
         number = TaskContext.get().partitionId() << 36
         out = np.array(list(fill_windows(ids, bounds, enc.word_starts(), shared.value, mean_words, window)), np.int64)
-        wide = ids.astype("<u4")
-        for at in range(0, len(out), 4096):
-            p, start, length, sequence, offset = out[at : at + 4096].T
-            content = [wide[a : a + n].tobytes() for a, n in zip(bounds[p] + start, length, strict=True)]
+        docs_of = table.column("doc_id").combine_chunks()
+        del held, table
+        for at in range(0, len(out), 512):
+            p, start, length, sequence, offset = out[at : at + 512].T
+            content = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(bounds[p] + start, length, strict=True)]
             yield pa.record_batch(
-                [table.column("doc_id").combine_chunks().take(pa.array(p)), pa.array(base[p] + start), pa.array(length), pa.array(tokens[p]), pa.array(number + sequence), pa.array(offset), pa.array(content, pa.binary())], names)
+                [docs_of.take(pa.array(p)), pa.array(base[p] + start), pa.array(length), pa.array(tokens[p]), pa.array(number + sequence), pa.array(offset), pa.array(content, pa.binary())], names)
 
     shards = max(1, -(-n // shard_pieces))
     packed = pieces.select("doc_id", "doc_tokens", "start", "ids", "key", "slot").repartitionByRange(shards, "key", "slot").mapInArrow(tidied(shard), schema)
