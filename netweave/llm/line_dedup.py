@@ -1,10 +1,14 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup: blocks of lines that an earlier document holds go from the later one.
 
-Lines become 64-bit hashes. A line that few documents hold, or a long one however many hold it, pairs each of its
-holders with its first holder, so pairs grow with the lines and not with the square of a group. Each pair is aligned
-by patience diff: lines unique in both sides, in a longest increasing run, are anchors; between anchors the search
-recurs, and a stretch without anchors is matched in order. Aligned blocks that are long enough go from the later
-document. Exact copies don't enter the pairs at all: all of their lines are aligned with their first copy.
+Lines become 64-bit hashes. From each line on, and back from each line, the shortest run of lines that is as long as a
+block is hashed too, and runs are looked up by their first holder. A block of any length is covered by such runs, each
+of which lies inside it, so a line goes exactly if it is part of a block that some earlier text holds: there is no pair
+of documents to choose and no limit to the holders of a line. Runs grow with the lines, two a line at most.
+
+``removed_lines`` is the comparison with one text, by patience diff: lines unique in both sides, in a longest increasing
+run, are anchors; between anchors the search recurs, and a stretch without anchors is matched in order. What it removes
+of a text, against whichever earlier one, is always among the blocks above. Exact copies don't enter the runs at all:
+all of their lines are their first copy's.
 """
 
 from __future__ import annotations
@@ -13,16 +17,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from netweave.llm.words import tidied
+from netweave.llm.words import mix, running_hash, tidied
 from netweave.plans.session import materialise
 
-#: A line that at most so many different texts hold is rare and pairs its holders, however short it is.
-RARE_DF = 100
-#: A line of so many words pairs its holders with its first holder however many they are.
-LONG_WORDS = 8
 #: A block goes if it has so many words in all.
 BLOCK_WORDS = 10
 
@@ -102,7 +103,26 @@ def removed_lines(later: list[int], first: list[int], words: list[int], block_wo
     return out
 
 
-def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, long_words: int = LONG_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shortest_runs(lines: np.ndarray, words: np.ndarray, bounds: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hash, begin, end`` of the shortest runs of ``block_words`` or more from each line on and back from each line.
+
+    ``bounds`` says where each text's lines begin (one more than texts); no run leaves its text, and none comes twice.
+    A block is covered by those inside it: a line from which the run would leave the block has fewer than
+    ``block_words`` to the block's end, so the run back from that end takes it in.
+    """
+    n, count = len(lines), np.diff(bounds)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + block_words, "left")
+    begin = np.searchsorted(total, total[1:] - block_words, "right") - 1
+    on, back = end <= np.repeat(bounds[1:], count), begin >= np.repeat(bounds[:-1], count)
+    runs = np.unique(np.concatenate([at[on] * (n + 1) + end[on], begin[back] * (n + 1) + at[back] + 1]))
+    begin, end = runs // (n + 1), runs % (n + 1)
+    sums, scale = running_hash(lines)
+    return mix((sums[end] - sums[begin]) * scale[begin] + (end - begin).astype(np.uint64)), begin, end
+
+
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text cut and ``n_lines, n_removed`` (columns of these names are replaced).
 
     Lines end at ``\\n``; blanks around a line don't count when lines are compared. Documents are in the order of
@@ -122,25 +142,39 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, long_words: int = LONG_
     )
     rows = materialise(rows, "lines")
     # one row for each text, its first copy; and how often each row repeats
-    texts = materialise(
-        rows.groupBy("tk").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.any_value("h").alias("h"), F.any_value("w").alias("w")).withColumn("k", F.col("ord.__k")),
-        "texts",
-    )
-    held = texts.select("k", "ord", F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("l")).select("k", "ord", "l.h", "l.w").where("w > 0")
-    shared = held.groupBy("h").agg(F.min("ord").alias("first"), F.count("*").alias("df"), F.max("w").alias("words"))
-    seeds = shared.where((F.col("df") > 1) & ((F.col("df") <= rare_df) | (F.col("words") >= long_words))).select("h", F.col("first.__k").alias("f"))
-    pairs = held.select("h", "k").join(seeds, "h").where("k <> f").select("k", "f").distinct()
-    aligned = pairs.join(texts.select("k", F.col("h").alias("lh"), F.col("w").alias("lw")), "k").join(texts.select(F.col("k").alias("f"), F.col("h").alias("fh")), "f")
+    texts = rows.groupBy("tk").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.any_value("h").alias("h"), F.any_value("w").alias("w"))
+    run = T.StructType().add("h", T.LongType()).add("begin", T.IntegerType()).add("end", T.IntegerType())
+    with_runs = T.StructType([texts.schema[c] for c in ("tk", "ord", "n")]).add("runs", T.ArrayType(run))
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                gone = [removed_lines(a, b, w, block_words) for a, w, b in zip(*(part.column(c).to_pylist() for c in ("lh", "lw", "fh")), strict=True)]
-                yield pa.record_batch([part.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
-
-    cut = aligned.select("k", "lh", "lw", "fh").mapInArrow(tidied(align), "k string, gone array<int>").where(F.size("gone") > 0)
-    cut = cut.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+                lines, words = (part.column(c) for c in ("h", "w"))
+                bounds = lines.offsets.to_numpy().astype(np.int64)
+                bounds -= bounds[0]
+                hashes, begin, end = shortest_runs(lines.flatten().to_numpy().view(np.uint64), words.flatten().to_numpy(), bounds, block_words)
+                of_text = np.searchsorted(begin, bounds)
+                shift = np.repeat(bounds[:-1], np.diff(of_text))
+                found = pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), pa.array((begin - shift).astype(np.int32)), pa.array((end - shift).astype(np.int32))], ["h", "begin", "end"])
+                yield pa.record_batch([*(part.column(c) for c in ("tk", "ord", "n")), pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), found)], ["tk", "ord", "n", "runs"])
+
+    texts = materialise(texts.mapInArrow(tidied(find), with_runs), "texts").withColumn("k", F.col("ord.__k"))
+    held = texts.select("k", "ord", F.explode("runs").alias("r")).select("k", "ord", "r.*")
+    shared = held.groupBy("h").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("first.__k").alias("f"))
+    earlier = held.select("h", "k", "begin", "end").join(shared, "h").where("k <> f")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = []
+            for begins, ends in zip(batch.column("begins"), batch.column("ends"), strict=True):
+                begin, end = begins.values.to_numpy(), ends.values.to_numpy()
+                open_ = np.bincount(begin, minlength=end.max() + 1) - np.bincount(end, minlength=end.max() + 1)
+                gone.append(np.flatnonzero(np.cumsum(open_) > 0).astype(np.int32))
+            yield pa.record_batch([batch.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
+
+    cut = earlier.groupBy("k").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    cut = cut.mapInArrow(tidied(cover), "k string, gone array<int>")
     # copies lose all lines if the text is as long as a block; of rows that are one and the same, the first doesn't
     total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
     copies = (
@@ -149,13 +183,13 @@ def dedup_lines(docs: DataFrame, rare_df: int = RARE_DF, long_words: int = LONG_
         .where("not is_first or n > 1")
     )
     decided = cut.join(copies, "k", "full_outer")
-    decided = decided.select(F.col("k").alias("__k"), F.col("gone").alias("__aligned"), F.col("is_first").alias("__first"), F.col("n").alias("__n"))
+    decided = decided.select(F.col("k").alias("__k"), F.col("gone").alias("__held"), F.col("is_first").alias("__first"), F.col("n").alias("__n"))
     marked = docs.select(*kept, key.alias("__k")).join(decided, "__k", "left")
-    # rows of one key: the first of them is what the alignment speaks of, the others are copies of it; the join has
+    # rows of one key: the first of them is what the runs speak of, the others are copies of it; the join has
     # brought them together already, so counting them costs no further exchange
     again = F.row_number().over(W.partitionBy("__k").orderBy("__k")) > 1
     both = marked.withColumn("__copy", F.coalesce(~F.col("__first") | ((F.col("__n") > 1) & again), F.lit(False)))
-    mask = F.when(F.col("__copy"), F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.coalesce("__aligned", F.array().cast("array<int>")))
+    mask = F.when(F.col("__copy"), F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.coalesce("__held", F.array().cast("array<int>")))
     gone_map = F.map_from_entries(F.transform(F.col("__gone"), lambda i: F.struct(i, F.lit(True))))
     left = F.filter(lines, lambda s, i: ~F.map_contains_key(F.col("__map"), i))
     both = both.withColumn("__gone", mask).withColumn("__map", F.when(F.size("__gone") > 0, gone_map))

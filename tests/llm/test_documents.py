@@ -327,6 +327,19 @@ def test_line_dedup(docs, rows):
     assert sum(r[3] for r in deduped(rows)) > 10
 
 
+def removed_counts(spark, texts):
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).collect()
+    for r in got:
+        assert r["n_lines"] == len(texts[r["doc_id"]].split("\n"))
+    return [r["n_removed"] for r in sorted(got, key=key)], [r["text"] for r in sorted(got, key=key)]
+
+
+def test_a_block_of_short_lines_goes_however_many_texts_hold_it(spark):
+    texts = [f"only here {n}\nfive words stand right here\nand here five more words\nend of {n}" for n in range(130)]
+    removed, left = removed_counts(spark, texts)
+    assert removed == [0] + [2] * 129 and left[129] == "only here 129\nend of 129"
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
