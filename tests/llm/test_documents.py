@@ -327,6 +327,21 @@ def test_line_dedup(docs, rows):
     assert sum(r[3] for r in deduped(rows)) > 10
 
 
+def blocks_of_earlier_texts(texts, block=10):
+    """Lines of each of different texts, in order, that lie in a run of ``block`` words that any earlier text holds."""
+    words = lambda s: len(s.split())
+    lines = [[s.strip() for s in t.split("\n")] for t in texts]
+    out = []
+    for k, own in enumerate(lines):
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(map(words, own[i:j])) >= block and any(own[i:j] == e[x : x + j - i] for e in lines[:k] for x in range(len(e))):
+                    gone |= set(range(i, j))
+        out.append(sorted(gone))
+    return out
+
+
 def removed_counts(spark, texts):
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).collect()
     for r in got:
@@ -340,6 +355,37 @@ def test_a_block_of_short_lines_goes_however_many_texts_hold_it(spark):
     assert removed == [0] + [2] * 129 and left[129] == "only here 129\nend of 129"
 
 
+def test_a_block_goes_if_its_lines_first_occur_apart(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    texts = [f"x1\n{a}\nx2", f"y1\n{b}\ny2", f"z1\n{a}\n{b}\nz2", f"q1\n{a}\n{b}\nq2", f"r1\n{b}\n{a}\nr2"]
+    removed, left = removed_counts(spark, texts)
+    assert removed == [0, 0, 0, 2, 0] and left[3] == "q1\nq2"
+
+
+def test_lines_go_exactly_if_an_earlier_text_holds_their_block(spark):
+    rng = random.Random(12)
+    pool = ["", *(" ".join(rng.choice("abc") for _ in range(rng.choice((1, 2, 3, 4, 5, 9, 11)))) for _ in range(9))]
+    texts = list(dict.fromkeys("\n".join([f"t{n}", *(rng.choice(pool) for _ in range(rng.randrange(1, 14)))]) for n in range(150)))
+    want = blocks_of_earlier_texts(texts)
+    removed, left = removed_counts(spark, texts)
+    assert removed == [len(gone) for gone in want] and sum(removed) > 300
+    assert left == ["\n".join(s for i, s in enumerate(t.split("\n")) if i not in gone) for t, gone in zip(texts, want, strict=True)]
+    words = [[len(s.split()) for s in t.split("\n")] for t in texts]
+    for k in range(len(texts)):
+        for f in range(k):
+            assert set(line_dedup.removed_lines(texts[k].split("\n"), texts[f].split("\n"), words[k])) <= set(want[k])
+
+
+def test_line_dedup_is_the_alignment_with_every_earlier_text(docs, rows):
+    numbered = {r[0]: r[1] for r in rows if r[0] is not None and r[1]}
+    split = {i: [s.strip(" ") for s in t.split("\n")] for i, t in numbered.items()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    for k, own in split.items():
+        if k != 8 and numbered[k] not in [numbered[f] for f in numbered if f < k]:  # 8 is given three times
+            words = [len(s.split(" ")) if s else 0 for s in own]
+            assert got[k] == len(set().union(*(line_dedup.removed_lines(own, split[f], words) for f in split if f < k)))
+
+
 def test_line_dedup_of_nothing(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
