@@ -41,7 +41,7 @@ TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co us uk de fr
 
 ASSIGN = re.compile(r"[=:]")
 KEY_BEFORE = re.compile(r"([A-Za-z][A-Za-z0-9_-]{1,30})[\"']?[ \t]{0,3}$")
-VALUE_AFTER = re.compile(r"[ \t]{0,3}[\"']?([A-Za-z0-9+/_~.-]{8,200})")
+VALUE_AFTER = re.compile(r"[ \t]{0,3}[\"']?([A-Za-z0-9+/_~.-]{8,})")
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z-])")
 NATIONAL_ID = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")

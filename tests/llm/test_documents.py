@@ -178,6 +178,11 @@ def test_base_spans(text):
     assert pii.base_spans(text) == reference_spans(text)
 
 
+def test_an_assigned_value_is_proposed_whole():
+    value = hashlib.sha512(b"1").hexdigest() * 3
+    assert (4, 6, 6 + len(value)) in pii.candidate_spans(f"token={value} and more")
+
+
 def test_spans_added_and_clean_texts_left_alone(spark):
     clean = "the quick brown fox, version 12 of 2024: it costs 5.50 and order = 77 is late."
     texts = [None, "", clean] * 20 + [f"mail bob{i}@example.org now, token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" call +1 (212) 555-{1000 + i}" for i in range(30)]
