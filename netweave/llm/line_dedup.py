@@ -1,14 +1,16 @@
 """Line dedup: blocks of lines that an earlier document holds go from the later one.
 
 Lines become 64-bit hashes. From each line on, and back from each line, the shortest run of lines that is as long as a
-block is hashed too, and runs are looked up by their first holder. A block of any length is covered by such runs, each
-of which lies inside it, so a line goes exactly if it is part of a block that some earlier text holds: there is no pair
-of documents to choose and no limit to the holders of a line. Runs grow with the lines, two a line at most.
-
-``removed_lines`` is the comparison with one text, by patience diff: lines unique in both sides, in a longest increasing
-run, are anchors; between anchors the search recurs, and a stretch without anchors is matched in order. What it removes
-of a text, against whichever earlier one, is always among the blocks above. Exact copies don't enter the runs at all:
-all of their lines are their first copy's.
+block is hashed too. Runs are what documents are found by, as rare as a block and not as common as a line, so there is
+no limit to how many may hold one: a document is paired with the first holder of each of its runs. A block of any length
+is covered by such runs, each of which lies inside it, so for every block that an earlier text holds there is a pair
+that holds it. Runs, and pairs, grow with the lines, two a line at most.
+
+A pair is aligned by patience diff over the runs that brought it together: runs that stand once on both sides, in a
+longest increasing order, are anchors; between anchors the search recurs. Only those runs travel, not the texts, so a
+first holder of any length that many others are paired with costs them no more than what they share. Blocks that stand
+in another order than in the first holder, or a second time, don't fit one alignment; they are aligned each for itself,
+as blocks that moved. Exact copies don't enter the runs at all: all of their lines are their first copy's.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from netweave.llm.skew import join_counted
 from netweave.llm.words import mix, running_hash, tidied
 from netweave.plans.session import materialise
 
@@ -88,19 +91,23 @@ def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def removed_lines(later: list[int], first: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions in ``later`` of the aligned blocks, runs that are adjacent on both sides, of ``block_words`` or more."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience_matches(later, first), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[x] for x in block) >= block_words:
-                out += block
-            block = []
-        block.append(i)
-        last = (i, j)
-    return out
+def aligned_lines(runs: np.ndarray, moved: bool = True) -> np.ndarray:
+    """Lines of a later text that its alignment with one first holder takes out, in order.
+
+    ``runs``: rows ``begin, end, other`` of the runs that both hold, ``other`` being where the run begins in the holder.
+    With ``moved``, the runs that the alignment leaves over, as they stand in another order or a second time, count too.
+    """
+    mine = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    # a run is named by where it stands in the holder; both sides are sequences of such names
+    name = mine[:, 2] * (1 << 32) + (mine[:, 1] - mine[:, 0])
+    held, where = np.unique(name, return_inverse=True)
+    fit = patience_matches(where.tolist(), list(range(len(held))))
+    if not moved:
+        mine = mine[[i for i, _ in fit]]
+    gone = np.zeros(int(mine[:, 1].max()) + 1, np.int64)
+    np.add.at(gone, mine[:, 0], 1)
+    np.add.at(gone, mine[:, 1], -1)
+    return np.flatnonzero(np.cumsum(gone) > 0)
 
 
 def shortest_runs(lines: np.ndarray, words: np.ndarray, bounds: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,23 +129,32 @@ def shortest_runs(lines: np.ndarray, words: np.ndarray, bounds: np.ndarray, bloc
     return mix((sums[end] - sums[begin]) * scale[begin] + (end - begin).astype(np.uint64)), begin, end
 
 
-def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tidy_lines(text: Column) -> Column:
+    """The lines of a text as they are compared: blanks at their ends don't count, nor how many stand in a row."""
+    return F.transform(F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), "\n"), lambda s: F.trim(s))
+
+
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, moved: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text cut and ``n_lines, n_removed`` (columns of these names are replaced).
 
-    Lines end at ``\\n``; blanks around a line don't count when lines are compared. Documents are in the order of
-    their id, null last; rows with the same id are ordered by a hash of id and text, and of rows that agree in both one
-    counts as the first. Whether a block goes is judged on the texts as they came in. A null text has no lines and
-    stays null; a text of which nothing is left is empty. Ids may be null; an empty table gives an empty result.
+    Lines end at ``\\n``. They are compared without the blanks (space, tab, ``\\r``, form feed, vertical tab) at their
+    ends, and blanks in a row count as one, so copies with other line ends are copies; a word is a run of other
+    characters. Lines that stay are given as they came in. Documents are in the order of their id, null last; rows with
+    the same id are ordered by a hash of id and text, and of rows that agree in both one counts as the first. Whether a
+    block goes is judged on the texts as they came in. A null text has no lines and stays null; a text of which nothing
+    is left is empty. With ``moved``, a line goes exactly if it is part of a block that some earlier text holds; without,
+    a block must also fit the alignment with the first holder. Ids may be null or repeat. A text of any length is taken whole: its lines' hashes, 12 bytes a line, are a
+    row. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     text = F.col(text_col)
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))))
     lines = F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
     order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), "__k")
+    words = lambda s: F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
     rows = (
-        docs.select(F.col(id_col), lines.alias("__l"), F.md5(F.coalesce(text, F.lit(""))).alias("tk"), key.alias("__k"))
-        .select("__k", "tk", order.alias("ord"), F.transform("__l", lambda s: F.xxhash64(F.trim(s))).alias("h"), F.transform("__l", lambda s: F.when(F.trim(s) == "", 0).otherwise(F.length(F.trim(s)) - F.length(F.replace(F.trim(s), F.lit(" "), F.lit(""))) + 1)).alias("w"))
-        .where(F.size("h") > 0)
+        docs.where(text.isNotNull() & (text != "")).select(F.col(id_col), _tidy_lines(text).alias("__l"), F.md5(text).alias("tk"), key.alias("__k"))
+        .select("__k", "tk", order.alias("ord"), F.transform("__l", lambda s: F.xxhash64(s)).alias("h"), F.transform("__l", words).alias("w"))
     )
     rows = materialise(rows, "lines")
     # one row for each text, its first copy; and how often each row repeats
@@ -160,25 +176,32 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "
                 yield pa.record_batch([*(part.column(c) for c in ("tk", "ord", "n")), pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), found)], ["tk", "ord", "n", "runs"])
 
     texts = materialise(texts.mapInArrow(tidied(find), with_runs), "texts").withColumn("k", F.col("ord.__k"))
+    size = texts.agg(F.sum(F.size("runs")).alias("runs"), F.sum("n").alias("rows")).first()
     held = texts.select("k", "ord", F.explode("runs").alias("r")).select("k", "ord", "r.*")
-    shared = held.groupBy("h").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", F.col("first.__k").alias("f"))
-    earlier = held.select("h", "k", "begin", "end").join(shared, "h").where("k <> f")
+    # the first holder of each run, and where it holds it
+    shared = held.groupBy("h").agg(F.min(F.struct("ord", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared.select("h", F.col("first.ord.__k").alias("f"), F.col("first.begin").alias("other"), "n"), "shared")
+    pairs = join_counted(held.select("h", "k", "begin", "end"), shared, "h", "n", size["runs"] or 0).where("k <> f")
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
-            for begins, ends in zip(batch.column("begins"), batch.column("ends"), strict=True):
-                begin, end = begins.values.to_numpy(), ends.values.to_numpy()
-                open_ = np.bincount(begin, minlength=end.max() + 1) - np.bincount(end, minlength=end.max() + 1)
-                gone.append(np.flatnonzero(np.cumsum(open_) > 0).astype(np.int32))
+            for runs in batch.column("runs"):
+                place = np.stack([runs.values.field(c).to_numpy() for c in ("begin", "end", "other")], 1).astype(np.int64)
+                holder = np.unique(runs.values.field("f").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                order = np.argsort(holder, kind="stable")
+                edge = np.flatnonzero(np.diff(holder[order])) + 1
+                gone.append(np.unique(np.concatenate([aligned_lines(place[x], moved) for x in np.split(order, edge)])).astype(np.int32))
             yield pa.record_batch([batch.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
 
-    cut = earlier.groupBy("k").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    cut = cut.mapInArrow(tidied(cover), "k string, gone array<int>")
+    cut = pairs.groupBy("k").agg(F.collect_list(F.struct("f", "begin", "end", "other")).alias("runs"))
+    cut = cut.mapInArrow(tidied(align), "k string, gone array<int>")
     # copies lose all lines if the text is as long as a block; of rows that are one and the same, the first doesn't
     total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
+    again = texts.where("n > 1").select("tk", F.col("k").alias("first_k"), "n")
+    long_rows = rows.where(total >= block_words).select("tk", "__k")
     copies = (
-        rows.join(texts.where("n > 1").select("tk", F.col("k").alias("first_k")), "tk").where(total >= block_words)
+        join_counted(long_rows, again, "tk", "n", size["rows"] or 0)
         .groupBy(F.col("__k").alias("k")).agg((F.max("__k") == F.max("first_k")).alias("is_first"), F.count("*").alias("n"))
         .where("not is_first or n > 1")
     )

@@ -298,31 +298,45 @@ def test_patience_matches_are_common_and_in_order():
         assert line_dedup.patience_matches(a, a) == [(i, i) for i in range(len(a))]
 
 
+BLANKS = " \t\x0b\f\r"
+
+
+def compared(text):
+    """Lines as dedup_lines compares them, and their words, written without its code."""
+    lines = [re.sub(f"[{BLANKS}]+", " ", s).strip(" ") for s in text.split("\n")] if text else []
+    return lines, [len(s.split(" ")) if s else 0 for s in lines]
+
+
+def held_lines(own, words, earlier, block):
+    """Lines of ``own`` in a run of ``block`` words that stands in one of the ``earlier`` lists of lines, all pairs tried."""
+    gone = set()
+    for other in earlier:
+        for i in range(len(own)):
+            for j in range(len(other)):
+                n = 0
+                while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                    n += 1
+                if sum(words[i : i + n]) >= block:
+                    gone |= set(range(i, i + n))
+    return gone
+
+
 def deduped(rows, block=10):
     """What dedup_lines defines, row by row: text left, lines, lines removed."""
     order = sorted(range(len(rows)), key=lambda i: (*key(rows[i]), hashlib.md5(f"{'null' if rows[i][0] is None else rows[i][0]}|{rows[i][1] or ''}".encode()).hexdigest()))
-    words = lambda s: 0 if not s else s.count(" ") + 1
-    first_text, holders, lines = {}, collections.defaultdict(list), {}
+    out, earlier = {}, {}
     for i in order:
         t = rows[i][1]
-        lines[i] = t.split("\n") if t else []
-        if t and t not in first_text:
-            first_text[t] = i
-            for s in set(map(str.strip, lines[i])) - {""}:
-                holders[s].append(i)
-    out = []
-    for i, r in enumerate(rows):
-        stripped = [s.strip(" ") for s in lines[i]]
-        if not lines[i]:
-            gone = set()
-        elif first_text[r[1]] != i:
-            gone = set(range(len(lines[i]))) if sum(map(words, stripped)) >= block else set()
+        own, words = compared(t)
+        if t in earlier:
+            gone = set(range(len(own))) if sum(words) >= block else set()
         else:
-            partners = {holders[s][0] for s in stripped if s and s in holders and len(holders[s]) > 1 and (len(holders[s]) <= 100 or words(s) >= 8)} - {i}
-            gone = set().union(*(line_dedup.removed_lines(stripped, [s.strip(" ") for s in lines[p]], [words(s) for s in stripped]) for p in partners))
-        left = "\n".join(s for n, s in enumerate(lines[i]) if n not in gone) if r[1] is not None else None
-        out.append((r[0], left, len(lines[i]), len(gone)))
-    return out
+            gone = held_lines(own, words, earlier.values(), block)
+            if t:
+                earlier[t] = own
+        left = "\n".join(s for n, s in enumerate(t.split("\n")) if n not in gone) if t is not None else None
+        out[i] = (rows[i][0], left, len(own), len(gone))
+    return [out[i] for i in range(len(rows))]
 
 
 def test_line_dedup(docs, rows):
@@ -332,6 +346,19 @@ def test_line_dedup(docs, rows):
     assert sum(r[3] for r in deduped(rows)) > 10
 
 
+def removed_by_diff(later, first, words, block=10):
+    """Positions in ``later`` of blocks, adjacent on both sides, of one patience diff of all lines of two texts."""
+    out, run, last = set(), [], (-2, -2)
+    for i, j in [*line_dedup.patience_matches(later, first), (-9, -9)]:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if sum(words[x] for x in run) >= block:
+                out |= set(run)
+            run = []
+        run.append(i)
+        last = (i, j)
+    return out
+
+
 def blocks_of_earlier_texts(texts, block=10):
     """Lines of each of different texts, in order, that lie in a run of ``block`` words that any earlier text holds."""
     words = lambda s: len(s.split())
@@ -378,17 +405,38 @@ def test_lines_go_exactly_if_an_earlier_text_holds_their_block(spark):
     words = [[len(s.split()) for s in t.split("\n")] for t in texts]
     for k in range(len(texts)):
         for f in range(k):
-            assert set(line_dedup.removed_lines(texts[k].split("\n"), texts[f].split("\n"), words[k])) <= set(want[k])
+            assert set(removed_by_diff(texts[k].split("\n"), texts[f].split("\n"), words[k])) <= set(want[k])
+
+
+def test_copies_with_other_blanks_are_copies(spark):
+    body = "one two three four five\nsix seven eight nine ten eleven"
+    texts = [body, "a\r\n" + body.replace("\n", "\r\n") + "\r\nb", "\t" + body.replace(" ", " \t") + "\nc", "中文 " + body]
+    removed, left = removed_counts(spark, texts)
+    assert removed == [0, 2, 2, 0] and left[1:3] == ["a\r\nb", "c"]
+
+
+def test_a_very_long_text_is_taken_whole(spark):
+    lines = [f"line {n} of a text beyond ten million characters {'x' * 80}" for n in range(90_000)]
+    texts = ["\n".join(lines[40_000:40_002]), "\n".join(lines), "\n".join([*lines[89_998:], "only here"])]
+    removed, left = removed_counts(spark, texts)
+    assert removed == [0, 2, 2] and len(left[1]) > 10_000_000 and left[2] == "only here"
+
+
+def test_moved_blocks_go_or_stay(spark):
+    a, b = (" ".join(f"{c}{n}" for n in range(12)) for c in "ab")
+    docs = spark.createDataFrame([(0, f"{a}\n{b}"), (1, f"{b}\nx\n{a}"), (2, f"{a}\ny\n{a}\n{b}")], "doc_id bigint, text string")
+    for moved, want in ((True, [0, 2, 3]), (False, [0, 1, 2])):
+        got = line_dedup.dedup_lines(docs, moved=moved).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in got] == want
 
 
-def test_line_dedup_is_the_alignment_with_every_earlier_text(docs, rows):
+def test_line_dedup_takes_all_that_patience_diff_with_any_earlier_text_removes(docs, rows):
     numbered = {r[0]: r[1] for r in rows if r[0] is not None and r[1]}
-    split = {i: [s.strip(" ") for s in t.split("\n")] for i, t in numbered.items()}
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
-    for k, own in split.items():
-        if k != 8 and numbered[k] not in [numbered[f] for f in numbered if f < k]:  # 8 is given three times
-            words = [len(s.split(" ")) if s else 0 for s in own]
-            assert got[k] == len(set().union(*(line_dedup.removed_lines(own, split[f], words) for f in split if f < k)))
+    for k, text in numbered.items():
+        if k != 8 and text not in [numbered[f] for f in numbered if f < k]:  # 8 is given three times
+            own, words = compared(text)
+            assert got[k] == len(set().union(*(removed_by_diff(own, compared(numbered[f])[0], words) for f in numbered if f < k)))
 
 
 def test_line_dedup_of_nothing(no_docs):
