@@ -3,7 +3,9 @@
 Documents get hash-random keys. Each source's key range is cut into equal intervals (the keys are uniform, so
 the intervals are balanced without sampling); an interval is sorted by itself, the totals of the intervals give
 each one its offset, and the two sums together are the distributed prefix sum of the source. A source of any
-share of all rows is thereby spread over as many tasks as its rows ask for.
+share of all rows is thereby spread over as many tasks as its rows ask for: large sources find their target by a
+broadcast of few rows, and are exchanged by interval alone. Texts are read twice, once for a slim table of sizes from
+which sources and intervals are summed, and once to give the rows what is taken of them.
 """
 
 from __future__ import annotations
@@ -12,12 +14,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from netweave.llm.skew import join_counted
+from netweave.plans.session import materialise
+
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Splits behind a word, so that the pieces joined again are the text itself.
 _AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 #: Rows that one interval of a source is meant to hold.
 INTERVAL_ROWS = 2_000
+#: The table of targets is broadcast up to this size; of a larger one only the sources of many rows are.
+BROADCAST_BYTES = 16 << 20
 DEFAULT_WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -73,30 +80,39 @@ def mix_sources(
     source, ``taken`` is how many words of the row the mix takes, whole repeats counted. In the order of a hash of
     id and seed, a source is run through as often as its target holds it; the last, partial run stops at the exact
     word, so a source's ``taken`` sum to its target rounded down. Null ids and null sources are values like others;
-    rows that agree in id and size are interchangeable; an empty table gives an empty result.
+    rows that share an id are ordered by hashes of text and row, so reruns agree and the rows that may still change places
+    are the same. A text of any length counts whole. An empty table gives an empty result.
     """
     made = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c.lower() not in made]
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    keyed = docs.select(*kept, word_count(F.col(text_col)).alias("size")).withColumns(
-        {"__src": _source_key(F.col(source_col)), "__key": key}
-    )
-    # 24 leading bits of the key as a number in [0, 1)
-    place = F.conv(F.substring("__key", 1, 6), 16, 10).cast("double") / float(1 << 24)
-    sizes = keyed.groupBy("__src").agg(F.sum("size").alias("__size"), F.count("*").alias("__rows"))
+    ranked = {"size": word_count(F.col(text_col)), "__src": _source_key(F.col(source_col)), "__key": key}
+    # 52 leading bits of the key as a number in [0, 1), which a double holds exactly
+    place = F.conv(F.substring("__key", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    slim = materialise(docs.select(*[c.alias(n) for n, c in ranked.items()]), "sizes")
+    sizes = slim.groupBy("__src").agg(F.sum("size").alias("__size"), F.count("*").alias("__rows"))
     plan = source_targets(sizes.select("__src", "__size"), weights, max_epochs)
-    plan = plan.withColumnsRenamed({"__size": "source_size", "__target": "target"})
-    plan = plan.join(sizes.select("__src", F.ceil(F.col("__rows") / interval_rows).alias("__parts")), "__src")
-    cut = keyed.join(plan, "__src").withColumn(
-        "__part", F.floor(place * F.col("__parts")).cast("long")
-    )
-    totals = cut.groupBy("__src", "__part").agg(F.sum("size").alias("__sum"))
+    plan = plan.withColumnsRenamed({"__size": "source_size", "__target": "target"}).join(sizes.select("__src", "__rows"), "__src")
+    plan = materialise(plan.withColumn("__parts", F.ceil(F.col("__rows") / interval_rows)), "targets")
+    held = plan.agg(F.sum("__rows").alias("rows"), F.sum(F.octet_length("__src") + 64).alias("bytes")).first()
+
+    def planned(rows: DataFrame) -> DataFrame:
+        """Rows with what their source gets, and the interval they fall into; no source's rows are brought together."""
+        if (held["bytes"] or 0) <= BROADCAST_BYTES:
+            found = rows.join(F.broadcast(plan), "__src")
+        else:
+            found = join_counted(rows, plan, "__src", "__rows", held["rows"], narrow=F.octet_length("__src") < 1024)
+        return found.withColumn("__part", F.floor(place * F.col("__parts")).cast("long"))
+
+    totals = planned(slim).groupBy("__src", "__part").agg(F.sum("size").alias("__sum"))
     offsets = totals.select(
         "__src",
         "__part",
         (F.sum("__sum").over(W.partitionBy("__src").orderBy("__part")) - F.col("__sum")).alias("__offset"),
     )
-    inside = W.partitionBy("__src", "__part").orderBy("__key", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__src", "__part").orderBy("__key", "size", "__tie1", "__tie2").rowsBetween(W.unboundedPreceding, -1)
+    ties = {"__tie1": F.xxhash64(text_col), "__tie2": F.xxhash64(*kept)}
+    cut = planned(docs.select(*kept, *[c.alias(n) for n, c in (ranked | ties).items()]))
     placed = cut.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         offsets, ["__src", "__part"]
     )

@@ -269,6 +269,23 @@ def test_mixing(docs, rows, interval):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mixing_many_sources_without_a_broadcast_of_all(docs, rows, monkeypatch):
+    from netweave.llm import skew
+
+    want = sorted(map(str, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    for heavy in (4096, 4):  # all sources are large, or some
+        monkeypatch.setattr(skew, "HEAVY", heavy)
+        assert sorted(map(str, mixing.mix_sources(docs.repartition(4)).collect())) == want
+
+
+def test_rows_of_one_id_and_size_are_taken_in_the_same_order(spark):
+    rows = [(1, f"{a} {b}", "s") for a in "abcdefgh" for b in "xyz"] + [(2, "one two three", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    runs = [sorted((r["text"], r["taken"]) for r in mixing.mix_sources(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mixture_of_nothing(no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
 
