@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from netweave.llm.skew import join_counted
 from netweave.llm.words import tidied
 from netweave.plans.session import materialise
 
 MAGIC = b"\x1f\x8b\x08"
-HEAD_LIMIT = 1 << 20  # a header longer than this is none
 BLOCK = 1 << 20
 #: Payloads of at least so many bytes are stored once; smaller ones aren't worth a reference.
 MIN_SHARED_BYTES = 100
@@ -79,7 +79,8 @@ def plan_records(pages: DataFrame, min_shared: int = MIN_SHARED_BYTES) -> DataFr
     Payload: the html in UTF-8, null is empty. Among rows with the same payload of at least ``min_shared`` bytes
     the one with the smallest ``page_id`` (null last, then smallest ``url``) is the response and the others are
     revisits of it; of rows that agree in everything one counts as the smallest. The html of a response alone is
-    shuffled, by a key of its own page, so the copies of one payload don't meet in a task.
+    shuffled, by a key of its own page, so the copies of one payload don't meet in a task, nor do the rows that stand
+    for them. Null ids, urls and html are values like others; an empty table gives an empty result.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumns(
@@ -90,9 +91,11 @@ def plan_records(pages: DataFrame, min_shared: int = MIN_SHARED_BYTES) -> DataFr
     rows = large.groupBy("row_key", "payload_digest", "payload_bytes", "page_id", "url").agg(F.count("*").alias("n"))
     rows = materialise(rows, "pages")
     first = rows.groupBy("payload_digest").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("a"), "page_id", F.col("url").isNull().alias("b"), "url", "row_key")).alias("r")
+        F.min(F.struct(F.col("page_id").isNull().alias("a"), "page_id", F.col("url").isNull().alias("b"), "url", "row_key")).alias("r"), F.count("*").alias("holders")
     )
-    rows = rows.join(first, "payload_digest").withColumn("is_first", F.col("row_key") == F.col("r.row_key"))
+    total = rows.count()
+    rows = join_counted(rows, first, "payload_digest", "holders", total, narrow=F.coalesce(F.octet_length("r.url"), F.lit(0)) < 2048)
+    rows = rows.withColumn("is_first", F.col("row_key") == F.col("r.row_key"))
     none = F.lit(None)
     base = ["page_id", "url", "payload_digest", "payload_bytes"]
     response = (
@@ -147,8 +150,8 @@ class _Window:
 
 def parse_header(raw: bytes) -> tuple[dict[str, str], int] | None:
     """Header fields, and where the block begins; None if ``raw`` doesn't begin with a complete WARC header."""
-    end = raw.find(b"\r\n\r\n", 0, HEAD_LIMIT)
-    if not raw.startswith(b"WARC/") or end < 0:
+    end = raw.find(b"\r\n\r\n") if raw.startswith(b"WARC/") else -1
+    if end < 0:
         return None
     fields: dict[str, str] = {}
     for line in raw[:end].split(b"\r\n")[1:]:
@@ -236,16 +239,14 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> Da
     """Records of all gzipped WARC files below ``path``: ``path, offset, length, headers, payload``.
 
     Header names are in lower case. Members that don't decode to a record with a sound checksum and length are
-    passed over. A folder without files gives an empty result; nothing but file names and sizes reaches the driver.
+    passed over. A folder without files gives an empty result. Files are cut into ranges by the tasks; the driver
+    holds what its file listing holds. Headers and payloads may be of any length; a task holds one record at a time and
+    some 8 MB of those it gives.
     """
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
-    ranges = []
-    while files.hasNext():
-        f = files.next()
-        name, size = f.getPath().toString(), f.getLen()
-        if not f.getPath().getName().startswith(("_", ".")):
-            ranges += [(name, size, a, min(a + split_bytes, size)) for a in range(0, size, split_bytes)]
+    files = _archives(spark, path)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    ranges = files.where("size > 0").withColumn("start", starts).withColumn("end", F.least(F.col("start") + split_bytes, "size"))
+    n = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +263,16 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 16 << 20) -> Da
                             rows, held = [], 0
                     yield _batch(rows)
 
-    splits = spark.createDataFrame(ranges, "path string, size long, start long, end long")
-    return splits.repartition(max(1, min(len(ranges), 100_000))).mapInArrow(tidied(read), RECORD_SCHEMA)
+    # by place and not in turn, so a rerun deals the ranges out as before
+    return ranges.repartition(max(1, min(n, 100_000)), "path", "start").mapInArrow(tidied(read), RECORD_SCHEMA)
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """``path, size`` of all files below ``path``, found by Spark's own listing; their content isn't read."""
+    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return spark.createDataFrame([], "path string, size long")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.select("path", F.col("length").alias("size"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -145,6 +145,18 @@ def test_archives_round_trip(spark):
     assert have == want
 
 
+def test_long_urls_and_large_pages_come_back(spark):
+    rng = np.random.default_rng(9)
+    url = "http://a/" + "".join(map(chr, rng.integers(97, 123, 1_500_000)))
+    large = "".join(map(chr, rng.integers(32, 0x2000, 9_000_000)))  # the member ends beyond 16 MiB
+    rows = [(1, url, "x" * 200), (2, "u", "x" * 200), (3, "v", large), (4, url + "z", "y")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = warc.write_warc(warc.plan_records(df), scratch_path(spark, "warc"))
+    got = {r["headers"]["x-page"]: r for r in warc.read_warc(spark, path, split_bytes=1 << 20).collect()}
+    assert sorted(got) == ["1", "2", "3", "4"] and got["2"]["headers"]["warc-type"] == "revisit"
+    assert got["1"]["headers"]["warc-target-uri"] == url and bytes(got["3"]["payload"]).decode() == large
+
+
 def test_archives_are_plain_gzip_members(spark):
     _, df = pages(spark)
     path = warc.write_warc(warc.plan_records(df), scratch_path(spark, "warc"))
