@@ -3,7 +3,8 @@
 Every text is a bag of hashed features, its words, word pairs and character n-grams, each with a learned vector; the
 vectors are averaged and a softmax over the mean gives the label. Features are looked up by rolling hashes over the
 bytes of whole texts, without a vocabulary. Training is plain numpy stochastic gradient descent on the driver, over
-a sample of labelled rows whose size is a parameter. As the mean and the output layer are both linear, scoring needs
+a sample of labelled rows whose size is a parameter. Their texts are taken whole, but what reaches the driver is the bag
+of each, never larger than ``buckets`` numbers however long the text. As the mean and the output layer are both linear, scoring needs
 one number a feature: the difference of the two logits it contributes; that table, of ``buckets`` floats, is what
 the tasks are sent.
 """
@@ -23,10 +24,8 @@ BUCKETS = 1 << 18
 DIM = 8
 #: Character n-grams of these lengths, over the raw bytes, so that case and punctuation count.
 NGRAMS = (2, 3, 4)
-#: Labelled rows that the model is fitted on at most, and bytes of text taken from each to the driver.
+#: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 2000
-#: A row longer than this isn't in the sample (it would be a window, not a text).
-SAMPLE_BYTES = 8_000
 
 #: Empty features that every text has besides its own, so that a few words don't decide much.
 PADDING = 16
@@ -96,18 +95,27 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.4, seed: int = 11, buckets: int = BUCKETS) -> QualityModel:
-    """Fit on the given rows; with one class or none, the bias alone says what there is."""
+def pack_bag(bucket: np.ndarray) -> bytes:
+    """A text's bucket numbers as their different values and how often each occurs."""
+    held, n = np.unique(bucket, return_counts=True)
+    raw = np.diff(held, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes()
+    return len(held).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def open_bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers, and the share of the text's features, padding included, that each of them is."""
+    n = int.from_bytes(raw[:4], "little")
+    step, count = np.frombuffer(pa.decompress(raw[4:], decompressed_size=8 * n, codec="zstd", asbytes=True), "<u4").reshape(2, n)
+    return np.cumsum(step.astype(np.int32), dtype=np.int32), (count / (count.sum() + PADDING)).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 5, rate: float = 0.4, seed: int = 11, buckets: int = BUCKETS) -> QualityModel:
+    """Fit on the bags of the given rows; with one class or none, the bias alone says what there is."""
     y = np.asarray(labels, np.int64)
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     bias = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros(buckets, np.float32), bias)
-    bags = []
-    for _, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
-        for f in features(data, offsets, buckets):
-            idx, n = np.unique(f, return_counts=True)
-            bags.append((idx, (n / (len(f) + PADDING)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (buckets, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
@@ -132,17 +140,18 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
             emb[idx] -= share_of * back * np.float32(len(idx) ** 0.5)
             done += 1
     model = QualityModel((emb @ (out[1] - out[0])).astype(np.float32), float(off[1] - off[0]))
-    del bags, emb
+    del emb
     tidy()
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> QualityModel:
     """Train on ``labels.quality``, of rows whose crc32(id as text) mod 3 is not 1, which are held out.
 
-    At most ``sample_rows`` rows are taken, half of each label, those with the smallest hash of the id, of texts up
-    to ``sample_bytes`` characters. Null ids or labels, and ids whose labels disagree, teach nothing; text is the
-    only input.
+    At most ``sample_rows`` rows are taken, half of each label, those with the smallest hash of the id, whole texts of
+    any length. Null ids or labels, and ids whose labels disagree, teach nothing; a null text counts as empty; of rows
+    that share an id those with the smallest hash of the text come first. Text is the only input. Without labels the
+    model gives every text the same score.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 3 != 1))
@@ -152,16 +161,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     half = [known.where(F.col("y") == y).orderBy("__key").limit(sample_rows // 2 * 2) for y in (0, 1)]
     wanted = half[0].unionByName(half[1])
     # at most twice the sample's ids, so small enough to be broadcast whatever the corpus
-    found = docs.where(F.length("text") <= sample_bytes).select(F.col(id_col).alias("__id"), "text").join(F.broadcast(wanted), "__id")
-    rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy("__key", "text").limit(sample_rows // 2).collect()]
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    found = docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(wanted), "__id").select("y", "__key", F.md5("text").alias("t"), "text")
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_chunks(batch.column("text")):
+                part = batch.slice(first, len(offsets) - 1)
+                made = pa.array([pack_bag(f) for f in features(data, offsets)], pa.binary())
+                yield pa.record_batch([*(part.column(c) for c in ("y", "__key", "t")), made], ["y", "__key", "t", "bag"])
+
+    kind = labels.schema["quality"].dataType.simpleString()
+    bags = found.mapInArrow(tidied(bag), f"y {kind}, __key string, t string, bag binary")
+    best = [bags.where(F.col("y") == y).orderBy("__key", "t").limit(sample_rows // 2) for y in (0, 1)]
+    rows = best[0].unionByName(best[1]).select("y", "bag").collect()
+    return train([open_bag(bytes(r["bag"])) for r in rows], [r["y"] for r in rows])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``held_out, score, predicted`` (columns of these names are replaced); no shuffle.
 
     ``score`` is from 0 to 1, higher where label 1 is likelier; a null or empty text gets the score of a text
-    without features. ``predicted`` is 1 from a score of one half on. A null id is not held out.
+    without features. ``predicted`` is 1 from a score of one half on. A null id is not held out. Texts of any length are
+    scored whole; repeated rows get the same score, an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
