@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netweave.llm.skew import join_counted
 from netweave.llm.words import mix, shingles, text_chunks, tidied, word_hashes
 from netweave.operators.components import connected_components
 from netweave.plans.session import materialise
@@ -32,8 +33,9 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: 28 bands of 5 miss a pair of similarity 0.8 with probability 2e-5.
 BANDS, ROWS = 28, 5
-#: A pair of similarity 0.8 falls below this share of equal coordinates with probability 1e-8 (140 coordinates).
-LIKELY = 0.6
+#: A pair is passed over by signature only if it has fewer equal coordinates than one of the threshold's similarity
+#: would have at so many standard deviations below its mean; one in some 10**9 does.
+DEVIATIONS = 6.0
 #: Members of one bucket that a task compares with each other, and members of one centre that a task verifies.
 BLOCK = 2048
 BLOCK_CHARS = 32 << 20
@@ -89,6 +91,11 @@ def dart_signatures(columns: np.ndarray, owner: np.ndarray, texts: int, k: int)
     return signature
 
 
+def likely_coordinates(threshold: float, k: int) -> float:
+    """How many of ``k`` coordinates a pair must share to be compared exactly."""
+    return k * threshold - DEVIATIONS * (k * threshold * (1 - threshold)) ** 0.5
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each text and band."""
     parts = signature[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
@@ -138,14 +145,16 @@ def sketch(docs: DataFrame, text_col: str = "text", bands: int = BANDS, rows: in
     return docs.mapInArrow(tidied(run), T.StructType([*(docs.schema[c] for c in kept), *made]))
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """Pairs ``a, b`` whose signatures agree in enough coordinates."""
-    both = pairs.join(sigs.select(F.col("__node").alias("a"), F.col("__sig").alias("sa")), "a").join(sigs.select(F.col("__node").alias("b"), F.col("__sig").alias("sb")), "b")
+def _likely(pairs: DataFrame, sigs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` whose signatures agree in enough coordinates; ``b`` may be one node in any share of the pairs."""
+    centres = pairs.groupBy("b").agg(F.count("*").alias("n")).join(sigs.select(F.col("__node").alias("b"), F.col("__sig").alias("sb")), "b")
+    both = join_counted(pairs.join(sigs.select(F.col("__node").alias("a"), F.col("__sig").alias("sa")), "a"), centres, "b", "n", pairs.count())
+    enough = likely_coordinates(threshold, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, k) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LIKELY * k))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= enough))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
@@ -155,8 +164,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     The members of a centre ``b`` are dealt to groups of some ``GROUP``; the centre's text goes to each group once.
     """
-    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("n"))
-    placed = pairs.join(groups, "b").withColumn("g", F.pmod(F.xxhash64("a"), "n").cast("int"))
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("n"), F.count("*").alias("held"))
+    placed = join_counted(pairs, groups, "b", "held", pairs.count()).withColumn("g", F.pmod(F.xxhash64("a"), "n").cast("int"))
     asked = placed.select(F.col("a").alias("__node"), "b", "g", F.lit(1).alias("role")).unionByName(
         placed.select(F.col("b").alias("__node"), "b", "g").distinct().withColumn("role", F.lit(0))
     )
@@ -179,10 +188,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.select("__node", "b", "g", "role", "__text").mapInArrow(tidied(run), "a long, b long")
 
 
-def _paired(members: DataFrame, blocks) -> DataFrame:
-    """``members`` of each ``key`` dealt into ``blocks`` (a column), a row for each pair ``i <= j`` of blocks it is in."""
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
+def _paired(members: DataFrame) -> DataFrame:
+    """``members`` (``key, node, comp, chars``) in blocks, a row for each pair ``i <= j`` of blocks that must meet.
+
+    Two members must meet if they are of different components, so one at least is outside the bucket's largest. Those
+    outside come in blocks that meet each other and the blocks of the largest component, whose own blocks don't meet:
+    a bucket of many with a few strays costs each member a row for every block of strays.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    blocks = lambda n, chars: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
+    main = F.max_by(F.struct("comp", "n", "chars"), F.struct("n", "comp"))
+    buckets = parts.groupBy("key").agg(main.alias("main"), F.sum("n").alias("held"), F.sum("chars").alias("all"))
+    buckets = buckets.select("key", "held", F.col("main.comp").alias("main"), blocks(F.col("held") - F.col("main.n"), F.col("all") - F.col("main.chars")).alias("outer"), blocks(F.col("main.n"), F.col("main.chars")).alias("inner"))
+    dealt = join_counted(members, buckets, "key", "held", members.count())
+    stray, spot = F.col("comp") != F.col("main"), F.xxhash64("node")
+    dealt = dealt.withColumn("mine", F.when(stray, F.pmod(spot, "outer")).otherwise(F.col("outer") + F.pmod(spot, "inner")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(stray, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "held", "main", "outer", "inner")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[list[tuple]]:
@@ -199,13 +221,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]
         yield group
 
 
-def _open_members(members: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """The members of buckets (``key, node, comp, n``) that may be linked with a member of another component.
+def _open_members(members: DataFrame, sigs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The members of buckets (``key, node, comp``) that may be linked with a member of another component.
 
     A row a member, ``key, node, comp``, however many partners it may have.
     """
-    rows = _paired(members, F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    rows = rows.join(sigs.select(F.col("__node").alias("node"), F.col("__sig").alias("sig")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    enough = likely_coordinates(threshold, k)
+    rows = _paired(members.withColumn("chars", F.lit(0))).join(sigs.select(F.col("__node").alias("node"), F.col("__sig").alias("sig")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"], ["key", "node", "comp", "mine", "i", "j", "sig"]):
@@ -214,7 +236,7 @@ def _open_members(members: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
             left, right, found = np.flatnonzero(mine == i), np.flatnonzero(mine == j), np.zeros(len(node), bool)
             for at in range(0, len(left), 64):
                 x = left[at : at + 64]
-                same = (sig[x][:, None, :] == sig[right][None, :, :]).sum(2) >= LIKELY * k
+                same = (sig[x][:, None, :] == sig[right][None, :, :]).sum(2) >= enough
                 same &= comp[x][:, None] != comp[right][None, :]
                 found[x] |= same.any(1)
                 found[right] |= same.any(0)
@@ -260,9 +282,9 @@ def linked_forest(columns: np.ndarray, owner: np.ndarray, left: np.ndarray, righ
 
 def _linked_members(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b``, exact, that connect the components (``key, node, comp``) of each bucket as all its links do."""
-    held = members.join(texts.withColumnRenamed("__node", "node"), "node")
-    weight = members.join(texts.select(F.col("__node").alias("node"), F.length("__text").alias("chars")), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    rows = _paired(held.join(weight, "key"), F.col("blocks")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    size = texts.select(F.col("__node").alias("node"), F.length("__text").alias("chars"))
+    rows = _paired(materialise(members.join(size, "node"), "sized")).join(texts.withColumnRenamed("__node", "node"), "node")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"], ["node", "comp", "mine", "i", "j", "__text"]):
@@ -289,23 +311,24 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, id_col: s
     plain = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[c.alias(n) for n, c in _row_keys(docs, id_col, text_col).items()])
     seen = materialise(sketch(plain.withColumn("__row", F.monotonically_increasing_id()), "__text", bands, rows), "sketch")
     worded = seen.where("__node is not null")
-    nodes = worded.groupBy("__node").agg(F.any_value("__bands").alias("__bands"), F.any_value("__sig").alias("__sig"), F.min(F.struct("__h1", "__h2")).alias("h"))
+    nodes = materialise(worded.groupBy("__node").agg(F.any_value("__bands").alias("__bands"), F.any_value("__sig").alias("__sig"), F.min(F.struct("__h1", "__h2")).alias("h")), "nodes")
     keyed = nodes.select(F.col("__node").alias("node"), F.explode(F.array_distinct("__bands")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(keyed.join(shared, "key"), "members")
+    shared = materialise(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "shared")
+    members = materialise(join_counted(keyed, shared, "key", "n", nodes.count() * bands), "members")
     wanted = members.select(F.col("node").alias("__node")).distinct().join(nodes.select("__node", "__sig", "h.__h1", "h.__h2"), "__node")
     sigs = materialise(wanted, "signatures")
-    stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = materialise(_likely(stars, sigs, k), "likely")
+    stars = materialise(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    likely = materialise(_likely(stars, sigs, k, threshold), "likely")
     # the text of one document for each node that shares a bucket
     texts = materialise(plain.drop("__id").join(sigs.select("__node", "__h1", "__h2").hint("merge"), ["__h1", "__h2"]).dropDuplicates(["__node"]).select("__node", "__text"), "texts")
     links = materialise(_verified(likely, texts, threshold), "links")
     parts = connected_components(links, "a", "b")
     # buckets of more than a centre and one other that are still in several components; of those with the same members, one
-    placed = members.where("n > 2").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor("node").alias("t")).where("x <> y")
-    mixed = mixed.groupBy("s", "t").agg(F.min("key").alias("key")).select("key")
-    unsure = materialise(_open_members(placed.join(mixed, "key"), sigs, k), "open")
+    placed = materialise(members.where("n > 2").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor("node").alias("t"), F.count("*").alias("held")).where("x <> y")
+    mixed = mixed.groupBy("s", "t").agg(F.min(F.struct("key", "held")).alias("m")).select("m.key", "m.held")
+    open_ = join_counted(placed, materialise(mixed, "mixed"), "key", "held", placed.count(), "left_semi")
+    unsure = materialise(_open_members(materialise(open_, "unsure"), sigs, k, threshold), "open")
     if not unsure.isEmpty():
         links = links.unionByName(materialise(_linked_members(unsure, texts, threshold), "links"))
         parts = connected_components(links, "a", "b")
@@ -330,7 +353,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     words are runs of letters and digits without regard to case, and a text of one to four words is one shingle. A
     class is what links connect, ``class_id`` its smallest id (null if all its ids are null), ``class_size`` its rows.
     In each class one row is kept, one of those with the smallest id (null last). A text without words, null or
-    empty, is in no class with others: ``class_id`` is its own id, and it is kept. Columns other than id and text are
+    empty, is in no class with others: ``class_id`` is its own id, and it is kept. Texts of any length count whole; a
+    task holds the shingles of some megabyte of texts, or of one longer text. Columns other than id and text are
     ignored; an empty table gives an empty result.
     """
     return _classes(docs, threshold, bands, rows, id_col, text_col).select(F.col("__id").alias(id_col), "class_id", "class_size", "kept")

@@ -84,6 +84,39 @@ def test_a_chain_of_copies_is_one_class_though_its_ends_differ(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_links_at_a_low_threshold_are_whole(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:151] + [f"v{rng.randrange(10**6)}" for _ in range(53)]))]
+    low = [sum((bag(a[1]) & bag(b[1])).values()) / sum((bag(a[1]) | bag(b[1])).values()) for a, b in zip(rows[::2], rows[1::2])]
+    assert all(0.57 < x < 0.62 for x in low)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=0.5, bands=70, rows=2).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(i, i - i % 2) for i in range(80)]
+
+
+def test_buckets_of_several_components_in_many_blocks(spark, monkeypatch):
+    from netweave.llm import skew
+
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "GROUP", 2)
+    rng = random.Random(15)
+    rows, base = [], [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(60):
+        words = list(base)
+        for _ in range(1 + i % 6):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = sorted(sorted(rows[i][0] for i in g) for g in classes(rows).values())
+    for heavy in (4096, 1):
+        monkeypatch.setattr(skew, "HEAVY", heavy)
+        got = collections.defaultdict(list)
+        for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+            got[r["class_id"]].append(r["doc_id"])
+        assert sorted(map(sorted, got.values())) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 400, np.uint64), rng.integers(0, 2**63, 400, np.uint64)
@@ -222,6 +255,24 @@ def docs_lit():
     return F.lit("an input column of this name")
 
 
+def test_long_labelled_texts_teach_as_well(spark):
+    rng = random.Random(4)
+    words = [[f"{p}{i}" for i in range(300)] for p in ("good", "spam")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[i % 2]) for _ in range(3000))) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    got = quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()
+    assert min(len(r["text"]) for r in got) > 8000 and all(r["predicted"] == 1 - r["doc_id"] % 2 for r in got)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, quality.BUCKETS - 1), max_size=50))
+def test_bags_are_what_was_counted(buckets):
+    held, share = quality.open_bag(quality.pack_bag(np.array(buckets, np.int32)))
+    want = collections.Counter(buckets)
+    assert held.tolist() == sorted(want)
+    assert np.allclose(share, [want[b] / (len(buckets) + quality.PADDING) for b in sorted(want)])
+
+
 def test_scores_don_t_depend_on_the_texts_beside(spark):
     rng = np.random.default_rng(0)
     model = quality.QualityModel(rng.standard_normal(quality.BUCKETS).astype(np.float32), 0.1)
