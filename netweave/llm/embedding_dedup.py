@@ -7,8 +7,8 @@ bound is below the threshold is left alone, every other is recomputed in double
 
 Pairs aren't sought everywhere: vectors belong to the cell of their nearest pivot, and a vector is compared with
 another cell only if its angle to that cell's pivot exceeds the cell's radius by no more than the angle of the
-threshold. By the triangle inequality on angles nothing is lost that way. Equal vectors are one vector that counts
-as many. A task holds a bounded block of a cell and sees its guests pass by; it gives counts and a spanning forest of
+threshold. By the triangle inequality on angles nothing is lost that way. Rows of equal vectors are one vector that
+counts as many, whatever their ids. A task holds a bounded block of a cell and sees its guests pass by; it gives counts and a spanning forest of
 the links, never the links themselves, so a group of copies costs its members' rows and no more.
 """
 
@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netweave.llm.vectors import block_rows, dot_rows, matrix, usable
+from netweave.llm.skew import join_counted
+from netweave.llm.vectors import block_rows, dot_rows, matrix, takes_part, usable
 from netweave.operators.components import connected_components
 from netweave.llm.words import tidied
 from netweave.plans.session import materialise
@@ -104,19 +105,21 @@ class _Block:
 
 
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``id_col, n_links, component_id, kept`` for every id of ``table``.
+    """``id_col, n_links, component_id, kept`` for every row of ``table``.
 
-    ``n_links`` is the number of other ids whose vector has a cosine of ``threshold`` or more, ``component_id`` the
-    smallest id that links reach, ``kept`` whether that is the row's own. Vectors that take no part (see
-    ``vectors.usable``) are linked with nothing. Repeated ids give one row; a null id one row with a null component,
-    kept. Other columns are ignored; an empty table gives an empty result.
+    ``n_links`` is the number of other rows whose vector has a cosine of ``threshold`` or more, ``component_id`` the
+    smallest id that links reach, ``kept`` whether that is the row's own. Rows that take no part (see
+    ``vectors.usable``) are linked with nothing and have their own id as component; a null id has a null component and
+    is kept. Repeated ids and repeated rows are rows like others. Other columns are ignored; an empty table gives an
+    empty result.
     """
     good, dim = usable(table, id_col, vec_col)
-    copies = materialise(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("times")), "vectors")
-    members = good.join(copies.where("times > 1").select("v", "rep", "times"), "v").select("id", "rep", "times")
+    copies = good.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("times"))
+    # a vector's own number, written down so that it stays the same
+    copies = materialise(copies.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     n = copies.count()
     n_pivots = max(1, min(MAX_PIVOTS, -(-n // CELL)))
-    pivots = np.array([r["v"] for r in copies.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).collect()], np.float64).reshape(-1, max(dim, 1))
+    pivots = np.array([r["v"] for r in copies.orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()], np.float64).reshape(-1, max(dim, 1))
     pivots /= np.maximum(np.sqrt((pivots * pivots).sum(axis=1, keepdims=True)), 1e-300)
     turn = rotation(max(dim, 1))
     rows_a_block = block_rows(dim, most=CELL)
@@ -138,7 +141,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_co
                 yield pa.record_batch([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], [*batch.schema.names, "cell", "angle"])
 
     element = copies.schema["v"].dataType.simpleString()
-    placed = materialise(copies.mapInArrow(tidied(assign), f"v {element}, rep long, times long, cell int, angle double"), "cells")
+    placed = materialise(copies.select("v", "rep", "times").mapInArrow(tidied(assign), f"v {element}, rep long, times long, cell int, angle double"), "cells")
     radius, size = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():
         radius[r["cell"]], size[r["cell"]] = r["r"], r["n"]
@@ -200,15 +203,18 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_co
 
     found = materialise(dealt.mapInArrow(tidied(compare), "id long, other long, links long"), "links")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("id").alias("u"), F.col("other").alias("v")))
+    parts = materialise(connected_components(found.select(F.col("id").alias("u"), F.col("other").alias("v"))), "components")
+    # a component is named by the smallest id of its rows
+    ends = parts.join(copies.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("held"))
+    named = join_counted(parts, ends, "component", "held", parts.count()).select(F.col("node").alias("rep"), "least")
     # copies: each is linked with its fellows, and with all that the one that stands for them is linked with
-    of_rep = counts.join(parts.withColumnRenamed("node", "rep"), "rep", "full_outer").select("rep", "links", "component")
-    ids = table.select(F.col(id_col).cast("long").alias("id")).distinct()
-    known = ids.join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(of_rep, "rep", "left")
-    component = F.coalesce("component", "rep")
-    return known.select(
-        F.col("id").alias(id_col),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("times", F.lit(1)) - 1).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    known = copies.drop("v").join(counts, "rep", "left").join(named, "rep", "left")
+    known = materialise(known.select("rep", "low", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id")), "known")
+    single = known.where("times = 1").select(F.col("low").alias("id"), "n_links", "component_id")
+    # no vector holds more than its rows, and those that hold many are few
+    several = known.where("times > 1").select("rep", "times", "n_links", "component_id").join(copies.select("rep", "v"), "rep")
+    alike = join_counted(good, several, "v", "times", int(known.agg(F.sum("times")).first()[0] or 0)).select("id", "n_links", "component_id")
+    ident = F.col(id_col).cast("long")
+    apart = table.where(~(takes_part(id_col, vec_col) & (F.size(vec_col) == dim))).select(ident.alias("id"), F.lit(0).cast("long").alias("n_links"), ident.alias("component_id"))
+    rows = single.unionByName(alike).unionByName(apart)
+    return rows.select(F.col("id").alias(id_col), F.col("n_links").cast("long"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -95,25 +95,26 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_repeats": op9_repeats, "op4_nearest": op4_nearest, "op10_near_duplicate_vectors": op10_near_duplicate_vectors, "op1_near_duplicates": op1_near_duplicates, "op8_line_dedup": op8_line_dedup, "op2_pack": op2_pack, "op5_quality": op5_quality, "op3_pii": op3_pii, "op6_mix_sources": op6_mix_sources, "op7_warc_roundtrip": op7_warc_roundtrip}
 
 _VECTORS = """
-WITH RECURSIVE v AS (
-  SELECT vec_id AS id, CAST(min(embedding) AS DOUBLE[]) AS x FROM embeddings
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
-  GROUP BY vec_id)"""
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0)"""
 
 ORACLES = {
     "op4_nearest": _VECTORS + """,
-s AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.r AS q, q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.id % 20 = 0 AND q.r <> c.r),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op10_near_duplicate_vectors": _VECTORS + """,
-l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.x, b.x) >= 0.9),
-e AS (SELECT DISTINCT vec_id AS id FROM embeddings),
-reach AS (SELECT id, id AS other FROM e UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.other),
-c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.other),
+c AS (SELECT reach.r, min(v.id) AS component_id FROM reach JOIN v ON v.r = reach.other GROUP BY reach.r),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-SELECT c.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, coalesce(c.id = c.component_id, true) AS kept
-FROM c LEFT JOIN n ON n.a = c.id""",
+SELECT v.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.id = c.component_id AS kept
+FROM v JOIN c ON c.r = v.r LEFT JOIN n ON n.a = v.r
+UNION ALL
+SELECT vec_id, CAST(0 AS BIGINT), vec_id, true FROM embeddings
+WHERE NOT coalesce(vec_id IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0, false)""",
     "op7_warc_roundtrip": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
-    """``id, v`` of the vectors that take part, one a row id, and their length (0 if there are none).
-
-    Null vectors, zero vectors and those that hold a null or a number that isn't finite take no part, nor do rows
-    without an id, nor vectors of another length than most (ties: than the shortest of the most frequent lengths).
-    Where an id repeats, the smallest of its vectors counts.
-    """
+def takes_part(id_col: str = "vec_id", vec_col: str = "embedding") -> Column:
+    """Whether a row's vector counts: not null, not zero, no component null or not finite; and the row has an id."""
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = (
-        table.where(F.col(id_col).isNotNull() & v.isNotNull()).where(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
-        .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
-    )
-    most = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = most[0]["n"] if most else 0
+    return F.coalesce(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> tuple[DataFrame, int]:
+    """``id, v`` of the rows that take part, a row each also where ids or vectors repeat, and the vectors' length.
+
+    See ``takes_part``. Vectors of another length than most (ties: than the shortest of the most frequent lengths) take
+    no part either, nor of another than ``dim`` where that is given. The length is 0 if there are none.
+    """
+    good = table.where(takes_part(id_col, vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    if dim is None:
+        most = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        dim = most[0]["n"] if most else 0
     return good.where(F.size("v") == dim), dim
 
 

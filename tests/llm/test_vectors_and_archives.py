@@ -25,8 +25,8 @@ def vectors(seed, n, dim, groups=()):
     return x
 
 
-def table(spark, x, extra=()):
-    rows = [(int(i), [float(c) for c in v], 0, 1, "v", 2) for i, v in enumerate(x)]
+def table(spark, x, extra=(), ids=None):
+    rows = [(int(i), [float(c) for c in v], 0, 1, "v", 2) for i, v in zip(ids or range(len(x)), x, strict=True)]
     return spark.createDataFrame([*rows, *extra], SCHEMA).repartition(3)
 
 
@@ -42,17 +42,23 @@ def test_nearest_neighbours(spark, monkeypatch, dim, rows):
     x = vectors(1, 260, dim)
     x[100:140] = x[100]  # ties
     x[200:205] *= 1e-20
-    df = table(spark, x, [*odd(dim), (3, [float(c) for c in x[3]], 0, 1, "v", 2)])
+    # repeated rows, and another vector under an id that is taken
+    ids = [*range(260), 3, 20, 20, 40]
+    x = np.concatenate([x, x[[3, 20, 20]], x[41:42]])
+    df = table(spark, x, odd(dim), ids)
     got = collections.defaultdict(list)
-    for r in ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+    for r in ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=20).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    y = x.astype(np.float64)
-    assert sorted(got) == list(range(0, 260, 20))
-    for q, found in got.items():
-        score = np.array([sum(a * b for a, b in zip(y[q], y[c])) for c in range(260)])
-        want = [int(c) for c in np.lexsort((np.arange(260), -score)) if c != q][:20]
-        assert [f[1] for f in found] == want and [f[0] for f in found] == list(range(1, 21))
-        assert [f[2] for f in found] == [score[c] for c in want]
+    y, want = x.astype(np.float64), collections.defaultdict(list)
+    for q in range(len(ids)):
+        if ids[q] % 20 == 0:
+            score = np.zeros(len(ids))
+            for j in range(dim):
+                score += y[q, j] * y[:, j]
+            best = [c for c in np.lexsort((ids, -score)) if c != q][:20]
+            want[ids[q]] += [(n, ids[c], score[c]) for n, c in enumerate(best, 1)]
+    assert {q: sorted(found) for q, found in got.items()} == {q: sorted(found) for q, found in want.items()}
+    assert len(want[20]) == 60 and len(want[40]) == 40
 
 
 def test_few_candidates_and_none(spark):
@@ -70,23 +76,36 @@ def test_near_duplicate_vectors(spark, monkeypatch, cell):
     dim = 48
     x = vectors(3, 400, dim, [(60, 0.2), (60, 0.45), (20, 0.0)])
     x[300:310] = 2.5 * x[299]
-    df = table(spark, x, [*odd(dim), (5, [float(c) for c in x[5]], 0, 1, "v", 2)])
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    # a repeated row, and ids that stand for several vectors
+    ids = [*range(400), 5, 310, 7]
+    x = np.concatenate([x, x[[5, 0]], x[399:400]])
+    df = table(spark, x, odd(dim), ids)
+    got = collections.Counter(tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect())
     y = x.astype(np.float64)
     y /= np.sqrt((y * y).sum(1, keepdims=True))
     near = y @ y.T >= 0.9
     np.fill_diagonal(near, False)
-    label = np.arange(400)
+    label = np.arange(len(ids))
     while True:
-        new = np.minimum(label, np.where(near, label[None, :], 400).min(1))
+        new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(1))
         if (new == label).all():
             break
         label = new
-    for i in range(400):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum(), label[i], label[i] == i)
-    for i, *_ in odd(dim)[:-1]:
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert got[None]["n_links"] == 0 and got[None]["kept"] and len(got) == 408
+    least = {c: min(i for i, d in zip(ids, label) if d == c) for c in set(label.tolist())}
+    want = collections.Counter((i, int(near[n].sum()), least[c], i == least[c]) for n, (i, c) in enumerate(zip(ids, label.tolist())))
+    want += collections.Counter((i, 0, i, True) for i, *_ in odd(dim))
+    assert got == want
+
+
+@pytest.mark.parametrize("heavy", [4096, 1])
+def test_a_third_of_all_vectors_alike(spark, monkeypatch, heavy):
+    from netweave.llm import skew
+
+    monkeypatch.setattr(skew, "HEAVY", heavy)
+    x = vectors(7, 90, 16)
+    x[30:60] = x[30]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(table(spark, x)).collect()}
+    assert [got[i] for i in range(90)] == [0] * 30 + [29] * 30 + [0] * 30
 
 
 def test_no_vectors(spark):
