@@ -159,6 +159,35 @@ def test_packing_places_every_id_once(docs, rows):
     assert sum(r["length"] for r in got) / (64 * len(by_sequence)) > 0.9
 
 
+def test_shards_are_cut_from_a_sorted_stream():
+    sizes = [7, 1, 30, 0, 4, 64, 3]
+    batches = [pa.record_batch([pa.array(range(sum(sizes[:i]), sum(sizes[: i + 1])), pa.int64())], ["n"]) for i in range(len(sizes))]
+    cut = [t.column("n").to_pylist() for t in packing.cut_shards(iter(batches), 10)]
+    assert sum(cut, []) == list(range(sum(sizes))) and all(8 <= len(c) <= 15 for c in cut)
+    assert [len(t) for t in packing.cut_shards(iter(batches[:2]), 10)] == [8] and not list(packing.cut_shards(iter([]), 10))
+
+
+def test_packing_in_few_partitions_and_with_all_words(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_PARTITIONS", 2)
+    got = packing.pack_documents(docs, window=64, shard_pieces=8, query_words=None).collect()
+    by_sequence = collections.defaultdict(list)
+    for r in got:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(x)] == np.cumsum([0, *[n for _, n in sorted(x)]])[:-1].tolist() for x in by_sequence.values())
+    want = sum(len(encoder(default_path()).slow.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert sum(r["length"] for r in got) == want and want / (64 * len(by_sequence)) > 0.9
+
+
+def test_a_long_document_fills_windows_of_its_own(spark):
+    text = "seven words of text stand here again " * 400_000
+    got = packing.pack_documents(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id bigint, text string")).select("doc_id", "start", "length", "doc_tokens", "offset").collect()
+    parts = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == 1)
+    n = next(r["doc_tokens"] for r in got if r["doc_id"] == 1)
+    assert len(text) > 10_000_000 and n > packing.ROW_WINDOWS * 2048 * 3
+    assert [s for s, _ in parts] == np.cumsum([0, *[c for _, c in parts]])[:-1].tolist() and sum(c for _, c in parts) == n
+    assert sorted(r["doc_tokens"] for r in got if r["doc_id"] != 1) == [1, len(encoder(default_path()).encode("short")) + 1]
+
+
 def test_packing_nothing(no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
@@ -228,6 +257,61 @@ def test_spans_added_and_clean_texts_left_alone(spark):
                 assert len(texts[r["doc_id"]][s["start"] : s["end"]]) == 40
 
 
+def planted(rng, n):
+    """Texts with right and wrong candidates: text, and the values that are personal data."""
+    hexa = lambda m: "".join(rng.choice("0123456789abcdef") for _ in range(m))
+
+    def card(ok):
+        while True:
+            d = "4" + "".join(str(rng.randrange(10)) for _ in range(15))
+            if pii.luhn(d) == ok:
+                return d
+
+    out = []
+    for i in range(n):
+        secret, account = hexa(40), "".join(str(rng.randrange(10)) for _ in range(18))
+        check = 98 - int(account + "131400") % 97
+        good, bad = f"DE{check:02d}{account}", f"DE{(check + 1 + rng.randrange(90)) % 98:02d}{account}"
+        ssn = f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+        lines = [
+            (f'token = "{secret}"', secret), (f"api_key: {secret[:32]}x9", f"{secret[:32]}x9"), (f"commit = {hexa(40)}", None), (f"sha256: {hexa(64)}", None),
+            (f"version=release-candidate-{i}-of-many", None), (f"account IBAN {good}", good), (f"serial {bad}", None), (f"order {card(False)} shipped", None),
+            (f"pay by card {card(True)}", None), (f"ssn {ssn}", ssn), ("part 000-12-3456", None), (f"mail joe{i} at example dot org", f"joe{i} at example dot org"), (f"call (212) 555-{1000 + i % 9000}", f"(212) 555-{1000 + i % 9000}"),
+        ]
+        kept = rng.sample(lines, 5)
+        out.append(("some words here. " + " and then ".join(t for t, _ in kept) + " the end", {v for _, v in kept if v}))
+    return out
+
+
+def test_candidates_are_rejected_and_accepted_as_planted(spark):
+    texts = planted(random.Random(21), 400)
+    got = pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")).collect()
+    hit = wrong = missed = refused = 0
+    for r in got:
+        text, want = texts[r["doc_id"]]
+        added = {text[s["start"] : s["end"]] for s in r["spans"] if not s["base"]}
+        hit, wrong, missed = hit + len(added & want), wrong + len(added - want), missed + len(want - added)
+        refused += sum(not b for _, _, _, b, _, _ in pii.spans_with_votes(text)) - len(added)
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["base"]] == [(s, e) for _, s, e in pii.base_spans(text)]
+    assert refused > 500 and hit / (hit + missed) > 0.95 and hit / (hit + wrong) > 0.95, (hit, wrong, missed, refused)
+
+
+def test_labelers_are_found_to_differ():
+    rng = random.Random(22)
+    rows = collections.Counter((r[0], r[4]) for t, _ in planted(rng, 600) for r in pii.spans_with_votes(t))
+    model = pii.LabelModel([(k, v, n) for (k, v), n in rows.items()])
+    secret = dict(zip(pii.LABELERS, model.reliability[4], strict=True))
+    right = {name: (t[1, 1] + t[0, 0]) / 2 for name, t in secret.items()}
+    assert right["word before"] > 0.85 > right["pattern"] and max(right.values()) - min(right.values()) > 0.25
+    assert all(abs(t.sum(1) - 1).max() < 1e-9 for t in secret.values())
+
+
+def test_spans_of_a_long_text_with_many_spans():
+    text = " ".join(f"a{i}@b{i}.com {i % 250}.2.3.4 token = {'ab12' * 5}{i}" for i in range(20_000))
+    found = pii.spans_with_votes(text)
+    assert sum(b for *_, b, _, _ in found) == 40_000 and sum(not b for *_, b, _, _ in found) >= 20_000
+
+
 def test_personal_data_of_odd_rows(docs, no_docs, rows):
     assert pii.find_pii(docs).count() == len(rows) and pii.find_pii(no_docs).count() == 0
 
