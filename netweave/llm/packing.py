@@ -2,8 +2,9 @@
 
 Documents are tokenized once. Whole windows of a long document stand by themselves; what is left of each document, a
 piece shorter than a window, is packed with pieces like it. The pieces are range-partitioned by a one-value MinHash
-of their words, so that like pieces share a shard, and a shard, bounded in rows whatever the corpus or the key, holds
-a BM25 inverted index over its pieces. A seed's rarest words are looked up, the unused neighbours fill the seed's
+of their words and sorted, and shards are cut from each sorted stream as it passes, so that like pieces share a shard. A
+shard, bounded in rows whatever the corpus or the key, holds a BM25 inverted index over its pieces; neighbours are sought
+within the shard. A seed's rarest words are looked up, the unused neighbours fill the seed's
 window in the order of their scores, and the one that overflows it is cut: its rest is the next seed. So no window
 but the last of a shard is padded.
 """
@@ -25,6 +26,8 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces in a shard, about. A shard's ids and index take some 20 MB.
 SHARD_PIECES = 4096
+#: Partitions that shards are cut from, at most: how many there are follows the cluster and not the corpus.
+MAX_PARTITIONS = 20_000
 #: Words of a seed that are looked up, those of the highest weight.
 QUERY_WORDS = 16
 #: Document frequencies are counted by hash of the word, in so many classes.
@@ -127,11 +130,12 @@ def document_frequencies(pieces: DataFrame, path: str) -> tuple[int, float, np.n
     return n, total / max(1, n), df
 
 
-def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: np.ndarray, mean_words: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: np.ndarray, mean_words: float, window: int = WINDOW, query_words: int | None = QUERY_WORDS) -> Iterator[tuple[int, int, int, int, int]]:
     """Pack the pieces of a shard: ``piece, start, length, sequence, offset`` with starts within the piece.
 
     A window opens with the rest of the piece that was cut last, or the first unused piece; the unused neighbours of
-    the piece laid last by BM25 score, ties in order, fill it; where none is left, the next unused piece does.
+    the piece laid last by BM25 score, ties in order, fill it; where none is left, the next unused piece does. A seed's
+    ``query_words`` rarest words are looked up, all if None.
     """
     m = len(bounds) - 1
     lengths = np.diff(bounds)
@@ -153,8 +157,8 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: n
     def neighbours(seed: int) -> np.ndarray:
         mine = np.arange(of_piece[seed], of_piece[seed + 1])
         mine = mine[last[mine] - first[mine] > 1]
-        if len(mine) > QUERY_WORDS:
-            mine = mine[np.argpartition(-idf[word[mine] & (DF_CLASSES - 1)], QUERY_WORDS)[:QUERY_WORDS]]
+        if query_words is not None and len(mine) > query_words:
+            mine = mine[np.argpartition(-idf[word[mine] & (DF_CLASSES - 1)], query_words)[:query_words]]
         if not len(mine):
             return mine
         slots = np.concatenate([np.arange(a, b) for a, b in zip(first[mine], last[mine], strict=True)])
@@ -189,13 +193,32 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: n
             queue = list(neighbours(p))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def cut_shards(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.Table]:
+    """A stream of rows in parts of ``pieces`` rows, about; what is left over at the end makes no small part of its own."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        while n >= 2 * pieces:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, pieces).combine_chunks()
+            held, n = table.slice(pieces).to_batches(), n - pieces
+    if n:
+        table = pa.Table.from_batches(held)
+        first = n if 2 * n <= 3 * pieces else n // 2
+        yield table.slice(0, first).combine_chunks()
+        if first < n:
+            yield table.slice(first).combine_chunks()
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, query_words: int | None = QUERY_WORDS) -> DataFrame:
     """Pack ``docs`` (``doc_id, text``; other columns are ignored) into sequences of at most ``window`` ids.
 
     A document is its ids and then ``END_ID``; a null text is empty. Returns a row a piece: ``doc_id, start, length,
     doc_tokens, sequence_id, offset, ids`` with ``ids`` as little-endian unsigned 32-bit numbers. Each id of each
     row of ``docs`` lies in exactly one piece; offsets in a sequence run gapless from 0. Repeated rows and null ids
-    are documents of their own. An empty table gives an empty result.
+    are documents of their own. A text of any length is packed whole; a task holds one text, or two shards. An empty
+    table gives an empty result.
     """
     path = path or default_path()
     kind_of = docs.schema["doc_id"].dataType.simpleString()
@@ -218,25 +241,21 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
                      pa.array(sequence), pa.array(np.zeros(len(k), np.int64)), pa.array([ids[a * window : (a + 1) * window].tobytes() for a in k], pa.binary())], names)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks().sort_by([("key", "ascending"), ("slot", "ascending")])
-        if not table.num_rows:
-            return
         enc = encoder(path)
-        ids, bounds = _unpack(table.column("ids").combine_chunks(), np.uint16 if enc.size <= 1 << 16 else np.uint32)
-        base, tokens = table.column("start").to_numpy(), table.column("doc_tokens").to_numpy()
         number = TaskContext.get().partitionId() << 36
-        out = np.array(list(fill_windows(ids, bounds, enc.word_starts(), shared.value, mean_words, window)), np.int64)
-        docs_of = table.column("doc_id").combine_chunks()
-        del held, table
-        for at in range(0, len(out), 512):
-            p, start, length, sequence, offset = out[at : at + 512].T
-            content = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(bounds[p] + start, length, strict=True)]
-            yield pa.record_batch(
-                [docs_of.take(pa.array(p)), pa.array(base[p] + start), pa.array(length), pa.array(tokens[p]), pa.array(number + sequence), pa.array(offset), pa.array(content, pa.binary())], names)
+        for table in cut_shards(batches, shard_pieces):
+            ids, bounds = _unpack(table.column("ids").combine_chunks(), np.uint16 if enc.size <= 1 << 16 else np.uint32)
+            base, tokens, docs_of = table.column("start").to_numpy(), table.column("doc_tokens").to_numpy(), table.column("doc_id").combine_chunks()
+            del table
+            out = np.array(list(fill_windows(ids, bounds, enc.word_starts(), shared.value, mean_words, window, query_words)), np.int64)
+            for at in range(0, len(out), 512):
+                p, start, length, sequence, offset = out[at : at + 512].T
+                content = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip(bounds[p] + start, length, strict=True)]
+                yield pa.record_batch(
+                    [docs_of.take(pa.array(p)), pa.array(base[p] + start), pa.array(length), pa.array(tokens[p]), pa.array(number + sequence), pa.array(offset), pa.array(content, pa.binary())], names)
+            number += int(out[:, 3].max()) + 1
 
     shards = max(1, -(-n // shard_pieces))
-    packed = pieces.select("doc_id", "doc_tokens", "start", "ids", "key", "slot").repartitionByRange(shards, "key", "slot").mapInArrow(tidied(shard), schema)
+    dealt = pieces.select("doc_id", "doc_tokens", "start", "ids", "key", "slot").repartitionByRange(min(shards, MAX_PARTITIONS), "key", "slot")
+    packed = dealt.sortWithinPartitions("key", "slot").mapInArrow(tidied(shard), schema)
     return rows.where(F.col("sequence").isNotNull()).mapInArrow(tidied(whole), schema).unionByName(packed)
