@@ -5,10 +5,12 @@ have equal minimizers, wherever they stand. Consecutive windows of one minimizer
 minimizers that two different texts share are brought together by minimizer; no other text moves.
 
 A task holds the different stretches of its minimizers, in the order of the documents that have them first, and builds
-their run-length index: the Burrows-Wheeler transform of their concatenation, compressed to runs, with the text
-positions at the ends of runs sampled. Between two samples the lexicographic neighbour of a position moves along with
-it, and the length of their match shrinks by one; so the lengths at the sampled run ends alone, streamed along the text,
-are the matching statistics of all positions. Matches of ``LENGTH`` or more join positions to groups; a window is a
+their run-length index: the Burrows-Wheeler transform of their concatenation, compressed to runs, and for the head of
+each run a sample, the length of its match with the row before. Suffix order and text are let go once it is built. The
+stretches are then streamed through the index, many at a time, each from its end to its begin by LF steps over the runs:
+that gives the row of every position. A position whose row isn't at the head of a run has the neighbour of the position
+to its left, moved along by one, and a match shorter by one; so the samples that a stretch comes upon are the matching
+statistics of all its positions. Rows that match the row before in ``LENGTH`` bytes or more are one group; a window is a
 repeat if its group has a member in a document with a smaller id.
 """
 
@@ -93,37 +95,25 @@ def all_stretches(texts: pa.Array, chunk_bytes: int = _CHUNK) -> Iterator[tuple[
             yield first + row, owner, start - base + shift, end - base + shift, name, [piece, start, end]
 
 
-class RunLengthIndex:
-    """Run-length compressed BWT of stretches, each followed by a separator of its own; sampled at the ends of runs."""
+class _Suffixes:
+    """The suffixes of stretches, each followed by a separator of its own, in order: what the index is made from."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        """``data``: all stretches; ``bounds``: where each begins, and the end."""
-        count = len(bounds) - 1
-        lengths = np.diff(bounds)
+        count, lengths = len(bounds) - 1, np.diff(bounds)
         # letters are numbered as they occur, 0 is the separator; separators differ by place, as ties are ordered
         n = len(data) + count
-        text = np.zeros(n, np.uint16)
+        self.text = np.zeros(n, np.uint16)
         used = np.flatnonzero(np.bincount(data, minlength=256))
         letter = np.zeros(256, np.uint16)
         letter[used] = np.arange(1, len(used) + 1)
         self.bits = int(len(used)).bit_length()
         self.per_key = 63 // max(1, self.bits)
         keep = np.ones(n, bool)
-        self.begin = bounds[:-1] + np.arange(count)
-        ends = self.begin + lengths
+        ends = bounds[:-1] + np.arange(count) + lengths
         keep[ends] = False
-        text[keep] = letter[data]
-        self.text = text
+        self.text[keep] = letter[data]
         self.rest = np.repeat(ends, lengths + 1) - np.arange(n)  # letters up to the separator
-        self.suffixes = self._sorted()
-        before = self.suffixes - 1
-        letters = np.where(before >= 0, text[before], 0)
-        new = np.append(True, letters[1:] != letters[:-1]) | (letters == 0)
-        heads = np.flatnonzero(new)
-        self.run_letter, self.run_length = letters[heads], np.diff(np.append(heads, n))
-        # samples: the text position at the head of each run, and its neighbour at the end of the run before
-        self.sample_at = self.suffixes[heads]
-        self.sample_neighbour = np.where(heads > 0, self.suffixes[np.maximum(heads - 1, 0)], -1)
+        self.order = self._sorted()
 
     def _keys(self) -> np.ndarray:
         """The first letters of each suffix as one number, nothing from beyond its separator."""
@@ -169,7 +159,7 @@ class RunLengthIndex:
             order[tied] = at[np.lexsort((at, rank[at]))]
         return order
 
-    def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, up to the nearer separator."""
         n, out = len(self.text), np.zeros(len(a), np.int64)
         live = np.arange(len(a))
@@ -189,20 +179,81 @@ class RunLengthIndex:
             at += self.per_key
         return np.minimum(out, np.minimum(self.rest[a], self.rest[b]))
 
-    def matching_statistics(self) -> np.ndarray:
-        """For each text position, the length of its match with its lexicographic predecessor."""
-        n = len(self.text)
-        has = self.sample_neighbour >= 0
-        length = np.zeros(len(self.sample_at), np.int64)
-        length[has] = self._match(self.sample_at[has], self.sample_neighbour[has])
-        # a position that isn't at the head of a run has the neighbour of the position before it, moved along by one,
-        # so position plus match length stays what it was at the last sample
-        constant = np.zeros(n, np.int64)
-        constant[self.sample_at] = length + self.sample_at
-        at = np.arange(n)
-        sampled = np.zeros(n, bool)
-        sampled[self.sample_at] = True
-        return constant[np.maximum.accumulate(np.where(sampled, at, 0))] - at
+
+class RunLengthIndex:
+    """A Burrows-Wheeler transform in runs, and a sample at the head of each: nothing that grows but with the runs.
+
+    ``run_letter``, ``run_begin`` (one more than runs): letter and first row of each run; every separator is a run by
+    itself. ``sample``: how long the head of a run matches the row before it. ``shift``: what an LF step adds to a row of
+    the run. Rows 0 to ``count`` - 1 are the separators, in the order of the stretches.
+    """
+
+    #: Stretches that are streamed together.
+    TOGETHER = 1 << 14
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        """``data``: all stretches; ``bounds``: where each begins, and the end."""
+        made = _Suffixes(data, bounds)
+        order, n = made.order, len(made.text)
+        before = order - 1
+        letters = np.where(before >= 0, made.text[before], 0)
+        heads = np.flatnonzero(np.append(True, letters[1:] != letters[:-1]) | (letters == 0))
+        self.rows, self.count = n, len(bounds) - 1
+        self.run_letter = letters[heads]
+        self.run_begin = np.append(heads, n)
+        self.sample = np.zeros(len(heads), np.int32)
+        follows = heads > 0
+        self.sample[follows] = made.match(order[heads[follows]], order[heads[follows] - 1])
+        # letters keep their order from the last column to the first
+        length, by_letter = np.diff(self.run_begin), np.argsort(self.run_letter, kind="stable")
+        first = np.empty(len(heads), np.int64)
+        first[by_letter] = np.cumsum(length[by_letter]) - length[by_letter]
+        self.shift = first - heads
+        # a run at or before every so many rows, as many as there are runs at most
+        self.stride = max(0, int(n // max(1, len(heads))).bit_length())
+        marks = np.arange(0, n, 1 << self.stride)
+        self.near = np.searchsorted(heads, marks, "right").astype(np.int32) - 1
+
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        """The run of each row."""
+        run = self.near[row >> self.stride]
+        for _ in range(3):
+            run = run + (self.run_begin[run + 1] <= row)
+        left = np.flatnonzero(self.run_begin[run + 1] <= row)
+        if len(left):
+            run[left] = np.searchsorted(self.run_begin, row[left], "right") - 1
+        return run
+
+    def matching_statistics(self, first: int, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the stretches from ``first`` on, of the given lengths: stretch, start, row, and match with the row before, of all their windows."""
+        who = np.flatnonzero(lengths >= window)
+        row = first + who
+        run = self.run_of(row)
+        deepest = int(lengths[who].max()) if len(who) else 0
+        rows = np.zeros((max(0, deepest - window + 1), len(who)), np.int64)
+        seen = np.full(rows.shape, -1, np.int32)
+        live = np.arange(len(who))
+        for back in range(1, deepest + 1):
+            if back > window:
+                on = lengths[who[live]] >= back
+                live, row, run = live[on], row[on], run[on]
+            row = row + self.shift[run]
+            run = self.run_of(row)
+            if back >= window:
+                rows[back - window, live] = row
+                seen[back - window, live] = np.where(self.run_begin[run] == row, self.sample[run], -1)
+        # from the begin of each stretch, whose letter before is a separator and so a sample, to its end
+        match = np.zeros(len(who), np.int32)
+        for at in range(len(rows) - 1, -1, -1):
+            match = np.where(seen[at] >= 0, seen[at], match - 1)
+            seen[at] = match
+        back, which = np.nonzero(np.arange(window, deepest + 1)[:, None] <= lengths[who][None, :]) if len(who) else (np.zeros(0, int), np.zeros(0, int))
+        return first + who[which], lengths[who[which]] - back - window, rows[back, which], seen[back, which]
+
+    def stream(self, lengths: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``matching_statistics`` of all stretches, some at a time."""
+        for first in range(0, self.count, self.TOGETHER):
+            yield self.matching_statistics(first, lengths[first : first + self.TOGETHER], window)
 
 
 def repeated_windows(data: np.ndarray, bounds: np.ndarray, document: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -211,16 +262,24 @@ def repeated_windows(data: np.ndarray, bounds: np.ndarray, document: np.ndarray,
     ``document``: for each stretch, the smallest id that has it.
     """
     index = RunLengthIndex(data, bounds)
-    statistics = index.matching_statistics()
-    in_order = statistics[index.suffixes]
-    heads = np.flatnonzero(np.append(True, in_order[1:] < length))
-    lengths = np.diff(bounds)
-    owner = np.repeat(document, lengths + 1)
-    smallest = np.minimum.reduceat(owner[index.suffixes], heads)
-    least = np.empty(len(owner), owner.dtype)
-    least[index.suffixes] = np.repeat(smallest, np.diff(np.append(heads, len(owner))))
-    found = (index.rest >= length) & (least < owner)
-    return found[index.text > 0]
+    rank = np.unique(document, return_inverse=True)[1].astype(np.int32)
+    matches = np.zeros(index.rows + 1, bool)  # the row before is alike in a whole window
+    owner, place, rows = [], [], []
+    for stretch, start, row, match in index.stream(np.diff(bounds), length):
+        matches[row[match >= length]] = True
+        owner.append(stretch.astype(np.int32))
+        place.append((bounds[stretch] + start).astype(np.int32 if len(data) < 1 << 31 else np.int64))
+        rows.append(row.astype(np.int32 if index.rows < 1 << 31 else np.int64))
+    owner, place, rows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, place, rows))
+    some = matches[rows] | matches[rows + 1]
+    owner, place, rows = owner[some], place[some], rows[some]
+    members = np.flatnonzero(matches[:-1] | matches[1:])
+    group = (np.cumsum(~matches[members]) - 1)[np.searchsorted(members, rows)]
+    least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int32).max, np.int32)
+    np.minimum.at(least, group, rank[owner])
+    found = np.zeros(len(data), bool)
+    found[place[least[group] < rank[owner]]] = True
+    return found
 
 
 def _pack(a: np.ndarray, kind: str) -> bytes:
@@ -229,9 +288,11 @@ def _pack(a: np.ndarray, kind: str) -> bytes:
 
 def _rows_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of ``key`` and the places that have it, in order."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     ranked = key[order]
-    edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(key) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True):
         yield int(ranked[a]), order[a:b]
 
@@ -428,7 +489,8 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller ``doc_id``;
     strings don't run across documents and are judged on the texts as they came in. ``spans``: the maximal runs removed
     (``start, end`` in bytes), ``kept``: the bytes left, in UTF-8 unless a character was cut. A null text is empty. A
-    null id is larger than any other; rows with the same id don't judge each other. An empty table gives an empty result.
+    null id is larger than any other; rows with the same id don't judge each other. A text of any length is taken whole,
+    in parts that overlap. An empty table gives an empty result.
     """
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1).cast("long"))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -628,9 +628,55 @@ def test_repeats_of_nothing(no_docs):
 def test_run_length_index(texts):
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
     index = repeats.RunLengthIndex(np.frombuffer(b"".join(texts), np.uint8), bounds)
-    suffixes = sorted((tuple(c + 1000 for c in t[j:]) + (i,), int(index.begin[i]) + j) for i, t in enumerate(texts) for j in range(len(t) + 1))
-    assert [p for _, p in suffixes] == index.suffixes.tolist()
-    assert int(index.run_length.sum()) == len(suffixes)
-    found = index.matching_statistics()
-    for (a, _), (b, at) in zip(suffixes, suffixes[1:]):
-        assert found[at] == next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    suffixes = sorted((tuple(c + 1000 for c in t[j:]) + (i,), i, j) for i, t in enumerate(texts) for j in range(len(t) + 1))
+    assert index.rows == len(suffixes) and sorted(np.repeat(index.run_letter > 0, np.diff(index.run_begin))) == [False] * len(texts) + [True] * (len(suffixes) - len(texts))
+    want = {}
+    for n, (a, i, j) in enumerate(suffixes):
+        before = suffixes[n - 1][0] if n else ()
+        want[i, j] = n, next((m for m, (x, y) in enumerate(zip(before, a, strict=False)) if x != y), min(len(before), len(a)))
+    for window in (1, 3):
+        got = {(i, j): (row, match) for part in index.stream(np.diff(bounds), window) for i, j, row, match in zip(*(x.tolist() for x in part), strict=True)}
+        assert got == {(i, j): v for (i, j), v in want.items() if j + window <= len(texts[i])}
+
+
+def test_repeated_windows_in_many_chunks(monkeypatch):
+    monkeypatch.setattr(repeats.RunLengthIndex, "TOGETHER", 7)
+    rng = np.random.default_rng(31)
+    base = rng.integers(97, 101, 300, np.uint8)
+    texts = [base[a : a + n].copy() for a, n in zip(rng.integers(0, 230, 200), rng.integers(1, 70, 200), strict=True)]
+    for t in texts[::3]:
+        t[rng.integers(0, len(t))] = 120
+    document = rng.integers(0, 50, 200)
+    document.sort()
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = repeats.repeated_windows(np.concatenate(texts), bounds, document, 12)
+    raw = [t.tobytes() for t in texts]
+    want = [any(document[o] < document[i] and t[j : j + 12] in raw[o] for o in range(200)) if j + 12 <= len(t) else False for i, t in enumerate(raw) for j in range(len(t))]
+    assert got.tolist() == want and 100 < sum(want) < len(want)
+
+
+def test_the_index_grows_with_the_runs_and_not_with_the_text():
+    rng = np.random.default_rng(33)
+    base = rng.integers(97, 117, 80, np.uint8)
+
+    def held(copies):
+        texts = [np.append(base, rng.integers(97, 117, 3, np.uint8)) for _ in range(copies)]
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        index = repeats.RunLengthIndex(np.concatenate(texts), bounds)
+        size = sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray))
+        return size, len(index.run_letter), index.rows
+
+    (few, few_runs, few_rows), (many, many_runs, many_rows) = held(100), held(4000)
+    assert many_rows == 40 * few_rows
+    assert many / many_runs <= 40 and few / few_runs <= 40 and many_runs < 0.12 * many_rows
+
+
+def test_a_text_of_several_parts(spark):
+    long = np.random.default_rng(34).integers(97, 123, 9_000_000, np.uint8).tobytes().decode()
+    cut = repeats._PART
+    texts = ["before", long, long[cut - 100 : cut + 100] + "own words", long[: cut + 60] + "X" + long[cut + 61 :]]
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], [tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in got if r["doc_id"] != 1} == {
+        0: (6, [], b"before"), 2: (209, [(0, 200)], b"own words"), 3: (9_000_000, [(0, cut + 60), (cut + 61, 9_000_000)], b"X"),
+    }
+    assert next(r["spans"] == [] for r in got if r["doc_id"] == 1)
