@@ -1,8 +1,9 @@
 """Transistor gates: where a poly shape crosses an active area, the area is cut, and conducts only if the poly is driven.
 
-Cutting is geometry and done once for all areas. What depends on the search, which polys are driven and in which order
-pieces are entered, is a search by levels: a level's new nodes are found by joins, and numbered in the order in which a
-queue would have taken them in, so that results which depend on that order come out the same.
+Cutting is geometry and done once for all areas, and so is what each poly makes conduct. What depends on the search, which
+polys are driven and in which order pieces are entered, is a search: where edges are few, by a count that is made first,
+a queue in one task; else by levels, whose new nodes are found by joins and numbered in the order in which a queue would
+have taken them in, so that results which depend on that order come out the same.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netweave.functions import geometry as G
+from netweave.operators import components as K
 from netweave.operators.spatial import BOX, box_pairs, touching
 from netweave.plans.session import Growing, materialise
 from netweave.sources.layout_text import gid_pid
@@ -40,14 +43,23 @@ def gate_crossings(polygons: DataFrame, candidates: DataFrame) -> DataFrame:
     ``poly, aa``, the area's box in half units (``left2, right2, bottom2, top2``), the clipped poly's (``minx2 ...``) and
     ``on_left, on_right, on_bottom, on_top``.
     """
-    aa = polygons.select(F.col("gid").alias("aa"), *[(F.col(c) * 2).alias(n) for c, n in zip(BOX, ("left2", "bottom2", "right2", "top2"), strict=True)])
-    rows = candidates.join(polygons.select(F.col("gid").alias("poly"), "v"), "poly").join(aa, "aa").withColumn("v", G.doubled(F.col("v")))
-    for horizontal, side, keep_lower in ((False, "left2", False), (False, "right2", True), (True, "bottom2", False), (True, "top2", True)):
-        rows = rows.withColumn("v", G.clip_raw(F.col("v"), horizontal, F.col(side), keep_lower)).withColumn("v", G.without_repeats(F.col("v")))
-    rows = rows.where(F.size("v") >= 3)
-    on = lambda c, side: F.exists("v", lambda p: p[c] == F.col(side))
+    side = ("left2", "bottom2", "right2", "top2")
+    aa = polygons.select(F.col("gid").alias("aa"), *[(F.col(c) * 2).alias(n) for c, n in zip(BOX, side, strict=True)])
+    inner = {f"{c}2": f(F.col(c) * 2, F.col(n)) for c, n, f in zip(BOX, side, (F.greatest, F.greatest, F.least, F.least), strict=True)}
+    kept = ["poly", "aa", *side, *inner]
+    # a poly that is a box needs no clipping: what the area's box holds of it is a box, or less than a ring
+    boxes = polygons.where("is_rect").select(F.col("gid").alias("poly"), *BOX)
+    boxes = candidates.join(boxes, "poly").join(aa, "aa").withColumns(inner).select(*kept).where("minx2 < maxx2 and miny2 < maxy2")
+    at = lambda n: (F.col(f"min{n[0]}2") == F.col(n[1])) | (F.col(f"max{n[0]}2") == F.col(n[1]))
+    boxes = boxes.withColumns({f"on_{name}": at(("xy"[name in ("bottom", "top")], f"{name}2")) for name in ("left", "right", "bottom", "top")})
+    rings = candidates.join(polygons.where("not is_rect").select(F.col("gid").alias("poly"), "v"), "poly").join(aa, "aa").withColumn("v", G.doubled(F.col("v")))
+    for horizontal, edge, keep_lower in ((False, "left2", False), (False, "right2", True), (True, "bottom2", False), (True, "top2", True)):
+        rings = rings.withColumn("v", G.clip_raw(F.col("v"), horizontal, F.col(edge), keep_lower)).withColumn("v", G.without_repeats(F.col("v")))
+    rings = rings.where(F.size("v") >= 3)
+    on = lambda c, edge: F.exists("v", lambda p: p[c] == F.col(edge))
     box = {f"{n}2": c for n, c in G.ring_box(F.col("v")).items()}
-    return rows.withColumns({**box, "on_left": on("x", "left2"), "on_right": on("x", "right2"), "on_bottom": on("y", "bottom2"), "on_top": on("y", "top2")}).drop("v")
+    rings = rings.withColumns({**box, "on_left": on("x", "left2"), "on_right": on("x", "right2"), "on_bottom": on("y", "bottom2"), "on_top": on("y", "top2")})
+    return boxes.unionByName(rings.select(*boxes.columns))
 
 
 def cut_lines(crossings: DataFrame, orientation: str = "as_coded") -> DataFrame:
@@ -75,15 +87,16 @@ def cut_lines(crossings: DataFrame, orientation: str = "as_coded") -> DataFrame:
 def merge_lines(lines: DataFrame) -> DataFrame:
     """Lines (``aa, horizontal, coord2, span_min2, span_max2, is_high``) with those fused whose spans overlap by more than an end.
 
-    A fused line is high if one of its parts is.
+    A fused line is high if one of its parts is. Where lines have a ``poly``, the fused one has ``polys``, of all parts.
     """
+    polys = [F.collect_set("poly").alias("polys")] if "poly" in lines.columns else []
     along = W.partitionBy("aa", "horizontal", "coord2").orderBy("span_min2", "span_max2")
     reach = F.max("span_max2").over(along.rowsBetween(W.unboundedPreceding, -1))
     begins = F.coalesce(~(F.col("span_min2") < F.least(reach, F.col("span_max2"))), F.lit(True))
     island = F.sum(F.col("begins").cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0))
     return (
         lines.withColumn("begins", begins).withColumn("island", island).groupBy("aa", "horizontal", "coord2", "island")
-        .agg(F.min("span_min2").alias("span_min2"), F.max("span_max2").alias("span_max2"), F.bool_or("is_high").alias("is_high")).drop("island")
+        .agg(F.min("span_min2").alias("span_min2"), F.max("span_max2").alias("span_max2"), F.bool_or("is_high").alias("is_high"), *polys).drop("island")
     )
 
 
@@ -172,23 +185,34 @@ def slices(areas: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def conduction(pieces: DataFrame, lines: DataFrame) -> DataFrame:
-    """``aa, a, b``: piece numbers that a high line connects, both ways.
-
-    A line connects every piece on its one side with every piece on its other, touching or not, if their extents along
-    the line and its span overlap by more than an end.
-    """
+def _connected(pieces: DataFrame, lines: DataFrame, kept: list[str]) -> DataFrame:
+    """``aa, a, b``, both ways, and the ``kept`` columns of the line: what each line would connect."""
     c = F.col
     along = lambda e: F.when(c("horizontal"), c(f"{e}x") * 2).otherwise(c(f"{e}y") * 2)
     across = lambda e: F.when(c("horizontal"), c(f"{e}y") * 2).otherwise(c(f"{e}x") * 2)
     boxes = pieces.select("aa", "idx", *BOX)
-    by_line = boxes.join(lines.where("is_high"), "aa").withColumns({"lo": along("min"), "hi": along("max"), "low_side": across("max") <= c("coord2"), "high_side": across("min") >= c("coord2")})
+    by_line = boxes.join(lines, "aa").withColumns({"lo": along("min"), "hi": along("max"), "low_side": across("max") <= c("coord2"), "high_side": across("min") >= c("coord2")})
     by_line = by_line.where(G.overlap_open(c("lo"), c("hi"), c("span_min2"), c("span_max2")))
     key = ["aa", "horizontal", "coord2", "span_min2", "span_max2"]
-    left = by_line.where("low_side").select(*key, c("idx").alias("a"), c("lo").alias("a0"), c("hi").alias("a1"))
+    left = by_line.where("low_side").select(*key, *kept, c("idx").alias("a"), c("lo").alias("a0"), c("hi").alias("a1"))
     right = by_line.where("high_side and not low_side").select(*key, c("idx").alias("b"), c("lo").alias("b0"), c("hi").alias("b1"))
-    pairs = left.join(right, key).where(G.overlap_open(c("a0"), c("a1"), c("b0"), c("b1"))).select("aa", "a", "b")
-    return pairs.unionByName(pairs.select("aa", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = left.join(right, key).where(G.overlap_open(c("a0"), c("a1"), c("b0"), c("b1"))).select("aa", "a", "b", *kept)
+    return pairs.unionByName(pairs.select("aa", F.col("b").alias("a"), F.col("a").alias("b"), *kept))
+
+
+def conduction(pieces: DataFrame, lines: DataFrame) -> DataFrame:
+    """``aa, a, b``: piece numbers that a high line connects, both ways.
+
+    A line connects every piece on its one side with every piece on its other, touching or not, if their extents along
+    the line and its span overlap by more than an end.
+    """
+    return _connected(pieces, lines.where("is_high"), []).distinct()
+
+
+def conduction_by_poly(pieces: DataFrame, lines: DataFrame) -> DataFrame:
+    """``aa, a, b, poly``: piece numbers that are connected if ``poly`` is driven, both ways, for lines (``aa, poly, ...``) of any state."""
+    merged = merge_lines(lines.withColumn("is_high", F.lit(True)))
+    return _connected(pieces, merged, ["polys"]).select("aa", "a", "b", F.explode("polys").alias("poly")).distinct()
 
 
 def static_edges(polygons: DataFrame, pieces: DataFrame, adjacency: DataFrame, aa_lid: int) -> DataFrame:
@@ -242,12 +266,58 @@ def enter_pieces(events: list[tuple[int, int, int]], pairs: list[tuple[int, int]
     return out
 
 
-def search_in_order(edges: DataFrame, start: int, flood: str, high_of, polys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``node, ord`` of what a queue would visit from ``start``, numbered in its order, and the areas it cut (``aa``).
+def search_in_order(edges: DataFrame, start: int, flood: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, ord`` of what a queue would visit from ``start``, numbered in its order, and the areas it touched (``aa``).
 
-    ``high_of(touched, visited)`` gives the conducting pairs (``aa, a, b``) of newly cut areas (``aa, ord`` of the node
-    that first touched them).
+    ``pairs`` (``aa, a, b, poly``): pieces that conduct if ``poly`` is null, or was taken from the queue no later than
+    the node that first touched the area.
     """
+    if edges.count() + pairs.count() <= K.FEW_EDGES:
+        return _search_in_one_task(edges, start, flood, pairs)
+    return _search_by_levels(edges, start, flood, pairs)
+
+
+def _search_in_one_task(edges: DataFrame, start: int, flood: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    names = ["src", "branch", "kind", "dst", "aa", "idx"]
+    none = F.lit(None)
+    rows = edges.select(*names, F.lit(None).cast("bigint").alias("poly")).unionByName(
+        pairs.select(none.cast("bigint").alias("src"), F.col("a").alias("branch"), F.lit(3).alias("kind"), none.cast("bigint").alias("dst"), "aa", F.col("b").alias("idx"), "poly")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways: dict[int, list[tuple]] = {}
+        near: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for src, branch, kind, dst, aa, idx, poly in zip(*(batch.column(c).to_pylist() for c in (*names, "poly")), strict=True):
+                if kind == 3:
+                    near.setdefault(aa, []).append((branch, idx, poly))
+                else:  # in the order of a queue: by branch, then target; an area is touched before it is entered
+                    ways.setdefault(src, []).append((branch, (dst if kind == 0 else aa) & 0xFFFFFFFF, kind != 2, -1 if idx is None else idx, kind, dst, aa))
+        taken, order = {start: 0}, [start]
+        conducts: dict[int, list[tuple[int, int]]] = {}
+        entered: dict[int, set[int]] = {}
+        for at, node in enumerate(order):
+            mine = sorted(ways.get(node, []), key=lambda w: w[:4])
+            for _, _, _, _, kind, _, aa in mine:
+                if kind and aa not in conducts:
+                    conducts[aa] = sorted({(a, b) for a, b, poly in near.get(aa, []) if poly is None or taken.get(poly, at + 1) <= at})
+            for branch, _, _, idx, kind, dst, aa in mine:
+                if kind == 0 and dst not in taken:
+                    taken[dst] = len(order)
+                    order.append(dst)
+                elif kind == 1:
+                    for _, _, _, piece in enter_pieces([(at, branch, idx)], conducts[aa], entered.setdefault(aa, set()), flood):
+                        made = SLICE_BASE + ((aa & 0xFFFFFFFF) << _PIECE_BITS) + piece
+                        taken[made] = len(order)
+                        order.append(made)
+        yield pa.record_batch([pa.array(order, pa.int64()), pa.array(range(len(order)), pa.int64()), pa.array([False] * len(order), pa.bool_())], ["node", "ord", "area"])
+        yield pa.record_batch([pa.array(list(conducts), pa.int64()), pa.array([-1] * len(conducts), pa.int64()), pa.array([True] * len(conducts), pa.bool_())], ["node", "ord", "area"])
+
+    found = materialise(K.in_one_task(rows).mapInArrow(search, "node bigint, ord bigint, area boolean"), "searched")
+    return found.where("not area").select("node", "ord"), found.where("area").select(F.col("node").alias("aa"))
+
+
+def _search_by_levels(edges: DataFrame, start: int, flood: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = edges.sparkSession
     frontier, count = spark.createDataFrame([(start, 0)], "node bigint, ord bigint"), 1
     visited = Growing(frontier)
@@ -270,12 +340,17 @@ def search_in_order(edges: DataFrame, start: int, flood: str, high_of, polys: Da
         fresh = materialise(events.where("kind > 0").groupBy("aa").agg(F.min("ord").alias("ord")).join(touched.df, "aa", "left_anti"), "fresh")
         if not fresh.isEmpty():
             touched.add(fresh)
-            conducting.add(materialise(high_of(fresh, visited.df), "conducting"))
-        per_area = events.where("kind = 1").groupBy("aa").agg(F.collect_set(F.struct("ord", "branch", "idx")).alias("events"))
-        pairs = conducting.df.groupBy("aa").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+            seen = visited.df.select(F.col("node").alias("poly"), F.col("ord").alias("poly_ord"))
+            now = pairs.join(fresh, "aa").join(seen, "poly", "left").where("poly is null or poly_ord <= ord")
+            conducting.add(materialise(now.select("aa", "a", "b").distinct(), "conducting"))
+        # what an area has is looked up for the level's areas alone
+        per_area = materialise(events.where("kind = 1").groupBy("aa").agg(F.collect_set(F.struct("ord", "branch", "idx")).alias("events")), "entered")
+        here = per_area.select("aa")
+        near = conducting.df.join(here, "aa", "left_semi").groupBy("aa").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
         of_node = F.shiftright(F.col("node") - SLICE_BASE, _PIECE_BITS)
-        seen = visited.df.where(F.col("node") >= SLICE_BASE).groupBy(of_node.alias("pid")).agg(F.collect_set((F.col("node") % (1 << _PIECE_BITS)).cast("int")).alias("seen"))
-        areas = per_area.join(pairs, "aa", "left").withColumn("pid", gid_pid(F.col("aa")).cast("bigint")).join(seen, "pid", "left").select("aa", "events", "pairs", "seen")
+        inside = visited.df.where(F.col("node") >= SLICE_BASE).withColumn("pid", of_node).join(here.select(gid_pid(F.col("aa")).cast("bigint").alias("pid")), "pid", "left_semi")
+        seen = inside.groupBy("pid").agg(F.collect_set((F.col("node") % (1 << _PIECE_BITS)).cast("int")).alias("seen"))
+        areas = per_area.join(near, "aa", "left").withColumn("pid", gid_pid(F.col("aa")).cast("bigint")).join(seen, "pid", "left").select("aa", "events", "pairs", "seen")
         pieces = areas.mapInPandas(fold, "aa bigint, ord bigint, branch int, place int, idx int").select(piece_node(F.col("aa"), F.col("idx")).alias("node"), "ord", "branch", gid_pid(F.col("aa")).alias("target"), "place")
         # a level's nodes are numbered in one task; polygons at large never are
         number = F.row_number().over(W.orderBy("ord", "branch", "target", "place")) - 1 + count

@@ -41,7 +41,21 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` wrote for ``df``; nothing must read it any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Growing:
@@ -59,8 +73,7 @@ class Growing:
 def release(spark: SparkSession) -> None:
     """Delete every scratch path of this session; results that still read them must be consumed before."""
     root = f"{scratch_root(spark)}/netweave-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, root)
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,7 +91,3 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netweave.operators import gate as C
-from netweave.operators.reach import reach_components, reach_frontier
+from netweave.operators.reach import reach_components, reach_conditional, reach_frontier
 from netweave.operators.spatial import BASE, layer_adjacency, locate_seeds, touching
 from netweave.plans.session import materialise, ship
 from netweave.sources.layout_text import Layout, Rule, read_layout, read_rule, write_result
@@ -100,39 +100,23 @@ def _trace_gate(spark: SparkSession, layout: Layout, rule: Rule, options: TraceO
     pieces = materialise(C.slices(polygons.where(F.col("lid") == aa_lid), lines), "pieces")
     edges = materialise(C.static_edges(polygons, pieces, adjacency, aa_lid), "edges")
     polys = polygons.where(F.col("lid") == poly_lid).select("gid")
-
-    def conducting(high: DataFrame, of: DataFrame | None = None) -> DataFrame:
-        """Pairs that conduct if the polys ``high`` (``poly``) are driven; of some areas (``aa``) or all."""
-        some = lines if of is None else lines.join(of.select("aa"), "aa", "left_semi")
-        flagged = some.join(high.select("poly", F.lit(True).alias("h")), "poly", "left").withColumn("is_high", F.coalesce("h", F.lit(False)))
-        return C.conduction(pieces, C.merge_lines(flagged.select("aa", "horizontal", "coord2", "span_min2", "span_max2", "is_high")))
-
-    def at_first_touch(fresh: DataFrame, visited: DataFrame) -> DataFrame:
-        """A poly drives an area if it was taken from the queue no later than the node that first touched the area."""
-        seen = visited.select(F.col("node").alias("poly"), F.col("ord").alias("poly_ord"))
-        flagged = lines.join(fresh, "aa").join(seen, "poly", "left").withColumn("is_high", F.coalesce(F.col("poly_ord") <= F.col("ord"), F.lit(False)))
-        return C.conduction(pieces, C.merge_lines(flagged.select("aa", "horizontal", "coord2", "span_min2", "span_max2", "is_high")))
-
-    def closure(seed: int, pairs: DataFrame) -> DataFrame:
-        node = lambda c: C.piece_node(F.col("aa"), F.col(c))
-        ways = edges.where("kind < 2").select("src", "dst").unionByName(pairs.select(node("a").alias("src"), node("b").alias("dst")))
-        return reach_frontier(materialise(ways, "ways"), spark.createDataFrame([(seed,)], "node bigint")).select("node")
+    pairs = materialise(C.conduction_by_poly(pieces, lines), "pairs")
+    node = lambda c: C.piece_node(F.col("aa"), F.col(c))
+    free = edges.where("kind < 2").select("src", "dst")
 
     if options.phase1 == "reference_order":
-        seen, _ = C.search_in_order(edges, start[0], options.gate_flood, at_first_touch, polys)
-        high = materialise(polys.join(seen, F.col("gid") == F.col("node")).select(F.col("gid").alias("poly")), "high")
+        seen, _ = C.search_in_order(edges, start[0], options.gate_flood, pairs)
     else:
-        high, n = spark.createDataFrame([], "poly bigint"), -1
-        while high.count() > n:
-            n = high.count()
-            seen = closure(start[0], conducting(high))
-            high = materialise(polys.join(seen, F.col("gid") == F.col("node")).select(F.col("gid").alias("poly")), "high")
-    pairs = materialise(conducting(high), "conducting")
+        seen = reach_conditional(free, pairs.select(node("a").alias("src"), node("b").alias("dst"), F.col("poly").alias("need")), start[0])
+    seen = materialise(seen.select("node"), "seen")
+    high = materialise(polys.join(seen, F.col("gid") == F.col("node")).select(F.col("gid").alias("poly")), "high")
+    driven = materialise(pairs.join(high, "poly", "left_semi").select("aa", "a", "b").distinct(), "conducting")
     if options.gate_flood == "fixpoint":
-        visited = closure(start[1], pairs).withColumn("ord", F.col("node"))
-        cut = edges.where("kind = 2").join(visited, F.col("src") == F.col("node")).select("aa").distinct()
+        ways = free.unionByName(driven.select(node("a").alias("src"), node("b").alias("dst")))
+        visited = reach_frontier(materialise(ways, "ways"), spark.createDataFrame([(start[1],)], "node bigint")).select("node", F.col("node").alias("ord"))
+        cut = edges.where("kind = 2").join(visited.select(F.col("node").alias("src")), "src", "left_semi").select("aa").distinct()
     else:
-        visited, cut = C.search_in_order(edges, start[1], options.gate_flood, lambda fresh, _: pairs.join(fresh, "aa", "left_semi"), polys)
+        visited, cut = C.search_in_order(edges, start[1], options.gate_flood, driven.withColumn("poly", F.lit(None).cast("bigint")))
     visited = materialise(visited, "visited")
     whole = visited.join(polygons, F.col("node") == F.col("gid")).select("lid", F.col("gid").alias("ord"), "gid", "v")
     part = visited.join(pieces, F.col("node") == F.col("gid")).select("lid", F.col("ord").alias("k"), "gid", "v")

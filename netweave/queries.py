@@ -209,7 +209,7 @@ def gate_candidates(spark, sf_dir):
 
 def _crossings(spark, sf_dir):
     p = _stored(spark, sf_dir)
-    return C.gate_crossings(p, C.gate_candidates(p, POLY, AREA))
+    return materialise(C.gate_crossings(p, C.gate_candidates(p, POLY, AREA)), "crossings")
 
 
 def gate_penetration(spark, sf_dir):
@@ -224,25 +224,25 @@ def gate_cut_lines_physical(spark, sf_dir):
     return C.cut_lines(_crossings(spark, sf_dir), "physical")
 
 
-def _merged(spark, sf_dir):
-    lines = C.cut_lines(_crossings(spark, sf_dir)).withColumn("is_high", T.gid_pid(F.col("poly")) % 2 == 0)
-    return C.merge_lines(lines.drop("poly"))
+def _merged(lines):
+    return C.merge_lines(lines.withColumn("is_high", T.gid_pid(F.col("poly")) % 2 == 0).drop("poly"))
 
 
 def gate_line_merge(spark, sf_dir):
-    return _merged(spark, sf_dir)
+    return _merged(C.cut_lines(_crossings(spark, sf_dir)))
 
 
-def _slices(spark, sf_dir):
-    return C.slices(_polygons(spark, sf_dir).where(F.col("lid") == AREA), C.cut_lines(_crossings(spark, sf_dir)))
+def _slices(spark, sf_dir, lines):
+    return C.slices(_polygons(spark, sf_dir).where(F.col("lid") == AREA), lines)
 
 
 def gate_slices(spark, sf_dir):
-    return _slices(spark, sf_dir).select("aa", "idx", *S.BOX)
+    return _slices(spark, sf_dir, C.cut_lines(_crossings(spark, sf_dir))).select("aa", "idx", *S.BOX)
 
 
 def gate_slice_adjacency(spark, sf_dir):
-    return C.conduction(materialise(_slices(spark, sf_dir), "pieces"), materialise(_merged(spark, sf_dir), "lines"))
+    lines = C.cut_lines(_crossings(spark, sf_dir))
+    return C.conduction(materialise(_slices(spark, sf_dir, lines), "pieces"), _merged(lines))
 
 
 def reach_q3(spark, sf_dir):
