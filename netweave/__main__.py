@@ -26,7 +26,7 @@ def main(argv: list[str]) -> int:
 
     spark = SparkSession.builder.appName("netweave").getOrCreate()
     options = TraceOptions(gate_orientation=args.orientation, gate_flood=args.flood, phase1=args.phase1)
-    result = trace_files(spark, args.layout, args.rule, args.output, options, strict=not args.lenient)
+    result = trace_files(spark, args.layout, args.rule, args.output, options, strict=not args.lenient, one_file=True)
     print(", ".join(f"{k} {v}" for k, v in result.metrics.first().asDict().items()), file=sys.stderr)
     return 0
 

@@ -10,7 +10,7 @@ from netweave.operators import gate as C
 from netweave.operators.reach import reach_components, reach_conditional, reach_frontier
 from netweave.operators.spatial import BASE, layer_adjacency, locate_seeds, touching
 from netweave.plans.session import materialise, ship
-from netweave.sources.layout_text import Layout, Rule, read_layout, read_rule, write_result
+from netweave.sources.layout_text import Layout, Rule, read_layout, read_rule, write_result, write_result_file
 
 METRICS = ("phase1_visited", "poly_high", "aa_cut", "pieces_generated", "pieces_visited", "reachable")
 
@@ -36,10 +36,12 @@ class TraceOptions:
 
 @dataclass(frozen=True)
 class Trace:
-    """``found``: ``lid, ord, gid, v`` in output order by ``(lid, ord)``. ``metrics``: one row."""
+    """``found``: ``lid, ord, gid, v`` in output order by ``(lid, ord)``. ``metrics``: one row. ``high``: ``poly``, the
+    polys that the first start drives; None without a gate."""
 
     found: DataFrame
     metrics: DataFrame
+    high: DataFrame | None = None
 
 
 def contacts(layout: Layout, adjacency: DataFrame, base: int = BASE) -> DataFrame:
@@ -87,7 +89,7 @@ def _trace_plain(spark: SparkSession, layout: Layout, rule: Rule, options: Trace
 
 def _trace_gate(spark: SparkSession, layout: Layout, rule: Rule, options: TraceOptions) -> Trace:
     empty = spark.createDataFrame([], "lid int, ord bigint, gid bigint, v array<struct<x:bigint,y:bigint>>")
-    nothing = Trace(empty, _metrics(spark))
+    nothing = Trace(empty, _metrics(spark), spark.createDataFrame([], "poly bigint"))
     polygons = materialise(layout.polygons, "polygons")
     layout = Layout(layout.layers, polygons)
     lids = {r["name"]: r["lid"] for r in layout.layers.where(F.col("name").isin(*rule.gate)).collect()}
@@ -127,12 +129,12 @@ def _trace_gate(spark: SparkSession, layout: Layout, rule: Rule, options: TraceO
         spark, phase1_visited=seen.count(), poly_high=high.count(), aa_cut=per["cut"] or 0, pieces_generated=per["n"] or 0,
         pieces_visited=visited.where(F.col("node") >= C.SLICE_BASE).count(), reachable=visited.count(),
     )
-    return Trace(whole.unionByName(part), metrics)
+    return Trace(whole.unionByName(part), metrics, high)
 
 
-def trace_files(spark: SparkSession, layout: str, rule: str, output: str, options: TraceOptions | None = None, strict: bool = True) -> Trace:
-    """Read a layout and a rule file, trace, and write the result below ``output``."""
+def trace_files(spark: SparkSession, layout: str, rule: str, output: str, options: TraceOptions | None = None, strict: bool = True, one_file: bool = False) -> Trace:
+    """Read a layout and a rule file, trace, and write the result below ``output``, or as that one file."""
     made = read_layout(spark, layout, strict)
     result = trace(spark, made, read_rule(spark, rule, strict), options)
-    write_result(made.layers, result.found, output)
+    (write_result_file if one_file else write_result)(made.layers, result.found, output)
     return result

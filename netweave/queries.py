@@ -8,7 +8,7 @@ from netweave.functions import geometry as G
 from netweave.operators import gate as C
 from netweave.operators import spatial as S
 from netweave.operators.reach import reach_frontier
-from netweave.plans.derive import l_layout, l_ring, layers, placed, rect_layout
+from netweave.plans.derive import GATE, GATE_SEEDS, GATE_VIAS, gate_layout, l_layout, l_ring, layers, placed, rect_layout
 from netweave.plans.session import materialise, scratch_path
 from netweave.plans.trace import Trace, TraceOptions, contacts, trace
 from netweave.sources import layout_text as T
@@ -245,13 +245,95 @@ def gate_slice_adjacency(spark, sf_dir):
     return C.conduction(materialise(_slices(spark, sf_dir, lines), "pieces"), _merged(lines))
 
 
+def gate_slice_rings(spark, sf_dir):
+    """The rings of all pieces, odd cuts with their gap included, from their smallest vertex on."""
+    made = _slices(spark, sf_dir, C.cut_lines(_crossings(spark, sf_dir)))
+    return made.select("aa", "idx", T.format_ring(G.canonical_ring(F.col("v"))).alias("ring"))
+
+
+def _gated(spark: SparkSession, sf_dir: str, **options) -> Trace:
+    return trace(spark, gate_layout(spark, sf_dir), T.Rule(GATE_SEEDS, GATE_VIAS, GATE), TraceOptions(**options))
+
+
+def gate_polygons(spark, sf_dir):
+    return gate_layout(spark, sf_dir).polygons.select("lid", "pid", "gid", *S.BOX, "is_rect")
+
+
 def reach_q3(spark, sf_dir):
-    """Order-true gate search; no SQL form, held against fixtures."""
-    return _trace(spark, sf_dir, (1, 4), gate=("L1", "L2")).found.select("lid", "ord", T.format_ring(F.col("v")).alias("ring"))
+    """Order-true gate search; no SQL form, held against a queue in the tests."""
+    return _gated(spark, sf_dir).found.select("lid", "ord", T.format_ring(G.canonical_ring(F.col("v"))).alias("ring"))
 
 
 def reach_q3_fixpoint(spark, sf_dir):
-    return _trace(spark, sf_dir, (1, 4), gate=("L1", "L2"), gate_flood="fixpoint", phase1="fixpoint").found.select("lid", "gid", T.format_ring(F.col("v")).alias("ring"))
+    found = _gated(spark, sf_dir, gate_flood="fixpoint", phase1="fixpoint").found
+    return found.select("lid", "gid", T.format_ring(G.canonical_ring(F.col("v"))).alias("ring"))
+
+
+def poly_high(spark, sf_dir):
+    """Polys that the first start drives, whatever the order."""
+    return _gated(spark, sf_dir, gate_flood="fixpoint", phase1="fixpoint").high.select(F.col("poly").alias("gid"))
+
+
+def trace_metrics_gate(spark, sf_dir):
+    return _gated(spark, sf_dir, gate_flood="fixpoint", phase1="fixpoint").metrics
+
+
+def edge_cross_hv(spark, sf_dir):
+    """Level edges and the upright edges of other polygons of a layer that they meet."""
+    p = _stored(spark, sf_dir)
+    edges = p.select("gid", F.explode(G.ring_edges(F.col("v"))).alias("e"))
+    pairs = S.box_pairs(p, p, _same(spark)).select("a", "b")
+    level = edges.where("e.is_h").select(F.col("gid").alias("a"), F.col("e").alias("ea"))
+    upright = edges.where("not e.is_h").select(F.col("gid").alias("b"), F.col("e").alias("eb"))
+    met = pairs.join(level, "a").join(upright, "b").where(G.segments_touch(F.col("ea"), F.col("eb")))
+    return met.select("a", "b", F.col("eb.ax").alias("x"), F.col("ea.ay").alias("y"))
+
+
+def edge_colinear_overlap(spark, sf_dir):
+    """Parallel edges of two polygons of a layer that lie on one line and share a point."""
+    p = _stored(spark, sf_dir)
+    edges = p.select("gid", F.explode(G.ring_edges(F.col("v"))).alias("e"))
+    pairs = S.box_pairs(p, p, _same(spark), once=True).select("a", "b")
+    both = pairs.join(edges.select(F.col("gid").alias("a"), F.col("e").alias("ea")), "a").join(edges.select(F.col("gid").alias("b"), F.col("e").alias("eb")), "b")
+    met = both.where(F.col("ea.is_h") == F.col("eb.is_h")).where(G.segments_touch(F.col("ea"), F.col("eb")))
+    return met.select("a", "b", F.col("ea.is_h").alias("is_h"), F.when(F.col("ea.is_h"), F.col("ea.ay")).otherwise(F.col("ea.ax")).alias("at"))
+
+
+def layer_numbers(spark, sf_dir):
+    """Layers as a file that names them in another order, and some again, numbers them; and the numbers of its polygons."""
+    back = T.read_layout(spark, _text_file(spark, sf_dir))
+    return back.polygons.join(back.layers, "lid").select("name", "lid", "pid", *S.BOX)
+
+
+def _text_file(spark: SparkSession, sf_dir: str) -> str:
+    """The derived layout as text: a header before every polygon, in the order of k; those too small to be polygons too."""
+    c, path = F.col, scratch_path(spark, "layout")
+    s = lambda n: c(n).cast("string")
+    point = lambda x, y: F.concat(F.lit("("), s(x), F.lit(","), s(y), F.lit(")"))
+    ring = F.concat_ws(",", point("x0", "y0"), point("x1", "y0"), F.when(c("k") % 11 != 3, F.concat_ws(",", point("x1", "y1"), point("x0", "y1"))))
+    lines = placed(spark, sf_dir).select("k", F.concat(F.lit("layer "), ((c("k") * 3 + 2) % 5).cast("string"), F.lit("\n"), ring).alias("line"))
+    lines.orderBy("k").select("line").coalesce(1).write.text(path)
+    return path
+
+
+def rule_rows(spark, sf_dir):
+    """A rule file made from the first parts, read back row by row."""
+    path = scratch_path(spark, "rule")
+    some = placed(spark, sf_dir).where("k < 6").orderBy("k").collect()
+    text = "before\nVia\nA  B\tC\n" + "".join(f"StartPos\n L{r['lid']} ({r['x0']},{r['y0']}) more\nL{r['lid']} ({r['x0']}, {r['y0']})\n\nVia\nL{r['lid']} X\n" for r in some) + "Gate\nP Q\nR\n"
+    spark.createDataFrame([(text,)], "line string").coalesce(1).write.text(path)
+    rule = T.read_rule(spark, path)
+    rows = [("seed", i, " ".join(map(str, x))) for i, x in enumerate(rule.seeds)] + [("via", i, " ".join(x)) for i, x in enumerate(rule.vias)] + [("gate", 0, " ".join(rule.gate or ()))]
+    return spark.createDataFrame(rows, "section string, place int, content string")
+
+
+def parse_numbers(spark, sf_dir):
+    """What a coordinate may look like: signs, zeros in front, blanks, anything behind; -1 and not ``ok`` where it is no 32-bit number."""
+    k = F.col("k")
+    zeros = F.repeat(F.lit("0"), ((k % 7) * 9).cast("int"))
+    field = F.concat(F.element_at(F.array(*map(F.lit, ("", "+", "-", "+-", " ", "\t-", "--", "x"))), (k % 8 + 1).cast("int")), zeros, (k * 1_234_567 % 5_000_000_000).cast("string"), F.element_at(F.array(F.lit(""), F.lit("abc"), F.lit(".5")), (k % 3 + 1).cast("int")))
+    n = placed(spark, sf_dir).select("k", T.leading_int(field, strict=False).alias("n"))
+    return n.select("k", F.col("n").isNotNull().alias("ok"), F.coalesce("n", F.lit(-1).cast("bigint")).alias("n"))
 
 
 def trace_metrics(spark, sf_dir):
@@ -264,7 +346,8 @@ QUERIES = {
         polygons_table, bbox_project, gid_pack, ring_area2, ring_ccw, edge_split, edge_touch, layer_bounds, cell_size_median, grid_cells, grid_occupancy,
         overlap_same_layer, overlap_via, overlap_l_shapes, contact_degree, via_adjacency, seed_locate, point_in_ring, reach_q1, reach_q2, reach_q2_frontier,
         reach_multi_seed, reach_by_layer, reach_levels, visited_anti, result_lines, layout_text_roundtrip, parse_points, format_ring, gate_candidates,
-        gate_penetration, gate_cut_lines, gate_cut_lines_physical, gate_line_merge, gate_slices, gate_slice_adjacency, reach_q3, reach_q3_fixpoint, trace_metrics,
+        gate_penetration, gate_cut_lines, gate_cut_lines_physical, gate_line_merge, gate_slices, gate_slice_adjacency, gate_slice_rings, gate_polygons, reach_q3, reach_q3_fixpoint, poly_high, trace_metrics, trace_metrics_gate,
+        edge_cross_hv, edge_colinear_overlap, layer_numbers, rule_rows, parse_numbers,
     )
 }
 
@@ -397,3 +480,72 @@ ORACLES = {k: v.replace(")SELECT", ")\nSELECT") for k, v in ORACLES.items()}
 ORACLES["reach_levels"] = _reach_sql((1,), _LINKED) + """,
 lv AS (SELECT gid, 0 AS level FROM g UNION SELECT c.b, level + 1 FROM lv JOIN c ON c.a = lv.gid WHERE level < 40)
 SELECT gid, CAST(min(level) AS INTEGER) AS level FROM lv GROUP BY gid"""
+
+ORACLES["gate_slice_rings"] = _BOXES + _MERGED + _PIECES + f"SELECT aa, CAST(idx AS INTEGER) AS idx, {_RECT} AS ring FROM pc"
+ORACLES["edge_cross_hv"] = _BOXES + _E + f"""
+SELECT a.gid AS a, b.gid AS b, eb.ax AS x, ea.ay AS y FROM p a JOIN p b ON a.gid <> b.gid AND {_SAME}
+JOIN e ea ON ea.gid = a.gid AND ea.is_h JOIN e eb ON eb.gid = b.gid AND NOT eb.is_h
+WHERE eb.ax BETWEEN least(ea.ax, ea.bx) AND greatest(ea.ax, ea.bx) AND ea.ay BETWEEN least(eb.ay, eb."by") AND greatest(eb.ay, eb."by")"""
+ORACLES["edge_colinear_overlap"] = _BOXES + _E + f"""
+SELECT a.gid AS a, b.gid AS b, ea.is_h, CASE WHEN ea.is_h THEN ea.ay ELSE ea.ax END AS at FROM p a JOIN p b ON a.gid < b.gid AND {_SAME}
+JOIN e ea ON ea.gid = a.gid JOIN e eb ON eb.gid = b.gid AND eb.is_h = ea.is_h
+WHERE CASE WHEN ea.is_h THEN ea.ay = eb.ay AND greatest(least(ea.ax, ea.bx), least(eb.ax, eb.bx)) <= least(greatest(ea.ax, ea.bx), greatest(eb.ax, eb.bx))
+  ELSE ea.ax = eb.ax AND greatest(least(ea.ay, ea."by"), least(eb.ay, eb."by")) <= least(greatest(ea.ay, ea."by"), greatest(eb.ay, eb."by")) END"""
+ORACLES["layer_numbers"] = _BOXES + """,
+t AS (SELECT *, 'layer ' || ((k * 3 + 2) % 5) AS name FROM b),
+o AS (SELECT name, row_number() OVER (ORDER BY min(k)) - 1 AS l FROM t GROUP BY name)
+SELECT name, CAST(l AS INTEGER) AS lid, CAST(row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS INTEGER) AS pid, x0 AS minx, y0 AS miny, x1 AS maxx, y1 AS maxy
+FROM t JOIN o USING (name) WHERE k % 11 <> 3"""
+ORACLES["rule_rows"] = _BOXES + """,
+o AS (SELECT *, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS n FROM b WHERE k < 6)
+SELECT 'seed' AS section, n - 1 AS place, 'L' || lid || ' ' || x0 || ' ' || y0 AS content FROM o
+UNION ALL SELECT 'via', n, 'L' || lid || ' X' FROM o UNION ALL VALUES ('via', 0, 'A B C'), ('gate', 0, 'R Q')"""
+ORACLES["parse_numbers"] = _BOXES + """,
+v AS (SELECT k, (k * 1234567) % 5000000000 AS n FROM b)
+r AS (SELECT k, CASE WHEN k % 8 IN (3, 6, 7) THEN NULL WHEN k % 8 IN (2, 5) AND n <= 2147483648 THEN -n WHEN k % 8 IN (0, 1, 4) AND n <= 2147483647 THEN n END AS n FROM v)
+SELECT k, n IS NOT NULL AS ok, CAST(coalesce(n, -1) AS BIGINT) AS n FROM r"""
+
+# rows of transistors: polygons as p, so that lines and pieces are those of the SQL above
+_TRANSISTORS = """
+WITH RECURSIVE c AS (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS across FROM part),
+t AS (SELECT CAST(p_partkey AS BIGINT) AS k, across, (CAST(p_partkey AS BIGINT) % across) * 30 AS x, (CAST(p_partkey AS BIGINT) // across) * 40 AS y FROM part, c),
+sh AS (
+  SELECT 0 AS lid, k * 3 AS pid, x + 15 AS minx, y + 1 AS miny, x + 33 AS maxx, y + 3 AS maxy FROM t WHERE (k + 1) % across <> 0
+  UNION ALL SELECT 0, k * 3 + 1, x + 16, y + 17, x + 18, y + 43 FROM t WHERE k % 3 = 0
+  UNION ALL SELECT 0, k * 3 + 2, x + 21, y + 2, x + 22, y + 10 FROM t WHERE k % 5 = 2
+  UNION ALL SELECT 1, k * 2, x - 2, y + 8, x + 22, y + 12 FROM t WHERE k % 5 <> 4
+  UNION ALL SELECT 1, k * 2 + 1, x + 8, y - 2, x + 12, y + 22 FROM t WHERE k % 4 = 1 OR k % 5 = 4
+  UNION ALL SELECT 2, k, x, y, x + 20 + k % 2, y + 20 FROM t
+  UNION ALL SELECT 3, k, x - 2, y + 9, x + 29, y + 11 FROM t WHERE k % 13 <> 3),
+p AS (SELECT CAST(lid AS INTEGER) AS lid, CAST(pid AS INTEGER) AS pid, CAST(lid AS BIGINT) * 4294967296 + pid AS gid, minx, miny, maxx, maxy FROM sh)"""
+_NODE = "4611686018427387904 + (aa % 4294967296) * 16777216 + "
+_GATED = _TRANSISTORS + _MERGED + _PIECES + f""",
+nd AS MATERIALIZED (SELECT gid AS node, lid, minx, miny, maxx, maxy FROM p WHERE lid <> {AREA} UNION ALL SELECT {_NODE}idx, {AREA}, minx, miny, maxx, maxy FROM pc),
+adj AS (SELECT * FROM (VALUES (0, 2), (2, 0), (0, 1), (1, 0), (3, 1), (1, 3)) AS v(f, g)),
+w AS MATERIALIZED (SELECT a.node AS s, b.node AS d FROM nd a JOIN nd b ON a.node <> b.node AND {_MET}
+      AND ((a.lid = b.lid AND a.lid <> {AREA}) OR EXISTS (SELECT 1 FROM adj WHERE f = a.lid AND g = b.lid))),
+sd AS (SELECT m2.aa, poly, idx, m2.horizontal, m2.coord2, island, CASE WHEN m2.horizontal THEN 2 * minx ELSE 2 * miny END AS lo, CASE WHEN m2.horizontal THEN 2 * maxx ELSE 2 * maxy END AS hi,
+         CASE WHEN m2.horizontal THEN 2 * maxy ELSE 2 * maxx END <= m2.coord2 AS below, CASE WHEN m2.horizontal THEN 2 * miny ELSE 2 * minx END >= m2.coord2 AS above, m2.span_min2, m2.span_max2
+       FROM (SELECT m2.*, ln.poly FROM m2 JOIN ln USING (aa, horizontal, coord2, span_min2, span_max2)) m2 JOIN pc ON pc.aa = m2.aa),
+se AS (SELECT * FROM sd WHERE greatest(lo, span_min2) < least(hi, span_max2)),
+cd0 AS (SELECT a.aa, a.poly, a.idx AS i, b.idx AS j FROM se a JOIN se b ON a.aa = b.aa AND a.horizontal = b.horizontal AND a.island = b.island AND a.poly = b.poly
+        AND a.below AND b.above AND NOT b.below AND greatest(a.lo, b.lo) < least(a.hi, b.hi)),
+cd AS MATERIALIZED (SELECT DISTINCT {_NODE}i AS s, {_NODE}j AS d, poly FROM cd0 UNION SELECT {_NODE}j, {_NODE}i, poly FROM cd0),
+s1 AS (SELECT min(gid) AS node FROM p WHERE lid = 3 AND 0 BETWEEN minx AND maxx AND 10 BETWEEN miny AND maxy),
+s2 AS (SELECT min(gid) AS node FROM p WHERE lid = 0 AND 20 BETWEEN minx AND maxx AND 2 BETWEEN miny AND maxy),
+r1(node) USING KEY (node) AS (SELECT node FROM s1 UNION (SELECT d FROM (
+   SELECT w.d FROM r1 JOIN w ON w.s = r1.node
+   UNION SELECT cd.d FROM r1 JOIN cd ON cd.s = r1.node JOIN recurring.r1 h ON h.node = cd.poly
+   UNION SELECT cd.d FROM r1 JOIN cd ON cd.poly = r1.node JOIN recurring.r1 h ON h.node = cd.s) x WHERE d NOT IN (SELECT node FROM recurring.r1))),
+hi AS (SELECT r1.node AS poly FROM r1 JOIN p ON p.gid = r1.node AND p.lid = {POLY}),
+w2 AS MATERIALIZED (SELECT s, d FROM w UNION SELECT s, d FROM cd JOIN hi USING (poly)),
+r2 AS (SELECT node FROM s2 UNION SELECT w2.d FROM r2 JOIN w2 ON w2.s = r2.node)"""
+
+ORACLES["gate_polygons"] = _TRANSISTORS + "\nSELECT lid, pid, gid, minx, miny, maxx, maxy, true AS is_rect FROM p"
+ORACLES["poly_high"] = _GATED + "\nSELECT poly AS gid FROM hi"
+ORACLES["reach_q3_fixpoint"] = _GATED + f"\nSELECT CAST(lid AS INTEGER) AS lid, nd.node AS gid, {_RECT} AS ring FROM r2 JOIN nd ON nd.node = r2.node"
+ORACLES["trace_metrics_gate"] = _GATED + f""",
+to_ AS (SELECT DISTINCT b.gid AS aa FROM r2 JOIN nd a ON a.node = r2.node AND a.lid = 0 JOIN p b ON b.lid = {AREA} AND {_MET}),
+n AS (SELECT aa, count(*) AS n FROM pc JOIN to_ USING (aa) GROUP BY aa)
+SELECT (SELECT count(*) FROM r1) AS phase1_visited, (SELECT count(*) FROM hi) AS poly_high, (SELECT count(*) FROM n WHERE n > 1) AS aa_cut,
+       CAST((SELECT sum(n) FROM n) AS BIGINT) AS pieces_generated, (SELECT count(*) FROM r2 WHERE node >= 4611686018427387904) AS pieces_visited, (SELECT count(*) FROM r2) AS reachable"""

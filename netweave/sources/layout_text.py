@@ -8,6 +8,7 @@ spans more than a block.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -58,7 +59,9 @@ def gid_pid(gid: Column) -> Column:
 
 def leading_int(s: Column, strict: bool) -> Column:
     """The number a field begins with, blanks before it and anything behind it aside; null, or an error, if there is none."""
-    n = F.try_to_number(F.regexp_extract(s, f"^{_BLANKS}*[+]?(-?[0-9]{{1,30}})", 1), F.lit("S" + "9" * 30))
+    # one sign or none; zeros in front don't count, whatever their number, and eleven digits are too many
+    shape = F.regexp_extract(s, f"^{_BLANKS}*([+-]?[0-9]+)", 1)
+    n = F.concat(F.when(F.startswith(shape, F.lit("-")), F.lit("-")).otherwise(F.lit("")), F.regexp_extract(shape, "^[+-]?0*([0-9]{1,11})$", 1)).try_cast("bigint")
     ok = n.between(*_INT32)
     bad = F.raise_error(F.concat(F.lit("no 32-bit coordinate in "), s)).cast("bigint") if strict else F.lit(None).cast("bigint")
     return F.when(F.coalesce(ok, F.lit(False)), n.cast("bigint")).otherwise(bad)
@@ -166,3 +169,31 @@ def result_lines(layers: DataFrame, found: DataFrame) -> DataFrame:
 def write_result(layers: DataFrame, found: DataFrame, path: str) -> None:
     """Write the result as text below ``path``, in order over its files; an empty result gives no lines."""
     result_lines(layers, found).orderBy("lid", "ord").select("line").write.mode("overwrite").text(path)
+
+
+def write_result_file(layers: DataFrame, found: DataFrame, path: str) -> None:
+    """Write the result as the one text file ``path``, replaced if there is one; an empty result gives an empty file.
+
+    The parts are written by the tasks, as ``write_result`` does, beside the file; the file is then put together from
+    them block by block, so that the driver holds a block and never the result.
+    """
+    spark = found.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files, parts = at(path).getFileSystem(conf), f"{path.rstrip('/')}.parts-{uuid.uuid4().hex[:8]}"
+    try:
+        write_result(layers, found, parts)
+        names = sorted(f.getPath().toString() for f in files.listStatus(at(parts)) if f.getPath().getName().startswith("part-"))
+        files.delete(at(path), True)
+        out = files.create(at(path), True)
+        try:
+            for name in names:
+                part = files.open(at(name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
+    finally:
+        files.delete(at(parts), True)

@@ -180,6 +180,44 @@ def test_four_pieces(spark, tmp_path, flood, n):
     assert len(lines) == n + 2 + (2 if flood == "fixpoint" else 1) and metrics["poly_high"] == 2 and metrics["pieces_generated"] == 4
 
 
+def test_searches_by_levels_are_those_of_a_queue(spark, tmp_path, monkeypatch):
+    from netweave.operators import components
+
+    layout = text(POLY=[box(0, 3, 8, 5), box(3, 0, 5, 8)], AA=[box(0, 0, 8, 8)], METAL1=[box(0, 0, 1, 1), box(7, 7, 8, 8)])
+    rules = rule("POLY (1,4)", "METAL1 (0,0)", via=["AA METAL1"], gate="POLY AA")
+    late = text(POLY=[box(0, 3, 8, 5), box(20, 0, 21, 8)], AA=[box(0, 0, 8, 8)], METAL1=[box(0, 0, 1, 4), box(7, 0, 21, 1)])
+    late_rules = rule("METAL1 (0,0)", "METAL1 (0,0)", via=["AA METAL1", "METAL1 POLY"], gate="POLY AA")
+    found = []
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        for n, case in enumerate(((layout, rules), (late, late_rules))):
+            (tmp_path / f"{few}-{n}").mkdir()
+            found.append(run(spark, tmp_path / f"{few}-{n}", *case))
+    assert found[:2] == found[2:]
+
+
+def test_one_file_of_results(spark, tmp_path):
+    from netweave.sources.layout_text import write_result_file
+
+    (tmp_path / "l.txt").write_text(text(L1=[A, B], L2=[], L3=[C]))
+    layout = read_layout(spark, str(tmp_path / "l.txt"))
+    for n in (1, 2):  # a file that is there is replaced
+        found = layout.polygons.where(f"pid < {n}").select("lid", "gid", "v").withColumnRenamed("gid", "ord")
+        write_result_file(layout.layers, found.repartition(3), str(tmp_path / "out.txt"))
+        assert (tmp_path / "out.txt").read_text() == "\n".join(["L1", A, B, "L3", C] if n == 2 else ["L1", A, "L3", C]) + "\n"
+    write_result_file(layout.layers, found.where("false"), str(tmp_path / "none.txt"))
+    assert (tmp_path / "none.txt").read_text() == "" and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["l.txt", "none.txt", "out.txt"]
+
+
+def test_numbers_as_the_c_library_reads_them(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("L\n(+-5,1),(0000000000000000000000000000000000000007,2),(-00000000000000000003,+2147483647),(1,-2147483648),(2147483648,1),(--1,2),(4,4)\n")
+    got = read_layout(spark, str(tmp_path / "l.txt"), strict=False).polygons.first()
+    assert {tuple(p) for p in got["v"]} == {(7, 2), (-3, 2147483647), (1, -2147483648), (4, 4)}
+    (tmp_path / "m.txt").write_text("L\n(0,0),(+-5,1),(1,1)\n")
+    with pytest.raises(Exception, match="no 32-bit coordinate"):
+        read_layout(spark, str(tmp_path / "m.txt")).polygons.collect()
+
+
 def test_a_seed_on_an_area_stays_whole(spark, tmp_path):
     lines, metrics = run(spark, tmp_path, FA, rule("METAL1 (1,2)", "AA (1,1)", via=["AA METAL1"], gate="POLY AA"))
     assert lines == ["AA", AA, *HALVES, "METAL1", *M] and metrics["reachable"] == 5
