@@ -100,7 +100,39 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-# -- cutting: one small area after another, its lines in order
+# -- cutting: an area with one upright and one level line at most, which is all that lines as coded can make, by expressions
+
+
+def cut_pieces(v: Column, horizontal: bool, coord2: Column) -> Column:
+    """The rings that a line cuts ``v`` into, the lower first; ``v`` alone if the line is null or doesn't reach into it.
+
+    An odd line runs between the units: what lies on it moves half a unit back into its part.
+    """
+    across = "y" if horizontal else "x"
+
+    def part(twice: Column, lower: bool) -> Column:
+        shift = F.when(F.pmod(coord2, F.lit(2)) != 0, F.lit(-1 if lower else 1)).otherwise(F.lit(0)).cast("bigint")
+        moved = lambda p, c: p[c] + F.when(p[c] == coord2, shift).otherwise(F.lit(0).cast("bigint")) if c == across else p[c]
+        clipped = G.without_repeats(G.clip_raw(twice, horizontal, coord2, lower))
+        ring = F.transform(clipped, lambda p: G.point(moved(p, "x"), moved(p, "y")))
+        half = lambda x: F.call_function("div", x, F.lit(2).cast("bigint"))
+        whole = lambda v: (F.size(v) >= 3) & F.forall(v, lambda p: (p["x"] % 2 == 0) & (p["y"] % 2 == 0))
+        halved = lambda v: F.transform(v, lambda p: G.point(half(p["x"]), half(p["y"])))
+        # the half unit may have brought the last vertex upon the first
+        closed = lambda v: F.when(F.get(v, F.lit(0)) == F.get(v, F.size(v) - 1), F.slice(v, F.lit(1), F.size(v) - 1)).otherwise(v)
+        some = lambda v: F.when(F.size(v) >= 3, G.counter_clockwise(v))
+        return G.let(ring, lambda v: F.when(whole(v), G.let(G.let(halved(v), closed), some)))
+
+    def cut(v: Column) -> Column:
+        place = F.transform(v, lambda p: p[across] * 2)
+        both = lambda twice: F.filter(F.array(part(twice, True), part(twice, False)), lambda r: r.isNotNull())
+        made = G.let(G.let(G.doubled(v), both), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(v)))
+        return F.when((F.array_min(place) < coord2) & (coord2 < F.array_max(place)), made).otherwise(F.array(v))
+
+    return G.let(v, cut)
+
+
+# -- cutting along any number of lines: one small area after another, its lines in order
 
 Ring = list[tuple[int, int]]
 
@@ -176,9 +208,16 @@ def slices(areas: DataFrame, lines: DataFrame) -> DataFrame:
                     rows.append((aa, idx, [{"x": x, "y": y} for x, y in piece]))
             yield pd.DataFrame(rows, columns=["aa", "idx", "v"])
 
-    made = with_lines.where("lines is not null").select("aa", "v", "lines").mapInPandas(cut, f"aa bigint, idx int, v {G.RING}")
+    of = lambda level: F.filter("lines", lambda s: s["horizontal"] == F.lit(level))
+    once = F.coalesce((F.size(of(False)) <= 1) & (F.size(of(True)) <= 1), F.lit(False))
+    crossed = with_lines.where("lines is not null").select("aa", "v", "lines", once.alias("once"))
+    coords = {name: F.get(of(level), F.lit(0))["coord2"] for name, level in (("upright2", False), ("level2", True))}
+    simple = crossed.where("once").withColumns(coords).withColumn("first", cut_pieces(F.col("v"), False, F.col("upright2")))
+    rings = F.flatten(F.transform("first", lambda v: cut_pieces(v, True, F.col("level2"))))
+    simple = simple.select("aa", F.posexplode(rings).alias("idx", "v"))
+    made = crossed.where("not once").select("aa", "v", "lines").mapInPandas(cut, f"aa bigint, idx int, v {G.RING}")
     whole = with_lines.where("lines is null").select("aa", F.lit(0).alias("idx"), "v")
-    both = whole.unionByName(made)
+    both = whole.unionByName(simple).unionByName(made)
     return both.select(
         "aa", "idx", F.shiftright("aa", 32).cast("int").alias("lid"), gid_pid(F.col("aa")).alias("pid"), piece_node(F.col("aa"), F.col("idx")).alias("gid"),
         *[c.alias(n) for n, c in G.ring_box(F.col("v")).items()], "v", G.is_rectangle(F.col("v")).alias("is_rect"),

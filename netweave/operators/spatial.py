@@ -4,6 +4,10 @@ Cells come in sizes, each four times the last. A polygon's own size is the small
 box, so it covers four cells of it at most, and so does anything smaller. Of two polygons the one of the smaller size
 looks for the other in the other's cells. Nothing is exploded into many cells, however large a polygon is, and a pair
 is met in several cells but kept only in the last cell that both begin in, which needs no ``distinct``.
+
+Large sizes have few polygons and few cells, each of which a whole region of smaller polygons falls into. The polygons of
+a size that are few, by a count, are broadcast by their cells, so that the smaller ones stay where they are; the sizes
+that are left have as many cells as polygons, and are exchanged by cell.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from netweave.functions.geometry import boxes_overlap, point_in_ring, rings_touc
 BOX = ("minx", "miny", "maxx", "maxy")
 BASE = 16
 SIZES = 17  # 16 * 4**16 is wider than any 32-bit box
+#: Polygons of one size that are broadcast, at most; some 5 MB in their cells.
+FEW_HOSTS = 1 << 14
 
 
 def side_median(polygons: DataFrame) -> DataFrame:
@@ -79,29 +85,38 @@ def box_pairs(left: DataFrame, right: DataFrame, layer_pairs: DataFrame, once: b
     left and right) and ``sure`` (both are rectangles, so the boxes are all there is to compare). With ``once``,
     for one set on both sides, each unordered pair comes once, the smaller gid as ``a``.
     """
-    columns = ["gid", "lid", *BOX, "is_rect"]
+    columns, spark = ["gid", "lid", *BOX, "is_rect"], left.sparkSession
     lhs = left.select(*columns).withColumn("own", _own_size(base))
     rhs = right.select(*columns).withColumn("own", _own_size(base))
-    sizes = lhs.select("own").unionByName(rhs.select("own")).distinct().select(F.col("own").alias("size"))
+    sides = rhs.select("own", F.lit(1).alias("side")).unionByName(lhs.select("own", F.lit(0).alias("side")))
+    held = {(r["side"], r["own"]): r["count"] for r in sides.groupBy("side", "own").count().collect()}  # at most 2 * SIZES rows
     small = {"gid": "a", "lid": "a_lid", "own": "a_own", "x0": "a_x0", "y0": "a_y0", "is_rect": "a_rect", **{c: f"a_{c}" for c in BOX}}
     large = {k: "b" + v[1:] for k, v in small.items()}
     met = F.col("cx").eqNullSafe(F.greatest("a_x0", "b_x0")) & F.col("cy").eqNullSafe(F.greatest("a_y0", "b_y0")) & boxes_overlap() & (F.col("a") != F.col("b"))
 
-    def search(guests: DataFrame, hosts: DataFrame, pairs: DataFrame, tie: Column) -> DataFrame:
-        """The smaller ones, in the cells of every size there is from their own on, against the larger in their own."""
-        spread = guests.join(F.broadcast(sizes), F.col("size") >= F.col("own"))
-        g = _in_cells(spread, base).withColumnsRenamed(small)
-        h = _in_cells(hosts.withColumn("size", F.col("own")), base).withColumnsRenamed(large)
-        g = g.join(pairs.select(F.col("lid").alias("a_lid"), F.col("nlid").alias("b_lid")), "a_lid")
-        near = g.join(h, ["b_lid", "size", "cx", "cy"]).where(met & ((F.col("a_own") < F.col("b_own")) | ((F.col("a_own") == F.col("b_own")) & tie)))
-        return near.select("a", "b", (F.col("a_rect") & F.col("b_rect")).alias("sure"))
+    def search(guests: DataFrame, hosts: DataFrame, side: int, pairs: DataFrame, tie: Column) -> DataFrame:
+        """The smaller ones, in the cells of every size of the hosts from their own on, against the larger in their own."""
+        order = ((F.col("a_own") < F.col("b_own")) | ((F.col("a_own") == F.col("b_own")) & tie))
+        few = [size for (of, size), n in sorted(held.items()) if of == side and n <= FEW_HOSTS]
+        many = [size for (of, size), n in sorted(held.items()) if of == side and n > FEW_HOSTS]
+        wanted = pairs.select(F.col("lid").alias("a_lid"), F.col("nlid").alias("b_lid"))
+        found = []
+        for sizes in filter(None, (few, many)):
+            larger = F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.col("own"))
+            g = _in_cells(guests.withColumn("size", F.explode(larger)), base).withColumnsRenamed(small).join(wanted, "a_lid")
+            h = _in_cells(hosts.where(F.col("own").isin(sizes)).withColumn("size", F.col("own")), base).withColumnsRenamed(large)
+            near = g.join(F.broadcast(h) if sizes is few else h, ["b_lid", "size", "cx", "cy"]).where(met & order)
+            found.append(near.select("a", "b", (F.col("a_rect") & F.col("b_rect")).alias("sure")))
+        if not found:
+            return spark.createDataFrame([], "a bigint, b bigint, sure boolean")
+        return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
 
     if once:
-        found = search(lhs, rhs, layer_pairs, F.col("a") < F.col("b"))
+        found = search(lhs, rhs, 1, layer_pairs, F.col("a") < F.col("b"))
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
     back = layer_pairs.select(F.col("nlid").alias("lid"), F.col("lid").alias("nlid"))
-    forth = search(lhs, rhs, layer_pairs, F.lit(True))
-    return forth.unionByName(search(rhs, lhs, back, F.lit(False)).select(F.col("b").alias("a"), F.col("a").alias("b"), "sure"))
+    forth = search(lhs, rhs, 1, layer_pairs, F.lit(True))
+    return forth.unionByName(search(rhs, lhs, 0, back, F.lit(False)).select(F.col("b").alias("a"), F.col("a").alias("b"), "sure"))
 
 
 def touching(left: DataFrame, right: DataFrame, layer_pairs: DataFrame, once: bool = False, base: int = BASE) -> DataFrame:
@@ -132,7 +147,8 @@ def locate_seeds(polygons: DataFrame, layers: DataFrame, seeds: DataFrame) -> Da
     """
     asked = seeds.join(layers.withColumnRenamed("name", "layer"), "layer").select("idx", F.col("lid").alias("s_lid"), "x", "y")
     inside = (F.col("lid") == F.col("s_lid")) & F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
-    # seeds are the few lines of a rule file
-    hit = polygons.join(F.broadcast(asked), inside).where(F.when(F.col("is_rect"), F.lit(True)).otherwise(point_in_ring(F.col("x"), F.col("y"), F.col("v"))))
+    # seeds are the lines of a rule file, which the driver has read; more than fit a broadcast are joined by layer
+    few = seeds.count() <= FEW_HOSTS
+    hit = polygons.join(F.broadcast(asked) if few else asked, inside).where(F.when(F.col("is_rect"), F.lit(True)).otherwise(point_in_ring(F.col("x"), F.col("y"), F.col("v"))))
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
     return hit.groupBy("idx").agg(F.max_by("gid", F.struct(area.alias("area"), -F.col("pid"))).alias("gid"))

@@ -131,3 +131,30 @@ def test_points_of_words(spark):
     lines = spark.createDataFrame([("(0,1) (2,3) x (4,5)",), ("(0,1),(2,3) (7,8)",), ("(0,1)(2,3) (,)",)], "line string")
     got = [[tuple(p) for p in r[0]] for r in lines.select(parse_points(F.col("line"), dialect="whitespace")).collect()]
     assert got == [[(0, 1), (2, 3), (4, 5)], [(0, 1), (7, 8)], [(0, 1)]]
+
+
+def test_pieces_by_expression_are_those_of_cutting_one_after_another(spark):
+    import random
+
+    from netweave.functions.geometry import RING
+    from netweave.operators.gate import cut_area, slices
+
+    rng = random.Random(17)
+    areas, lines = [], []
+    for i in range(120):
+        x, y, w, h = rng.randrange(-20, 20), rng.randrange(-20, 20), rng.randrange(2, 12), rng.randrange(2, 12)
+        a, b = rng.randrange(1, w), rng.randrange(1, h)
+        rings = [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)], [(x, y), (x + w, y), (x + w, y + b), (x + a, y + b), (x + a, y + h), (x, y + h)]]
+        if w > 3:  # a notch, which a level line may cut twice
+            rings.append([(x, y), (x + w, y), (x + w, y + h), (x + w - 1, y + h), (x + w - 1, y + b), (x + 1, y + b), (x + 1, y + h), (x, y + h)])
+        ring = rings[i % len(rings)]
+        areas.append((i, 2, i, [{"x": p, "y": q} for p, q in ring]))
+        cuts = [(False, rng.randrange(2 * x - 2, 2 * (x + w) + 3))] * (i % 4 > 0) + [(True, rng.randrange(2 * y - 2, 2 * (y + h) + 3))] * (i % 3 > 0) + [(True, 2 * y + 1)] * (i % 7 == 6)
+        lines += [(i, *c) for c in dict.fromkeys(cuts)]
+    got = slices(spark.createDataFrame(areas, f"gid bigint, lid int, pid int, v {RING}"), spark.createDataFrame(lines, "aa bigint, horizontal boolean, coord2 bigint"))
+    found = {(r["aa"], r["idx"]): [tuple(p) for p in r["v"]] for r in got.collect()}
+    want = {}
+    for i, _, _, v in areas:
+        for n, ring in enumerate(cut_area([(p["x"], p["y"]) for p in v], sorted((h, c) for a, h, c in lines if a == i))):
+            want[i, n] = ring
+    assert found == want and len(want) > 200
