@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from netweave.operators.skew import join_counted
+from netweave.llm.names import own_names
 from netweave.llm.words import mix, running_hash, tidied
 from netweave.plans.session import materialise
 
@@ -134,6 +135,7 @@ def _tidy_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " "), "\n"), lambda s: F.trim(s))
 
 
+@own_names
 def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, moved: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text cut and ``n_lines, n_removed`` (columns of these names are replaced).
 

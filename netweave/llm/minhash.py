@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netweave.operators.skew import join_counted
+from netweave.llm.names import own_names
 from netweave.llm.words import mix, shingles, text_chunks, tidied, word_hashes
 from netweave.operators.components import connected_components
 from netweave.plans.session import materialise
@@ -360,6 +361,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     return _classes(docs, threshold, bands, rows, id_col, text_col).select(F.col("__id").alias(id_col), "class_id", "class_size", "kept")
 
 
+@own_names
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     kept = _classes(docs, threshold, bands, rows, id_col, text_col).where("kept")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from netweave.llm.names import own_names
 from netweave.operators.skew import join_counted
 from netweave.plans.session import materialise
 
@@ -64,6 +65,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = DEFAULT_WEIGHTS,
     return shares.select("__src", "__size", share.alias("__target"))
 
 
+@own_names
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = DEFAULT_WEIGHTS,
@@ -123,6 +125,7 @@ def mix_sources(
     return placed.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+@own_names
 def expand_mix(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that the mix stands for: a row for each whole repeat, and one cut behind its last word.
 

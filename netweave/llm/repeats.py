@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netweave.llm.words import mix, running_hash, text_chunks, tidied
+from netweave.operators.skew import join_counted
 from netweave.plans.session import materialise
 
 LENGTH = 50
@@ -496,7 +497,8 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", F.xxhash64(text).alias("t"), ident.alias("id"), text.cast("binary").alias("b"))
     rows = materialise(base.select("t", "id", F.octet_length("b").alias("n")), "rows")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    size = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    total = size["bytes"] or 0
     n_p, n_q = -(-total // share_bytes) + 1, -(-total // index_bytes) + 1
     minimizers = base.select("t", "id", "b").mapInArrow(tidied(_share(n_p)), "p int, ts binary, ids binary, parts binary, counts binary, names binary")
     shared = minimizers.groupBy("p").applyInArrow(_shared(n_p), "d int, p int, ts binary, ids binary, parts binary, sizes binary, bits binary")
@@ -509,8 +511,8 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     marks = sent.groupBy("q").applyInArrow(_mark, "s long, id long, starts array<long>, ends array<long>")
     marks = marks.groupBy("s", "id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     # a text that a smaller id has as well goes whole
-    classes = rows.where(F.col("n") >= LENGTH).groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    copies = rows.where(F.col("n") >= LENGTH).join(classes, "t").where("id > first").select(F.col("t").bitwiseAND(0xFFFFFFFF).alias("s"), "id", F.lit(True).alias("copy")).distinct()
+    classes = rows.where(F.col("n") >= LENGTH).groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("held")).where("first < last").drop("last")
+    copies = join_counted(rows.where(F.col("n") >= LENGTH), classes, "t", "held", size["rows"]).where("id > first").select(F.col("t").bitwiseAND(0xFFFFFFFF).alias("s"), "id", F.lit(True).alias("copy")).distinct()
     known = marks.join(copies, ["s", "id"], "full_outer")
     cut = keyed.join(known.hint("merge"), ["s", "id"], "left").select("doc_id", "b", "copy", "starts", "ends")
     kind_of = docs.schema["doc_id"].dataType.simpleString()
