@@ -104,8 +104,7 @@ class Chip:
             high = now
 
 
-@pytest.mark.parametrize("flood", ["one_hop", "fixpoint"])
-@pytest.mark.parametrize("phase1", ["reference_order", "fixpoint"])
+@pytest.mark.parametrize("flood, phase1", [("one_hop", "reference_order"), ("fixpoint", "fixpoint")])
 def test_gate_search_is_that_of_a_queue(spark, sf_dir, flood, phase1):
     layout = gate_layout(spark, sf_dir)
     chip = Chip(layout.polygons.collect())
