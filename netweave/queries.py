@@ -501,7 +501,7 @@ o AS (SELECT *, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS n FROM b WHER
 SELECT 'seed' AS section, n - 1 AS place, 'L' || lid || ' ' || x0 || ' ' || y0 AS content FROM o
 UNION ALL SELECT 'via', n, 'L' || lid || ' X' FROM o UNION ALL VALUES ('via', 0, 'A B C'), ('gate', 0, 'R Q')"""
 ORACLES["parse_numbers"] = _BOXES + """,
-v AS (SELECT k, (k * 1234567) % 5000000000 AS n FROM b)
+v AS (SELECT k, (k * 1234567) % 5000000000 AS n FROM b),
 r AS (SELECT k, CASE WHEN k % 8 IN (3, 6, 7) THEN NULL WHEN k % 8 IN (2, 5) AND n <= 2147483648 THEN -n WHEN k % 8 IN (0, 1, 4) AND n <= 2147483647 THEN n END AS n FROM v)
 SELECT k, n IS NOT NULL AS ok, CAST(coalesce(n, -1) AS BIGINT) AS n FROM r"""
 
