@@ -180,20 +180,17 @@ def test_four_pieces(spark, tmp_path, flood, n):
     assert len(lines) == n + 2 + (2 if flood == "fixpoint" else 1) and metrics["poly_high"] == 2 and metrics["pieces_generated"] == 4
 
 
-def test_searches_by_levels_are_those_of_a_queue(spark, tmp_path, monkeypatch):
-    from netweave.operators import components
-
-    layout = text(POLY=[box(0, 3, 8, 5), box(3, 0, 5, 8)], AA=[box(0, 0, 8, 8)], METAL1=[box(0, 0, 1, 1), box(7, 7, 8, 8)])
-    rules = rule("POLY (1,4)", "METAL1 (0,0)", via=["AA METAL1"], gate="POLY AA")
-    late = text(POLY=[box(0, 3, 8, 5), box(20, 0, 21, 8)], AA=[box(0, 0, 8, 8)], METAL1=[box(0, 0, 1, 4), box(7, 0, 21, 1)])
-    late_rules = rule("METAL1 (0,0)", "METAL1 (0,0)", via=["AA METAL1", "METAL1 POLY"], gate="POLY AA")
-    found = []
-    for few in (1 << 20, 0):
-        monkeypatch.setattr(components, "FEW_EDGES", few)
-        for n, case in enumerate(((layout, rules), (late, late_rules))):
-            (tmp_path / f"{few}-{n}").mkdir()
-            found.append(run(spark, tmp_path / f"{few}-{n}", *case))
-    assert found[:2] == found[2:]
+def test_searches_by_levels_are_those_of_a_queue(spark):
+    from netweave.operators import gate
+
+    area, piece = 5 << 32, lambda n: (1 << 62) + n
+    edges = [(1, 0, 2, None, area, None), (1, 0, 1, None, area, 0), (1, 1, 0, 9, None, None), (piece(1), 0, 0, 8, None, None), (9, 0, 2, None, area, None), (9, 0, 1, None, area, 2)]
+    edges = spark.createDataFrame(edges, "src bigint, branch int, kind int, dst bigint, aa bigint, idx int")
+    pairs = spark.createDataFrame([(area, 0, 1, 1), (area, 1, 0, 1), (area, 1, 2, 9), (area, 0, 3, None)], "aa bigint, a int, b int, poly bigint")
+    want = [1, piece(0), piece(1), piece(3), 9, 8, piece(2)]
+    for search in (gate._search_in_one_task, gate._search_by_levels):
+        found, areas = search(edges, 1, "one_hop", pairs)
+        assert [r["node"] for r in found.orderBy("ord").collect()] == want and [r["aa"] for r in areas.collect()] == [area]
 
 
 def test_one_file_of_results(spark, tmp_path):
