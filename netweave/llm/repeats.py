@@ -2,7 +2,9 @@
 
 A window of ``LENGTH`` bytes is assigned to its minimizer, the 16-byte string in it with the smallest hash; equal windows
 have equal minimizers, wherever they stand. Consecutive windows of one minimizer form a stretch of text. Stretches of
-minimizers that two different texts share are brought together by minimizer; no other text moves.
+minimizers that two different texts share are brought together by minimizer; no other text moves. Common words make long
+minimizers common too, so it is not the minimizer itself that must be shared: a window holds either the ``GRAM`` bytes up
+to the end of its minimizer or the ``GRAM`` from its begin on, and only windows that hold such a string of two texts go.
 
 A task holds the different stretches of its minimizers, in the order of the documents that have them first, and builds
 their run-length index: the Burrows-Wheeler transform of their concatenation, compressed to runs, and for the head of
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from netweave.llm.words import mix, running_hash, text_chunks, tidied
@@ -28,6 +31,8 @@ from netweave.plans.session import materialise
 
 LENGTH = 50
 K = 16
+#: Bytes that a window has at least on one side of its minimizer, the minimizer included.
+GRAM = K + (LENGTH - K) // 2
 #: Bytes of corpus for each task that looks for shared minimizers, and for each that holds an index.
 SHARE_BYTES, INDEX_BYTES = 64 << 20, 4 << 20
 _CHUNK = 1 << 20
@@ -35,15 +40,16 @@ _PLACE_BITS = 24  # of the place of a minimizer in its chunk; a longer text is c
 _PART = 1 << 23
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, first byte, end and minimizer hash of each stretch of windows with one minimizer, in text order."""
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first byte, end, minimizer hash, place of the minimizer, and 32-bit hashes of the ``GRAM`` bytes up to its end
+    and from its begin on (0 where the stretch doesn't hold them), of each stretch of windows with one minimizer, in text order."""
     n, span = len(data), LENGTH - K + 1
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, np.zeros(0, np.uint64), none, np.zeros((2, 0), np.uint32))
     if n < LENGTH:
-        return none, none, none, np.zeros(0, np.uint64)
+        return nothing
     total, scale = running_hash(data)
     grams = mix((total[K:] - total[:-K]) * scale[: n - K + 1])
-    del total
     low = np.uint64((1 << _PLACE_BITS) - 1)
     best = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # ties go to the place further left
     width = 1
@@ -64,7 +70,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     new[offsets[:-1][some]] = True
     first = np.flatnonzero(new)
     if not len(first):
-        return none, none, none, np.zeros(0, np.uint64)
+        return nothing
     last_of = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
     owner = np.searchsorted(offsets, first, "right") - 1
     while True:  # empty texts share their offset with the next one
@@ -72,7 +78,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         if not empty.any():
             break
         owner[empty] -= 1
-    return owner, first, last_of + LENGTH, grams[place[first]]
+    end, at = last_of + LENGTH, place[first]
+    sides = np.zeros((2, len(first)), np.uint32)
+    for side, begin in zip(sides, (at + K - GRAM, at), strict=True):
+        held = (begin >= first) & (begin + GRAM <= end)
+        b = begin[held]
+        side[held] = np.maximum(mix((total[b + GRAM] - total[b]) * scale[b]) >> np.uint64(32), 1)
+    return owner, first, end, grams[at], at, sides
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,14 +98,14 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
             yield row, int(at - a), piece, np.array([0, len(piece)], np.int64)
 
 
-def all_stretches(texts: pa.Array, chunk_bytes: int = _CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Per chunk of a column: first row, and owner, start, end, minimizer of its stretches, starts within the text, and
-    the bytes of each stretch on demand as ``(data, begin)``."""
+def all_stretches(texts: pa.Array, chunk_bytes: int = _CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+    """Per chunk of a column: first row, and owner, start, end, minimizer of its stretches, starts within the text, the
+    hashes of their sides, and ``(data, base, place)``: the chunk's bytes, and the text's first one and the minimizer's there."""
     for first, data, offsets in text_chunks(texts, chunk_bytes):
         for row, shift, piece, bounds in _parts(data, offsets):
-            owner, start, end, name = stretches(piece, bounds)
-            base = bounds[:-1][owner] if len(owner) else owner
-            yield first + row, owner, start - base + shift, end - base + shift, name, [piece, start, end]
+            owner, start, end, name, place, sides = stretches(piece, bounds)
+            base = (bounds[:-1][owner] if len(owner) else owner) - shift
+            yield first + row, owner, start - base, end - base, name, sides, (piece, base, place - base)
 
 
 class _Suffixes:
@@ -299,20 +311,20 @@ def _rows_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _share(n_p: int):
-    """Rows of texts to rows ``p, ts, ids, parts, counts, names``: the minimizers of a chunk, by task that compares them."""
+    """Rows of texts to rows ``p, ts, ids, parts, counts, lefts, rights``: the sides of the minimizers of a chunk, by task that compares them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, ident = batch.column("t").to_numpy(), batch.column("id").to_numpy()
-            for first, owner, start, _, name, _ in all_stretches(batch.column("b")):
+            for first, owner, start, _, name, (left, right), _ in all_stretches(batch.column("b")):
                 row, part = owner + first, start // _PART
                 out: list[tuple] = []
                 for p, at in _rows_by(((name >> np.uint64(40)) % np.uint64(n_p)).astype(np.int64)):
                     entry = row[at] * (1 << 24) + part[at]
                     edge = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
                     head = at[edge]
-                    out.append((p, _pack(t[row[head]], "<i8"), _pack(ident[row[head]], "<i8"), _pack(part[head], "<i4"), _pack(np.diff(np.append(edge, len(at))), "<i4"), _pack(name[at] & np.uint64(0xFFFFFFFF), "<u4")))
-                yield pa.record_batch([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(6)], ["p", "ts", "ids", "parts", "counts", "names"])
+                    out.append((p, _pack(t[row[head]], "<i8"), _pack(ident[row[head]], "<i8"), _pack(part[head], "<i4"), _pack(np.diff(np.append(edge, len(at))), "<i4"), _pack(left[at], "<u4"), _pack(right[at], "<u4")))
+                yield pa.record_batch([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(7)], ["p", "ts", "ids", "parts", "counts", "lefts", "rights"])
 
     return run
 
@@ -329,36 +341,49 @@ def _unsqueeze(raw: bytes) -> bytes:
     return pa.decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
 
 
+def _of_two(name: np.ndarray, take: np.ndarray, which: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """For each name whether it is one that two different texts have; 0 is none, and only what ``take`` marks counts."""
+    flag = take & (name > 0)
+    mine = name[flag]
+    pairs = np.sort((mine.astype(np.uint64) << np.uint64(32)) | which[entry[flag]].astype(np.uint64))
+    if len(pairs):
+        heads = np.flatnonzero(np.append(True, pairs[1:] >> np.uint64(32) != pairs[:-1] >> np.uint64(32)))
+        several = pairs[heads] != pairs[np.append(heads[1:], len(pairs)) - 1]
+        shared = (pairs[heads[several]] >> np.uint64(32)).astype(np.uint32)  # sorted, as the pairs were
+        del pairs
+        flag[flag] = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine if len(shared) else False
+    return flag
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``begin[i]`` to ``begin[i] + count[i] - 1`` for each i."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _shared(n_d: int):
-    """The minimizers of a task that two different texts have, a bit for each of an entry's, in few packed rows."""
+    """The sides of minimizers that two different texts have, two bits for each of an entry's, in few packed rows."""
 
     def run(group: pa.Table) -> pa.Table:
         t, ident, part, count = (_joined(group.column(c), k) for c, k in (("ts", "<i8"), ("ids", "<i8"), ("parts", "<i4"), ("counts", "<i4")))
-        name = _joined(group.column("names"), "<u4")
+        count = count.astype(np.int64)
         entry = np.repeat(np.arange(len(t)), count)
         which = np.unique(t, return_inverse=True)[1]
         # of equal texts the one with the smallest id stands for all
         least = np.full(which.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, which, ident)
         take = (ident == least[which])[entry]
-        pairs = np.sort((name[take].astype(np.uint64) << np.uint64(32)) | which[entry[take]].astype(np.uint64))
-        heads = np.flatnonzero(np.append(True, pairs[1:] >> np.uint64(32) != pairs[:-1] >> np.uint64(32)))
-        several = pairs[heads] != pairs[np.append(heads[1:], len(pairs)) - 1]
-        shared = (pairs[heads[several]] >> np.uint64(32)).astype(np.uint32)
-        flag = take.copy()
-        del pairs
-        if len(shared):  # sorted, as the pairs were
-            mine = name[take]
-            flag[take] = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
-        else:
-            flag[:] = False
-        hit = np.flatnonzero(np.bincount(entry, flag, minlength=len(t)) > 0)
+        flag = np.zeros((len(entry), 2), bool)
+        for i, side in enumerate(("lefts", "rights")):
+            flag[:, i] = _of_two(_joined(group.column(side), "<u4"), take, which, entry)
+        hit = np.flatnonzero(np.bincount(entry, flag.any(1), minlength=len(t)) > 0)
         begin = np.cumsum(count) - count
         p, out = group.column("p")[0].as_py(), []
         for d, at in _rows_by((mix(t[hit].view(np.uint64) ^ ident[hit].view(np.uint64)) % np.uint64(n_d)).astype(np.int64)):
             e = hit[at]
-            bits = [np.packbits(flag[x : x + n]).tobytes() for x, n in zip(begin[e].tolist(), count[e].tolist(), strict=True)]
-            out.append((d, p, _pack(t[e], "<i8"), _pack(ident[e], "<i8"), _pack(part[e], "<i4"), _pack([len(x) for x in bits], "<i4"), _squeeze(b"".join(bits))))
+            size = (2 * count[e] + 7) // 8  # an entry begins at a byte
+            bits = np.zeros(8 * int(size.sum()), bool)
+            bits[_spread(8 * (np.cumsum(size) - size), 2 * count[e])] = flag.reshape(-1)[_spread(2 * begin[e], 2 * count[e])]
+            out.append((d, p, _pack(t[e], "<i8"), _pack(ident[e], "<i8"), _pack(part[e], "<i4"), _pack(size, "<i4"), _squeeze(np.packbits(bits).tobytes())))
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["d", "p", "ts", "ids", "parts", "sizes", "bits"])
 
@@ -382,31 +407,57 @@ def _flags(group: pa.Table) -> pa.Table:
     return pa.table({"s": pa.array(t[head] & 0xFFFFFFFF, pa.int64()), "id": pa.array(ident[head], pa.int64()), "flags": flags})
 
 
+def _flagged(flags: pa.Array, row: np.ndarray, part: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The two bits of each stretch, by its text, part and task, from the rows of ``_flags``; none where a task found nothing."""
+    found = np.zeros((len(row), 2), bool)
+    length = flags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    entries = flags.flatten()  # nulls have no entries
+    bits = entries.field("bits")
+    raw = np.frombuffer(b"".join(bits.to_pylist()), np.uint8)
+    if not len(row) or not len(raw):
+        return found
+    size = np.array(pa.compute.binary_length(bits), np.int64)
+    at = 8 * (np.cumsum(size) - size)
+    # tasks within a part of a text: one number for each
+    wide = int(max(p.max(), entries.field("p").to_numpy().max())) + 1
+    key = lambda row, part, p: (row.astype(np.int64) * (1 << 24) + part) * wide + p
+    asked = key(np.repeat(np.arange(len(length)), length), entries.field("part").to_numpy(), entries.field("p").to_numpy())
+    order = np.argsort(asked)
+    asked, at = asked[order], at[order]
+    mine = key(row, part, p)
+    by_task = np.argsort(mine, kind="stable")
+    ranked = mine[by_task]
+    edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    number = np.arange(len(ranked)) - np.repeat(edge, np.diff(np.append(edge, len(ranked))))
+    place = np.minimum(np.searchsorted(asked, ranked), len(asked) - 1)
+    known = asked[place] == ranked
+    first = (at[place] + 2 * number)[known]
+    unpacked = np.unpackbits(raw) > 0
+    found[by_task[known]] = np.column_stack([unpacked[first], unpacked[first + 1]])
+    return found
+
+
 def _emit(n_p: int, n_q: int):
-    """Texts with their flags to rows ``q, ss, ids, starts, lengths, data``: the stretches of shared minimizers."""
+    """Texts with their flags to rows ``q, ss, ids, starts, lengths, data``: the stretches of shared minimizers, no longer
+    than their windows that hold a shared side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, ident, flags = batch.column("s").to_numpy(), batch.column("id").to_numpy(), batch.column("flags")
-            for first, owner, start, end, name, (data, begin, _) in all_stretches(batch.column("b"), 2 * _CHUNK):
+            for first, owner, start, end, name, _, (data, base, place) in all_stretches(batch.column("b"), 2 * _CHUNK):
                 row, part = owner + first, start // _PART
                 p = ((name >> np.uint64(40)) % np.uint64(n_p)).astype(np.int64)
-                keep = np.zeros(len(row), bool)
-                entry = row * (1 << 24) + part
-                edge = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(row) else []
-                for a, b in zip(edge, np.append(edge[1:], len(row)) if len(row) else [], strict=True):
-                    mine = p[a:b]
-                    for f in flags[int(row[a])].as_py():
-                        if f["part"] == part[a]:
-                            at = np.flatnonzero(mine == f["p"])
-                            keep[a + at[np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=len(at)) > 0]] = True
-                kept = np.flatnonzero(keep)
+                count = int(owner.max()) + 1 if len(owner) else 0
+                left, right = _flagged(flags.slice(first, count), owner, part, p).T
+                start = np.where(left, start, np.maximum(start, place + GRAM - LENGTH))
+                end = np.where(right, end, np.minimum(end, place + K - GRAM + LENGTH))
+                kept = np.flatnonzero((left | right) & (end - start >= LENGTH))
                 out = []
                 raw = data.tobytes()
                 for q, at in _rows_by((mix(name[kept] + np.uint64(1)) % np.uint64(n_q)).astype(np.int64)):
                     x = kept[at]
                     size = end[x] - start[x]
-                    held = b"".join(raw[s : s + n] for s, n in zip(begin[x].tolist(), size.tolist(), strict=True))
+                    held = b"".join(raw[s : s + n] for s, n in zip((start + base)[x].tolist(), size.tolist(), strict=True))
                     out.append((q, _pack(t[row[x]], "<u4"), _pack(ident[row[x]], "<i8"), _pack(start[x], "<u4"), _pack(size, "<u1"), _squeeze(held)))
                 yield pa.record_batch([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(6)], ["q", "ss", "ids", "starts", "lengths", "data"])
 
@@ -500,7 +551,7 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, index_bytes:
     size = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
     total = size["bytes"] or 0
     n_p, n_q = -(-total // share_bytes) + 1, -(-total // index_bytes) + 1
-    minimizers = base.select("t", "id", "b").mapInArrow(tidied(_share(n_p)), "p int, ts binary, ids binary, parts binary, counts binary, names binary")
+    minimizers = base.select("t", "id", "b").mapInArrow(tidied(_share(n_p)), "p int, ts binary, ids binary, parts binary, counts binary, lefts binary, rights binary")
     shared = minimizers.groupBy("p").applyInArrow(_shared(n_p), "d int, p int, ts binary, ids binary, parts binary, sizes binary, bits binary")
     flags = materialise(shared.groupBy("d").applyInArrow(_flags, "s long, id long, flags array<struct<part:int,p:int,bits:binary>>"), "flags")
     # both joins deal the texts out alike, so that they are shuffled once and read twice; beside the id, 32 bits of the

@@ -680,3 +680,36 @@ def test_a_text_of_several_parts(spark):
         0: (6, [], b"before"), 2: (209, [(0, 200)], b"own words"), 3: (9_000_000, [(0, cut + 60), (cut + 61, 9_000_000)], b"X"),
     }
     assert next(r["spans"] == [] for r in got if r["doc_id"] == 1)
+
+
+def test_common_words_bring_no_stretches_together():
+    rng = np.random.default_rng(35)
+    words = ["".join(map(chr, rng.integers(97, 123, 30))) for _ in range(1500)]
+    passage = " ".join(words[i] for i in rng.integers(0, 1500, 7))
+    texts = [" ".join(words[i] for i in rng.integers(0, 1500, 40)) for _ in range(200)]
+    texts[7] += passage + "!"
+    texts[150] = passage + texts[150]
+    base = {"id": pa.array(range(200), pa.int64()), "b": pa.array([t.encode() for t in texts])}
+    n_p, groups = 3, {}
+    for batch in repeats._share(n_p)(iter([pa.record_batch({"t": pa.array(range(1000, 1200), pa.int64()), **base})])):
+        for row in batch.to_pylist():
+            groups.setdefault(row["p"], []).append(row)
+    flags = repeats._flags(pa.concat_tables([repeats._shared(1)(pa.Table.from_pylist(rows, pa.schema([(c, batch.schema.field(c).type) for c in batch.schema.names]))) for rows in groups.values()]))
+    of = dict(zip(flags["id"].to_pylist(), flags["flags"].to_pylist(), strict=True))
+    kind = flags["flags"].type
+    sent = pa.record_batch({"s": pa.array(range(1000, 1200), pa.int64()), **base, "flags": pa.array([of.get(i, []) for i in range(200)], kind)})
+    held, windows = 0, collections.defaultdict(set)
+    for batch in repeats._emit(n_p, 1)(iter([sent])):
+        for row in batch.to_pylist():
+            raw, at = repeats._unsqueeze(row["data"]), 0
+            held += len(raw)
+            for i, a, n in zip(np.frombuffer(row["ids"], "<i8").tolist(), np.frombuffer(row["starts"], "<u4").tolist(), np.frombuffer(row["lengths"], "<u1").tolist(), strict=True):
+                assert texts[i][a : a + n].encode() == raw[at : at + n]
+                windows[i] |= {texts[i][x : x + 50] for x in range(a, a + n - 49)}
+                at += n
+    every = [{t[x : x + 50] for x in range(len(t) - 49)} for t in texts]
+    for i, own in enumerate(every):
+        assert windows[i] >= own & set().union(*every[:i], *every[i + 1 :])
+    assert len(every[7] & every[150]) >= 150
+    # 16 bytes within a word are common here, 33 are more than a word
+    assert held < 0.1 * sum(map(len, texts))
