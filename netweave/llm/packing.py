@@ -53,7 +53,10 @@ def words_of(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[n
 
 
 def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """Rows ``doc_id, doc_tokens, start, sequence, ids, key, slot``: whole windows, and the rest with its key."""
+    """Rows ``doc_id, doc_tokens, start, sequence, ids, key, slot, counts``: whole windows, and the rest with its key.
+
+    A task's last row has only ``counts``: how many rests and words it made, and by class of word how many rests hold it.
+    """
     kind_of = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +66,7 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         sequence = (1 << 62) + (partition << 36)
         kind = np.uint16 if enc.size <= 1 << 16 else np.uint32
         end = np.array([END_ID], kind)
+        df, total = np.zeros(DF_CLASSES, np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -85,14 +89,22 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 if rests:
                     bounds = np.concatenate([[0], np.cumsum([len(r) for _, r in rests])])
                     words, piece = words_of(np.concatenate([r for _, r in rests]), bounds, starts)
+                    held = np.sort((piece.astype(np.uint32) << np.uint32(16)) | (words & np.uint32(DF_CLASSES - 1)))
+                    df += np.bincount(held[np.append(True, held[1:] != held[:-1])] & np.uint32(DF_CLASSES - 1), minlength=DF_CLASSES)
+                    total += len(words)
                     keys = np.minimum.reduceat(mix(words.astype(np.uint64)) >> np.uint64(1), np.searchsorted(piece, np.arange(len(rests))))
                     for (row, _), key in zip(rests, keys.tolist(), strict=True):
                         row[4] = key
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 columns = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
-                yield pa.record_batch([part.column("doc_id").take(pa.array(source, pa.int64())), *columns], ["doc_id", "doc_tokens", "start", "sequence", "ids", "key", "slot"])
-
-    schema = f"doc_id {kind_of}, doc_tokens long, start long, sequence long, ids binary, key long, slot long"
+                yield pa.record_batch([part.column("doc_id").take(pa.array(source, pa.int64())), *columns, pa.nulls(len(rows), pa.binary())], names)
+                id_kind = part.column("doc_id").type
+        if made:
+            counts = np.concatenate([[made, total], df]).tobytes()
+            yield pa.record_batch([pa.nulls(1, id_kind), *(pa.nulls(1, k) for k in kinds), pa.array([counts], pa.binary())], names)
+
+    names = ["doc_id", "doc_tokens", "start", "sequence", "ids", "key", "slot", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    schema = f"doc_id {kind_of}, doc_tokens long, start long, sequence long, ids binary, key long, slot long, counts binary"
     return docs.select("doc_id", "text").mapInArrow(tidied(run), schema)
 
 
@@ -101,28 +113,24 @@ def _unpack(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, kind), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def document_frequencies(pieces: DataFrame, path: str) -> tuple[int, float, np.ndarray]:
-    """Number of pieces, mean number of words, and by class of word how many pieces hold it; over all pieces.
+def document_frequencies(rows: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Number of pieces, mean number of words, and by class of word how many pieces hold it; over all pieces of ``tokenize``.
 
     What reaches the driver is ``DF_CLASSES + 1`` rows at any size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        starts, kind = enc.word_starts(), np.uint16 if enc.size <= 1 << 16 else np.uint32
-        df, n, total = np.zeros(DF_CLASSES, np.int64), 0, 0
+        sums = np.zeros(DF_CLASSES + 2, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids, bounds = _unpack(batch.column("ids").slice(at, 512), kind)
-                words, piece = words_of(ids, bounds, starts)
-                df += np.bincount(np.unique(piece * (1 << 32) + words) & (DF_CLASSES - 1), minlength=DF_CLASSES)
-                n, total = n + len(bounds) - 1, total + len(words)
+            for counts in batch.column("counts").to_pylist():
+                sums += np.frombuffer(counts, np.int64)
+        (n, total), df = sums[:2], sums[2:]
         held = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(df[held], n)), pa.array(np.append(np.zeros(len(held), np.int64), total))], ["word", "n", "total"])
 
-    rows = pieces.select("ids").mapInArrow(tidied(run), "word long, n long, total long").groupBy("word").agg(F.sum("n"), F.sum("total")).collect()
+    found = rows.where("counts is not null").select("counts").mapInArrow(tidied(run), "word long, n long, total long").groupBy("word").agg(F.sum("n"), F.sum("total")).collect()
     df, n, total = np.zeros(DF_CLASSES), 0, 0
-    for word, count, words in rows:
+    for word, count, words in found:
         if word < 0:
             n, total = count, words
         else:
@@ -225,8 +233,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     schema = f"doc_id {kind_of}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     rows = materialise(tokenize(docs, path, window), "tokens")
-    pieces = rows.where(F.col("sequence").isNull())
-    n, mean_words, df = document_frequencies(pieces, path)
+    pieces = rows.where("sequence is null and counts is null")
+    n, mean_words, df = document_frequencies(rows)
     shared = docs.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,21 @@ def test_neighbours_share_rare_words():
     assert sum(len(g) == 1 for g in together.values()) >= 7
 
 
+def test_frequencies_count_each_piece_once(spark, docs, rows):
+    path = default_path()
+    made = packing.tokenize(docs, path, 64)
+    n, mean, df = packing.document_frequencies(made)
+    starts, want, words, count = encoder(path).word_starts(), np.zeros(packing.DF_CLASSES), 0, 0
+    for r in rows:
+        ids = np.append(encoder(path).encode(r[1] or ""), 1)
+        rest = ids[len(ids) // 64 * 64 :].astype(np.uint16)
+        if len(rest):
+            held = packing.words_of(rest, np.array([0, len(rest)]), starts)[0]
+            want[np.unique(held & np.uint32(packing.DF_CLASSES - 1))] += 1
+            words, count = words + len(held), count + 1
+    assert n == count and mean == words / count and (df == want).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab Z9\n\t .,!é×÷ñ'|<>s \r_-ßÿ²½ 中я\x1c\x85")), max_size=30), min_size=1, max_size=6))
 def test_fast_ids_are_the_library_s(texts):
