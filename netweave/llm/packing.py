@@ -143,7 +143,8 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: n
 
     A window opens with the rest of the piece that was cut last, or the first unused piece; the unused neighbours of
     the piece laid last by BM25 score, ties in order, fill it; where none is left, the next unused piece does. A seed's
-    ``query_words`` rarest words are looked up, all if None.
+    ``query_words`` rarest words are looked up, all if None; where no unused piece has any of them the next rarest are, and
+    so on, so none is passed over that shares a word with the seed.
     """
     m = len(bounds) - 1
     lengths = np.diff(bounds)
@@ -165,15 +166,26 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: n
     def neighbours(seed: int) -> np.ndarray:
         mine = np.arange(of_piece[seed], of_piece[seed + 1])
         mine = mine[last[mine] - first[mine] > 1]
-        if query_words is not None and len(mine) > query_words:
-            mine = mine[np.argpartition(-idf[word[mine] & (DF_CLASSES - 1)], query_words)[:query_words]]
+        if query_words is None or len(mine) <= query_words:
+            return scored(mine)
+        rarity = -idf[word[mine] & (DF_CLASSES - 1)]
+        found = scored(mine[np.argpartition(rarity, query_words)[:query_words]])
+        if not len(found):
+            mine = mine[np.argsort(rarity, kind="stable")]
+            for at in range(0, len(mine), query_words):
+                found = scored(mine[at : at + query_words])
+                if len(found):
+                    break
+        return found
+
+    def scored(mine: np.ndarray) -> np.ndarray:
+        """Unused pieces that have some of these words, in the order of their scores."""
         if not len(mine):
             return mine
         slots = np.concatenate([np.arange(a, b) for a, b in zip(first[mine], last[mine], strict=True)])
+        slots = slots[~used[post_piece[slots]]]
         found, at = np.unique(post_piece[slots], return_inverse=True)
         score = np.bincount(at, post_weight[slots])
-        free = ~used[found]
-        found, score = found[free], score[free]
         return found[np.lexsort((found, -score))]
 
     sequence, offset, following = 0, 0, 0

@@ -206,6 +206,16 @@ def test_neighbours_share_rare_words():
     assert sum(len(g) == 1 for g in together.values()) >= 7
 
 
+def test_less_rare_words_are_looked_up_where_the_rarest_find_nothing():
+    starts, idf = np.ones(1000, bool), np.full(packing.DF_CLASSES, 5.0)
+    common = 50
+    word = packing.words_of(np.array([common], np.uint16), np.array([0, 1]), starts)[0][0]
+    idf[word & (packing.DF_CLASSES - 1)] = 0.5
+    pieces = [[*range(16), common], [*range(16), common], range(100, 117), [common, *range(200, 216)]]
+    laid = list(packing.fill_windows(np.concatenate(pieces).astype(np.uint16), np.arange(5) * 17, starts, idf, 17.0, 100))
+    assert [p for p, *_ in laid] == [0, 1, 3, 2]
+
+
 def test_frequencies_count_each_piece_once(spark, docs, rows):
     path = default_path()
     made = packing.tokenize(docs, path, 64)
