@@ -12,6 +12,7 @@ one: most of its columns get none. Where a coordinate stays empty the cut is dou
 Bands of the signature make buckets. Every member of a bucket is compared with the bucket's smallest one, so
 candidates grow with the members and not with their pairs; where that leaves a bucket in several components, the
 members of different components are compared with each other by signature, in blocks, and likely pairs exactly.
+Near copies share many such buckets; these are put together first, so a pair is compared once and not in each of them.
 Only exact similarities, over whole texts, make links.
 """
 
@@ -37,8 +38,10 @@ BANDS, ROWS = 28, 5
 #: A pair is passed over by signature only if it has fewer equal coordinates than one of the threshold's similarity
 #: would have at so many standard deviations below its mean; one in some 10**9 does.
 DEVIATIONS = 6.0
-#: Members of one bucket that a task compares with each other, and members of one centre that a task verifies.
+#: Members of one bucket that a task compares with each other, and members of one centre that a task verifies. Up to
+#: ``SPREAD`` blocks are smaller, of some ``FINE`` members, so that more tasks share a bucket.
 BLOCK = 2048
+FINE, SPREAD = 128, 16
 BLOCK_CHARS = 32 << 20
 GROUP = 256
 
@@ -189,23 +192,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return rows.select("__node", "b", "g", "role", "__text").mapInArrow(tidied(run), "a long, b long")
 
 
-def _paired(members: DataFrame) -> DataFrame:
-    """``members`` (``key, node, comp, chars``) in blocks, a row for each pair ``i <= j`` of blocks that must meet.
+def _sizes(members: DataFrame, key: str, *more) -> DataFrame:
+    """A row a ``key``: ``held`` members, ``most`` of them in one component, the ``pairs`` that must meet, and ``more``."""
+    parts = members.groupBy(key, "comp").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    sizes = parts.groupBy(key).agg(F.sum("n").alias("held"), F.max("n").alias("most"), *more)
+    return sizes.withColumn("pairs", (F.col("held") - F.col("most")) * F.col("held").cast("double"))
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """``members`` (``key, node, comp``) with buckets that share members put together where that saves pairs.
+
+    What buckets connect becomes one bucket, named by its smallest node and with a row a node, if no more pairs must
+    meet in it than in its buckets one by one; else these stay as they are. Members that shared a bucket still do.
+    """
+    total = members.count()
+    buckets = materialise(_sizes(members, "key", F.min("node").alias("low")), "buckets")
+    # a node is in one bucket a band at most, so it is the smallest of few
+    groups = connected_components(join_counted(members, buckets.select("key", "low", "held"), "key", "held", total), "node", "low")
+    inside = materialise(members.select("node", "comp").distinct().join(groups, "node"), "inside")
+    grouped = materialise(buckets.join(groups.withColumnRenamed("node", "low"), "low").select("key", "held", "pairs", "component"), "grouped")
+    single = grouped.groupBy("component").agg(F.count("*").alias("buckets"), F.sum("pairs").alias("single"))
+    chosen = materialise(_sizes(inside, "component").join(single, "component").withColumn("whole", F.col("pairs") <= F.col("single")).select("component", "held", "buckets", "whole"), "chosen")
+    whole = join_counted(inside, chosen.where("whole").select("component", "held"), "component", "held", inside.count())
+    apart = join_counted(grouped.select("key", "held", "component"), chosen.where("not whole").select("component", "buckets"), "component", "buckets", grouped.count(), "left_semi")
+    kept = join_counted(members, materialise(apart.select("key", "held"), "apart"), "key", "held", total, "left_semi")
+    return whole.select(F.col("component").alias("key"), "node", "comp").unionByName(kept.select("key", "node", "comp"))
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """``members`` (``key, node, comp, chars``) with their block ``mine`` and in how many ``blocks``, from the first, it must meet others.
 
     Two members must meet if they are of different components, so one at least is outside the bucket's largest. Those
     outside come in blocks that meet each other and the blocks of the largest component, whose own blocks don't meet:
     a bucket of many with a few strays costs each member a row for every block of strays.
     """
     parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    blocks = lambda n, chars: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
+    blocks = lambda n, chars: F.greatest(F.lit(1), F.least(F.lit(SPREAD), F.ceil(n / FINE)), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
     main = F.max_by(F.struct("comp", "n", "chars"), F.struct("n", "comp"))
     buckets = parts.groupBy("key").agg(main.alias("main"), F.sum("n").alias("held"), F.sum("chars").alias("all"))
     buckets = buckets.select("key", "held", F.col("main.comp").alias("main"), blocks(F.col("held") - F.col("main.n"), F.col("all") - F.col("main.chars")).alias("outer"), blocks(F.col("main.n"), F.col("main.chars")).alias("inner"))
     dealt = join_counted(members, buckets, "key", "held", members.count())
     stray, spot = F.col("comp") != F.col("main"), F.xxhash64("node")
     dealt = dealt.withColumn("mine", F.when(stray, F.pmod(spot, "outer")).otherwise(F.col("outer") + F.pmod(spot, "inner")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(stray, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
-    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "held", "main", "outer", "inner")
+    dealt = dealt.withColumn("blocks", F.when(stray, F.col("outer") + F.col("inner")).otherwise(F.col("outer")))
+    return dealt.select("key", "node", "comp", "mine", "blocks")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Rows of ``_placed``, once for each pair ``i <= j`` of blocks that their block is one of, pair by pair."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[list[tuple]]:
@@ -228,7 +265,7 @@ def _open_members(members: DataFrame, sigs: DataFrame, k: int, threshold: float)
     A row a member, ``key, node, comp``, however many partners it may have.
     """
     enough = likely_coordinates(threshold, k)
-    rows = _paired(members.withColumn("chars", F.lit(0))).join(sigs.select(F.col("__node").alias("node"), F.col("__sig").alias("sig")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = _paired(_placed(members.withColumn("chars", F.lit(0))).join(sigs.select(F.col("__node").alias("node"), F.col("__sig").alias("sig")), "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"], ["key", "node", "comp", "mine", "i", "j", "sig"]):
@@ -284,8 +321,7 @@ def linked_forest(columns: np.ndarray, owner: np.ndarray, left: np.ndarray, righ
 def _linked_members(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links ``a, b``, exact, that connect the components (``key, node, comp``) of each bucket as all its links do."""
     size = texts.select(F.col("__node").alias("node"), F.length("__text").alias("chars"))
-    rows = _paired(materialise(members.join(size, "node"), "sized")).join(texts.withColumnRenamed("__node", "node"), "node")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = _paired(_placed(materialise(members.join(size, "node"), "sized")).join(texts.withColumnRenamed("__node", "node"), "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"], ["node", "comp", "mine", "i", "j", "__text"]):
@@ -329,7 +365,8 @@ def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, id_col: s
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.bit_xor("node").alias("t"), F.count("*").alias("held")).where("x <> y")
     mixed = mixed.groupBy("s", "t").agg(F.min(F.struct("key", "held")).alias("m")).select("m.key", "m.held")
     open_ = join_counted(placed, materialise(mixed, "mixed"), "key", "held", placed.count(), "left_semi")
-    unsure = materialise(_open_members(materialise(open_, "unsure"), sigs, k, threshold), "open")
+    merged = materialise(_merged(materialise(open_.select("key", "node", "comp"), "unsure")), "merged")
+    unsure = materialise(_open_members(merged, sigs, k, threshold), "open")
     if not unsure.isEmpty():
         links = links.unionByName(materialise(_linked_members(unsure, texts, threshold), "links"))
         parts = connected_components(links, "a", "b")

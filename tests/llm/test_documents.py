@@ -117,6 +117,44 @@ def test_buckets_of_several_components_in_many_blocks(spark, monkeypatch):
         assert sorted(map(sorted, got.values())) == want
 
 
+def test_near_copies_of_many_buckets_are_compared_once(spark, monkeypatch):
+    rng = random.Random(21)
+    rows, base = [], [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for i in range(60):
+        words = list(base)
+        for at in range(10 + i % 10, 150, 50):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    made, write = {}, minhash.materialise
+
+    def kept(df, name="t"):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(minhash, "materialise", kept)
+    got = collections.defaultdict(list)
+    for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[r["class_id"]].append(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(rows[i][0] for i in g) for g in classes(rows).values())
+    asked = [r["node"] for r in made["open"].collect()]
+    assert len(asked) == len(set(asked)) > 40
+
+
+def test_buckets_are_put_together_where_that_saves_pairs_and_no_pair_is_lost(spark, monkeypatch):
+    from netweave.operators import skew
+
+    alike = [(k, n) for k in range(6) for n in range(100, 109) if (n + k) % 9]
+    chain = [(10 + k, n) for k in range(12) for n in range(2 * k, 2 * k + 3)]
+    stray = [(30 + k, n) for k in range(4) for n in (*range(200 + 50 * k, 250 + 50 * k), 500 + k, 501 + k)]
+    comps = {n: 200 + (n - 200) // 50 * 50 for n in range(200, 400)}
+    members = spark.createDataFrame([(k, n, comps.get(n, n)) for k, n in alike + chain + stray], "key bigint, node bigint, comp bigint")
+    for heavy in (4096, 1):
+        monkeypatch.setattr(skew, "HEAVY", heavy)
+        got = [tuple(r) for r in minhash._merged(members).select("key", "node", "comp").collect()]
+        assert all(c == comps.get(n, n) for _, n, c in got)
+        assert sorted((k, n) for k, n, _ in got) == sorted([(100, n) for n in range(100, 109)] + chain + stray)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 400, np.uint64), rng.integers(0, 2**63, 400, np.uint64)
