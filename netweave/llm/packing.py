@@ -24,8 +24,10 @@ from netweave.plans.session import materialise
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces in a shard, about. A shard's ids and index take some 20 MB.
+#: Pieces in a shard, about. Its ids take 2 bytes each, or 4, and its index some 20 a different word of a piece.
 SHARD_PIECES = 4096
+#: Ids whose words are hashed together, and words that are weighed together: what that makes on the way is many times as large.
+PART_IDS = 1 << 17
 #: Partitions that shards are cut from, at most: how many there are follows the cluster and not the corpus.
 MAX_PARTITIONS = 20_000
 #: Words of a seed that are looked up, those of the highest weight.
@@ -40,16 +42,31 @@ _POSITION = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def words_of(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the words of pieces, ``ids[bounds[i]:bounds[i + 1]]`` each, and the piece of each."""
+    """32-bit hashes of the words of pieces, ``ids[bounds[i]:bounds[i + 1]]`` each, and the piece of each.
+
+    Whole pieces go together up to ``PART_IDS`` ids; a longer one goes alone.
+    """
+    found, low = [], 0
+    while low < len(bounds) - 1:
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + PART_IDS, "right")) - 1)
+        words, piece = _words_of_part(ids[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], starts)
+        found.append((words, piece + np.int32(low)))
+        low = high
+    if not found:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
+
+
+def _words_of_part(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
     first = starts[ids]
     first[bounds[:-1][bounds[:-1] < len(ids)]] = True
     at = np.flatnonzero(first)
     position = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
     value = mix(ids.astype(np.uint64) + np.uint64(0x51ED2701)) * _POSITION[np.minimum(position, 63)]
     words = mix(np.add.reduceat(value, at)) >> np.uint64(32)
-    return words.astype(np.uint32), np.searchsorted(bounds, at, "right") - 1
+    return words.astype(np.uint32), (np.searchsorted(bounds, at, "right") - 1).astype(np.int32)
 
 
 def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
@@ -98,6 +115,7 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 columns = [pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]
                 yield pa.record_batch([part.column("doc_id").take(pa.array(source, pa.int64())), *columns, pa.nulls(len(rows), pa.binary())], names)
                 id_kind = part.column("doc_id").type
+            batch = part = None  # else they stay while the next one is read
         if made:
             counts = np.concatenate([[made, total], df]).tobytes()
             yield pa.record_batch([pa.nulls(1, id_kind), *(pa.nulls(1, k) for k in kinds), pa.array([counts], pa.binary())], names)
@@ -149,23 +167,41 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: n
     m = len(bounds) - 1
     lengths = np.diff(bounds)
     words, piece = words_of(ids, bounds, starts)
-    held, tf = np.unique(piece * (1 << 32) + words.astype(np.int64), return_counts=True)
-    owner, word = held >> 32, held & 0xFFFFFFFF
     size = np.bincount(piece, minlength=m)
-    weight = idf[word & (DF_CLASSES - 1)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(mean_words, 1e-9)))
+    held = piece.astype(np.int64) << 32
+    held |= words
+    del words, piece
+    held.sort()
+    at = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
+    tf = np.diff(np.append(at, len(held))).astype(np.int32)
+    held = held[at]
+    owner, word = (held >> 32).astype(np.int32), held.astype(np.uint32)
     of_piece = np.searchsorted(owner, np.arange(m + 1))
-    by_word = np.argsort(word, kind="stable")
-    post_word, post_piece, post_weight = word[by_word], owner[by_word], weight[by_word]
-    edge = np.flatnonzero(np.append(True, post_word[1:] != post_word[:-1]))
-    low = np.repeat(edge, np.diff(np.append(edge, len(post_word))))
-    high = np.repeat(np.append(edge[1:], len(post_word)), np.diff(np.append(edge, len(post_word))))
-    first, last = np.empty_like(low), np.empty_like(high)
-    first[by_word], last[by_word] = low, high
+    weight = np.empty(len(held))
+    for a in range(0, len(held), PART_IDS):
+        c, n = slice(a, a + PART_IDS), tf[a : a + PART_IDS]
+        weight[c] = idf[word[c] & (DF_CLASSES - 1)] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[owner[c]] / max(mean_words, 1e-9)))
+    # the words again, each with its pieces in order: a sort of word and place keeps equal words in place
+    held &= 0xFFFFFFFF
+    held <<= 32
+    held |= np.arange(len(held))
+    # unsigned, as words are
+    held = held.view(np.uint64)
+    held.sort()
+    by_word = held.astype(np.uint32)
+    held >>= np.uint64(32)
+    new = np.append(True, held[1:] != held[:-1])[: len(held)]
+    del held, at, tf
+    edge = np.append(np.flatnonzero(new), len(new))
+    run = np.empty(len(new), np.int32)
+    run[by_word] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    post_piece, post_weight = owner[by_word], weight[by_word]
+    del owner, weight, by_word, new
     used = np.zeros(m, bool)
 
     def neighbours(seed: int) -> np.ndarray:
         mine = np.arange(of_piece[seed], of_piece[seed + 1])
-        mine = mine[last[mine] - first[mine] > 1]
+        mine = mine[edge[run[mine] + 1] - edge[run[mine]] > 1]
         if query_words is None or len(mine) <= query_words:
             return scored(mine)
         rarity = -idf[word[mine] & (DF_CLASSES - 1)]
@@ -182,7 +218,7 @@ def fill_windows(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, idf: n
         """Unused pieces that have some of these words, in the order of their scores."""
         if not len(mine):
             return mine
-        slots = np.concatenate([np.arange(a, b) for a, b in zip(first[mine], last[mine], strict=True)])
+        slots = np.concatenate([np.arange(a, b) for a, b in zip(edge[run[mine]], edge[run[mine] + 1], strict=True)])
         slots = slots[~used[post_piece[slots]]]
         found, at = np.unique(post_piece[slots], return_inverse=True)
         score = np.bincount(at, post_weight[slots])
@@ -221,8 +257,10 @@ def cut_shards(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[pa.Ta
         n += batch.num_rows
         while n >= 2 * pieces:
             table = pa.Table.from_batches(held)
-            yield table.slice(0, pieces).combine_chunks()
-            held, n = table.slice(pieces).to_batches(), n - pieces
+            part, held, n = table.slice(0, pieces).combine_chunks(), table.slice(pieces).to_batches(), n - pieces
+            table = batch = None  # else what was cut off stays too
+            yield part
+            part = None
     if n:
         table = pa.Table.from_batches(held)
         first = n if 2 * n <= 3 * pieces else n // 2
@@ -262,6 +300,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        enc.forget()
         number = TaskContext.get().partitionId() << 36
         for table in cut_shards(batches, shard_pieces):
             ids, bounds = _unpack(table.column("ids").combine_chunks(), np.uint16 if enc.size <= 1 << 16 else np.uint32)

@@ -10,7 +10,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-from netweave.llm.words import mix, running_hash, text_chunks
+from netweave.llm.words import mix, running_hash, text_chunks, tidy
 
 #: Fixed value: the pattern that splits text before the merges, as published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,7 +40,7 @@ def _byte_of() -> dict[str, int]:
 
 
 #: Bytes of text whose pieces are looked up together, and pieces that a process remembers.
-_CHUNK, _REMEMBERED = 2 << 20, 200_000
+_CHUNK, _REMEMBERED = 1 << 20, 200_000
 
 # byte classes of the fast path: letters, digits, blanks, anything else; bytes from 0x80 on are letters there
 _LETTER, _NUMBER, _BLANK, _OTHER_CLASS = 0, 1, 2, 3
@@ -169,8 +169,9 @@ class Encoder:
         end = np.append(begin[1:], len(data))
         total, scale = running_hash(data)
         pieces = mix((total[end] - total[begin]) * scale[begin] + (end - begin).astype(np.uint64))
-        del total
+        del total, scale
         names, at, which = np.unique(pieces, return_index=True, return_inverse=True)
+        del pieces
         if len(self.known) > _REMEMBERED:
             self.known, self.before = {}, self.known
         known, raw, names = self.known, data.tobytes(), names.tolist()
@@ -186,6 +187,11 @@ class Encoder:
         ids = flat[np.arange(stop[-1]) + np.repeat(where - (stop - count), count)]
         return ids, np.concatenate([[0], stop])[np.searchsorted(begin, offsets)]
 
+    def forget(self) -> None:
+        """Drop the remembered pieces; whoever only asks for ``word_starts`` has no use for them."""
+        self.known, self.before = {}, {}
+        tidy()
+
     def word_starts(self) -> np.ndarray:
         """For each id whether a word begins with it."""
         return self.starts

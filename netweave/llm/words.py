@@ -13,6 +13,7 @@ CHUNK_BYTES = 1 << 20
 
 def tidy() -> None:
     """Give freed memory back to the machine: a Python worker outlives its task, and what it holds is an executor's."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -205,6 +206,39 @@ def test_shards_are_cut_from_a_sorted_stream():
     assert [len(t) for t in packing.cut_shards(iter(batches[:2]), 10)] == [8] and not list(packing.cut_shards(iter([]), 10))
 
 
+def test_a_shard_s_index_is_small():
+    rng = np.random.default_rng(3)
+    ids, bounds, starts = rng.integers(0, 20_000, 600_000).astype(np.uint16), np.arange(601) * 1000, np.ones(20_000, bool)
+    tracemalloc.start()
+    next(packing.fill_windows(ids, bounds, starts, np.ones(packing.DF_CLASSES), 1000.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(ids) < 64
+
+
+def test_words_are_the_same_by_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids, starts = rng.integers(0, 100, 1000).astype(np.uint16), rng.random(100) < 0.4
+    bounds = np.concatenate([[0, 0], np.sort(rng.integers(0, 1001, 60)), [1000, 1000]])
+    whole = packing.words_of(ids, bounds, starts)
+    monkeypatch.setattr(packing, "PART_IDS", 16)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(whole, packing.words_of(ids, bounds, starts), strict=True))
+
+
+def test_what_was_cut_off_is_let_go():
+    before = pa.total_allocated_bytes()
+    batches = (pa.record_batch([pa.array([bytes(1000)] * 100)], ["ids"]) for _ in range(40))
+    # a shard of 1,000 rows, and as many that wait, is all there is
+    assert all(pa.total_allocated_bytes() - before < 2.4e6 for _ in packing.cut_shards(batches, 1000))
+
+
+def test_a_forgetful_encoder_gives_the_same_ids():
+    enc, texts = encoder(default_path()), pa.array(["some words of a text", None, "and more of them"])
+    want = [x.tolist() for x in enc.encode_texts(texts)]
+    enc.forget()
+    assert not enc.known and not enc.before and [x.tolist() for x in enc.encode_texts(texts)] == want
+
+
 def test_packing_in_few_partitions_and_with_all_words(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(packing, "MAX_PARTITIONS", 2)
     got = packing.pack_documents(docs, window=64, shard_pieces=8, query_words=None).collect()
